@@ -1,0 +1,254 @@
+"""Report metrics on hand-written tables with literal results."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import by, day, dicts, rows
+from tests.test_cohort import LAST, booking
+from wayfare.operators.rates import standardise
+from wayfare.plans import business, destinations, repeat, traffic
+from wayfare.plans.report import metrics, write_report
+
+
+def test_standardisation(spark):
+    """Two groups, two strata; group b lacks stratum y."""
+    cells = [("a", "x", 10, 5), ("a", "y", 30, 3), ("b", "x", 20, 4)]
+    people = [(g, s, int(i < k)) for g, s, n, k in cells for i in range(n)]
+    df = spark.createDataFrame(people, "g string, s string, recompra int")
+    # weights x=30, y=30: a = (0.5 + 0.1) / 2, b = 0.2 over x alone
+    assert rows(standardise(df, "g", "s", "std")) == [("a", 20.0, 30.0), ("b", 20.0, 20.0)]
+
+
+def test_standardised_is_crude_under_the_global_mix(spark):
+    people = [(g, s, int(i < 3)) for g in "ab" for s in "xy" for i in range(10)]
+    df = spark.createDataFrame(people, "g string, s string, recompra int")
+    assert all(r["pct_crudo"] == r["std"] for r in dicts(standardise(df, "g", "s", "std")))
+
+
+def test_missing_strata_and_groups(spark):
+    people = [("a", "x", 1), ("a", None, 0), (None, "x", 1), ("c", None, 1)]
+    df = spark.createDataFrame(people, "g string, s string, recompra int")
+    assert rows(standardise(df, "g", "s", "std")) == [("a", 50.0, 100.0)]
+
+
+def test_trip_stacking(make):
+    pairs = [(1, "2025-01-01", "2025-01-15"), (2, "2025-01-01", "2025-01-05"), (3, "2025-01-01", "2025-01-16")]
+    wh = make.warehouse(
+        bookings=[booking(u, d, "2025-06-01") for u, a, b in pairs for d in (a, b)]
+        + [booking(3, "2025-03-01", "2025-06-01"), booking(4, "2025-01-01", "2025-06-01"), LAST]
+    )
+    assert rows(repeat.trip_stacking(wh)) == [
+        ("mismo viaje (<=14d)", 2, 9.0, 9.0), ("recompra real (>14d)", 1, 15.0, 15.0),
+    ]
+
+
+@pytest.fixture(scope="module")
+def shop(make):
+    """Users 1-4 with a mature first booking, 1 and 2 come back; user 5 only cancels first."""
+    return make.warehouse(
+        tours=[
+            dict(tour_id=1, url="https://h/es/madrid/a/", precio_por_persona_eur=10),
+            dict(tour_id=2, url="https://h/es/roma/b/", precio_por_persona_eur=30),
+        ],
+        providers=[
+            dict(proveedor_id=1),
+            dict(proveedor_id=2, fecha_baja=day("2025-01-31")),
+        ],
+        bookings=[
+            booking(1, "2025-01-01", "2025-01-05", importe_eur=100, canal="SEO"),
+            booking(1, "2025-02-01", "2025-02-05", importe_eur=50, tour_id=2, proveedor_id=2),
+            booking(2, "2025-01-01", "2025-01-05", importe_eur=0, canal="SEO", personas=0),
+            booking(2, "2025-01-06", "2025-02-05", importe_eur=40, canal="SEM"),
+            booking(3, "2025-01-01", "2025-03-05", importe_eur=10, canal="SEM", tour_id=2),
+            booking(3, "2025-01-02", "2025-03-05", importe_eur=90, estado="CANCELLED", canal="SEM"),
+            booking(4, "2025-01-31", "2025-02-05", importe_eur=0, canal="Email", tour_id=99, proveedor_id=2),
+            booking(5, "2025-01-01", "2025-01-31", importe_eur=70, estado="cancelada", canal="SEO"),
+            booking(5, "2025-06-01", "2025-06-02", importe_eur=30, canal="SEO", campana=None),
+            LAST,
+        ],
+        events=[
+            dict(session_id="s1", user_id=1, cookie_id="k1", reserva_id=1, event_name="purchase"),
+            dict(session_id="s1", cookie_id="k1"),
+            dict(session_id="s2", cookie_id="k1", device="Desktp", event_name="begin_checkout"),
+            dict(session_id="s2", cookie_id="k1", device="desktop", event_date="02/01/2025 09:00"),
+            dict(session_id="s3", cookie_id="k2", url="https://h/es/roma/b/"),
+            dict(session_id="s4", cookie_id="k2", url="https://h/"),
+            dict(session_id="s5", cookie_id="k2", user_id=404, reserva_id=6, event_name="scroll"),
+            dict(session_id="s6", cookie_id="k9", temp_client_id="Tbot0000000"),
+        ],
+    )
+
+
+def test_global(shop):
+    # user 5's first confirmed booking is mature as well; user 29's is pending
+    assert rows(repeat.repeat_global(shop)) == [(5, 2, 40.0)]
+    assert rows(repeat.repeat_global(shop, days=500)) == [(3, 2, 66.7)]
+
+
+def test_value(shop):
+    assert rows(repeat.customer_value(shop)) == [
+        ("recompra", 2, 190.0, 95.0), ("una sola vez", 3, 40.0, 13.3),
+    ]
+
+
+def test_channel_needs_paid_first_booking(shop):
+    got = by(repeat.repeat_by_channel(shop), "canal")
+    assert {c: (r["clientes"], r["pct_recompra"]) for c, r in got.items()} == {
+        "SEO": (2, 50.0), "SEM": (1, 0.0),
+    }
+    assert (got["SEO"]["ic95_low"], got["SEO"]["ic95_high"]) == (-19.3, 119.3)
+    assert (got["SEM"]["ic95_low"], got["SEM"]["ic95_high"]) == (0.0, 0.0)
+
+
+def test_destination_needs_a_known_tour(shop):
+    got = rows(repeat.repeat_by_destination(shop).select("destino", "clientes", "pct_recompra"))
+    assert got == [("madrid", 3, 66.7), ("roma", 1, 0.0)]
+
+
+def test_factor_minimum(shop):
+    assert repeat.factor_campaign(shop).count() == 0
+    got = repeat.factor(shop, F.coalesce("campana", F.lit("(sin campana)")), min_group=1)
+    assert rows(got) == [("(sin campana)", 1, 0.0), ("C1", 4, 50.0)]
+
+
+def test_cancellation_is_not_churn(shop):
+    assert rows(repeat.churn_cancelled_flag(shop)) == [
+        ("sin cancelaciones", 3, 66.7), ("sufrio una cancelacion", 2, 0.0),
+    ]
+    assert rows(repeat.churn_return_after_cancel(shop)) == [(1, 100.0)]
+
+
+def test_device_of_customer(shop):
+    # user 1's own events come from one phone session
+    assert rows(repeat.factor_device(shop)) == [("mobile", 1, 100.0)]
+
+
+def test_ties_between_devices(make):
+    wh = make.warehouse(
+        events=[
+            dict(session_id=s, user_id=1, device=d)
+            for s, d in (("a", "tablet"), ("b", "mobile"), ("c", None))
+        ]
+    )
+    assert rows(wh.usual_device) == [(1, "mobile")]
+
+
+def test_free_same_trip_and_timing(shop):
+    assert rows(repeat.free_same_trip(shop)) == [(2, 1, 50.0, 40.0)]
+    assert rows(repeat.repeat_timing(shop)) == [(2, 2, 100.0)]
+
+
+def test_destination_volume_and_ticket(shop):
+    assert rows(destinations.destination_volume(shop)) == [
+        ("madrid", 4, 170.0, 66.7, 73.9), ("roma", 2, 60.0, 33.3, 26.1),
+    ]
+    assert rows(destinations.destination_ticket(shop)) == [
+        ("madrid", 4, 170.0, 42.5, 2.0, 10.0), ("roma", 2, 60.0, 30.0, 2.0, 30.0),
+    ]
+
+
+def test_demand(shop):
+    assert rows(destinations.destination_demand(shop)) == [
+        ("madrid", 2, 4, 66.7, 66.7, 200.0), ("roma", 1, 2, 33.3, 33.3, 200.0),
+    ]
+
+
+def test_summary_and_sensitivity(shop):
+    assert rows(business.business_summary(shop)) == [(230.0, 7, 2, 100.0, 160.0, 69.6)]
+    assert rows(business.sales_sensitivity(shop)) == [(230.0, 330.0, 43.5, 5, 2)]
+
+
+def test_semesters(shop):
+    assert rows(business.sales_by_semester(shop)) == [("2025-H1", 7, 230.0), ("2026-H1", 0, None)]
+    assert rows(business.sales_by_semester(shop, day("2025-02-02"))) == [
+        ("2025-H1", 1, 30.0), ("2026-H1", 0, None),
+    ]
+    assert rows(business.sales_growth(shop)) == [("2025-H1", "2026-H1", 230.0, None, None)]
+
+
+def test_lead_time(shop):
+    got = by(business.cancel_by_lead(shop), "antelacion")
+    assert got["31-90 d"]["pct_cancelacion"] == 50.0
+    assert got["8-30 d"]["eur_cancelado"] == 70.0
+
+
+def test_channel_without_decided_bookings(make):
+    wh = make.warehouse(bookings=[booking(1, "2025-01-01", "2025-01-02", estado="Pendiente")])
+    assert rows(business.cancel_by_channel(wh)) == [("SEO", 0, None)]
+
+
+def test_provider_risk(shop):
+    # booked on the end date itself is no risk
+    assert [tuple(r) for r in business.terminated_provider_risk(shop).collect()] == [
+        ("TOTAL", None, 1, 50.0), ("2", "2025-01-31", 1, 50.0),
+    ]
+
+
+def test_provider_risk_total_without_rows(make):
+    wh = make.warehouse(bookings=[booking(1, "2025-01-01", "2025-01-02")])
+    assert rows(business.terminated_provider_risk(wh)) == [("TOTAL", None, 0, None)]
+
+
+def test_sessions(shop):
+    assert rows(traffic.sessions_known(shop)) == [("anonima", 3, 60.0), ("identificada", 2, 40.0)]
+    assert rows(traffic.funnel_by_session_type(shop)) == [
+        ("anonima", 3, 66.7, 0.0, 0.0), ("identificada", 2, 100.0, 50.0, 50.0),
+    ]
+    got = by(traffic.funnel_by_device(shop), "device")
+    assert tuple(got["desktop"].values()) == ("desktop", 1, 20.0, 100.0, 100.0, 0.0, 0.0, 0.0)
+    assert tuple(got["mobile"].values()) == ("mobile", 4, 80.0, 25.0, 33.3, 33.3, 100.0, None)
+
+
+def test_conversion(shop):
+    assert rows(traffic.conversion_gross(shop)) == [(5, 2, 40.0)]
+    assert rows(traffic.conversion_net(shop)) == [(2, 1, 50.0)]
+
+
+def test_shares_add_up(shop):
+    for df, column in (
+        (destinations.destination_volume(shop), "pct_reservas"),
+        (traffic.sessions_known(shop), "pct"),
+        (traffic.funnel_by_device(shop), "pct_trafico"),
+    ):
+        assert abs(sum(r[column] for r in df.collect()) - 100) < 0.2
+
+
+def test_report_writes_every_metric(spark, shop, tmp_path):
+    paths = write_report(shop, str(tmp_path))
+    assert len(paths) == len(metrics()) == 29
+    assert rows(spark.read.parquet(f"{tmp_path}/negocio/business_summary")) == rows(
+        business.business_summary(shop)
+    )
+
+
+def test_cohorts_by_quarter(make):
+    wh = make.warehouse(
+        bookings=[booking(1, "2025-01-01", "2025-03-31"), booking(2, "2025-01-01", "2025-04-01"),
+                  booking(3, "2025-01-01", "2026-06-01"), LAST]
+    )
+    assert rows(repeat.repeat_by_cohort(wh)) == [
+        (day("2025-01-01"), 1, 456, 0.0), (day("2025-04-01"), 1, 455, 0.0), (day("2026-04-01"), 1, 29, 0.0),
+    ]
+
+
+def test_age(make):
+    wh = make.warehouse(
+        customers=[
+            dict(user_id=1, dni="a", fecha_nacimiento=day("1995-01-02")),  # 29, a day before 30
+            dict(user_id=2, dni="b", fecha_nacimiento=day("1995-01-01")),  # 30
+            dict(user_id=3, dni="c", fecha_nacimiento=day("1900-01-01")),
+        ],
+        bookings=[booking(u, "2025-01-01", "2025-01-02") for u in (1, 2, 3)] + [LAST],
+    )
+    assert [r[:2] for r in rows(repeat.factor_age(wh, min_group=1))] == [
+        ("(nulo)", 1), ("30-44", 1), ("<30", 1),
+    ]
+
+
+def test_events_without_a_date_stay_in_their_session(make):
+    wh = make.warehouse(events=[dict(event_date="never"), dict(event_date=None, session_id="s2")])
+    assert wh.events.where("dia is null").count() == 2
+    assert rows(traffic.sessions_known(wh)) == [("anonima", 2, 100.0)]
+    assert wh.events.first().event_date is None

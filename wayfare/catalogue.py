@@ -32,18 +32,18 @@ Query = Callable[[Warehouse], DataFrame]
 
 
 def _clean_bookings(wh: Warehouse) -> DataFrame:
-    return cleaning.clean_bookings(wh.raw_tables.bookings)
+    return cleaning.clean_bookings(wh.raw_bookings)
 
 
 def _canonical_bookings(wh: Warehouse) -> DataFrame:
-    raw = wh.raw_tables.bookings
+    raw = wh.raw_bookings
     return identity.canonical_bookings(cleaning.clean_bookings(raw), raw, wh.crosswalk).select(
         *BOOKINGS.names
     )
 
 
 def _identified_events(wh: Warehouse) -> DataFrame:
-    clean = cleaning.clean_events(wh.raw_tables.events)
+    clean = cleaning.clean_events(wh.raw_events)
     return identity.flag_bots(identity.identify_events(clean, wh.identities))
 
 
@@ -54,10 +54,10 @@ def _destination_table(wh: Warehouse) -> DataFrame:
 def queries() -> dict[str, Query]:
     prepared: dict[str, Query] = {
         "clean_bookings": _clean_bookings,
-        "clean_customers": lambda wh: cleaning.clean_customers(wh.raw_tables.customers),
-        "clean_events": lambda wh: cleaning.clean_events(wh.raw_tables.events),
-        "clean_tours": lambda wh: cleaning.clean_tours(wh.raw_tables.tours),
-        "customer_crosswalk": lambda wh: identity.customer_crosswalk(wh.raw_tables.customers),
+        "clean_customers": lambda wh: cleaning.clean_customers(wh.raw_customers),
+        "clean_events": lambda wh: cleaning.clean_events(wh.raw_events),
+        "clean_tours": lambda wh: cleaning.clean_tours(wh.raw_tours),
+        "customer_crosswalk": lambda wh: identity.customer_crosswalk(wh.raw_customers),
         "bookings_canonical": _canonical_bookings,
         "events_identified": _identified_events,
         "events_slim": lambda wh: slim_events(wh.events),

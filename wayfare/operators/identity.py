@@ -44,46 +44,56 @@ def translate_users(
     return joined.withColumn("user_id", user).select(*facts.columns)
 
 
-def identity_map(events: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """Per (cookie, delivered user id): events, canonical id and the id of the cookie.
+def cookie_users(events: DataFrame) -> DataFrame:
+    """Events, and events with a booking id, per cookie and delivered user id."""
+    return events.groupBy("cookie_id", "user_id").agg(
+        F.count(F.lit(1)).alias("eventos"), F.count("reserva_id").alias("con_reserva")
+    )
+
+
+def identity_map(pairs: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """``cookie_users`` with the canonical user id and the id its cookie belongs to.
 
-    Events are grouped first, so both the translation and the propagation work on one row
-    per cookie and user instead of on events. Most pairs are anonymous and leave the
-    translation join before its shuffle.
+    Translation and propagation work on one row per cookie and user instead of on events.
     """
-    pairs = events.groupBy("cookie_id", "user_id").agg(F.count(F.lit(1)).alias("_n"))
-    known = (
+    known = translate_users(
         pairs.where(F.col("user_id").isNotNull())
-        .join(crosswalk, F.col("user_id") == F.col("user_id_original"), "inner")
-        .select(
-            F.col("cookie_id").alias("_cookie"),
-            F.col("user_id").alias("_user"),
-            "user_id_canonico",
-        )
+        .select("cookie_id", "user_id", F.col("user_id").alias("delivered")),
+        crosswalk,
+        spread_by="cookie_id",
+    ).where(F.col("user_id").isNotNull())
+    owner = known.groupBy("cookie_id").agg(F.max("user_id").alias("user_id_propagado"))
+    translation = known.select(
+        F.col("cookie_id").alias("_cookie"),
+        F.col("delivered").alias("_user"),
+        F.col("user_id").alias("user_id_canonico"),
     )
-    owner = known.groupBy(F.col("_cookie").alias("_owned")).agg(
-        F.max("user_id_canonico").alias("user_id_propagado")
+    # a pair occurs once, so this key cannot be hot
+    same_pair = F.col("cookie_id").eqNullSafe(F.col("_cookie")) & (F.col("user_id") == F.col("_user"))
+    translated = pairs.join(translation, same_pair, "left").select(
+        *pairs.columns, "user_id_canonico"
     )
-    return (
-        pairs.join(
-            known,
-            F.col("cookie_id").eqNullSafe(F.col("_cookie")) & (F.col("user_id") == F.col("_user")),
-            "left",
-        )
-        .join(owner, F.col("cookie_id").eqNullSafe(F.col("_owned")), "left")
-        .select("cookie_id", "user_id", "user_id_canonico", "user_id_propagado", "_n")
+    return salted_lookup(
+        translated,
+        owner,
+        on=["cookie_id"],
+        spread_by="user_id",
+        counts=key_counts(pairs, ["cookie_id"]),
     )
 
 
 def identify_events(events: DataFrame, identities: DataFrame) -> DataFrame:
     """Translate ``user_id`` and add ``user_id_propagado`` with one join per event."""
-    resolved = identities.where(F.col("user_id_propagado").isNotNull()).drop("_n")
+    pair = ["cookie_id", "user_id"]
+    resolved = identities.where(F.col("user_id_propagado").isNotNull()).select(
+        *pair, "user_id_canonico", "user_id_propagado"
+    )
     joined = salted_lookup(
         events,
         resolved,
-        on=["cookie_id", "user_id"],
+        on=pair,
         spread_by="event_id",
-        counts=identities.select("cookie_id", "user_id", "_n"),
+        counts=identities.select(*pair, F.col("eventos").alias("_n")),
     )
     return joined.withColumn("user_id", F.col("user_id_canonico")).select(
         *events.columns, "user_id_propagado"

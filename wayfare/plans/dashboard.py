@@ -23,7 +23,7 @@ from wayfare.functions.exprs import (
 )
 from wayfare.operators.cohort import exposure, repeated
 from wayfare.operators.rates import retention_rate
-from wayfare.operators.sessions import sessions, usual_device
+from wayfare.operators.sessions import sessions
 from wayfare.plans.traffic import session_type
 from wayfare.schemas import BOOKINGS
 from wayfare.sources.warehouse import Warehouse
@@ -298,7 +298,7 @@ def cohort_factor_campaign(wh: Warehouse, f: Filters) -> DataFrame:
 
 
 def cohort_factor_device(wh: Warehouse, f: Filters) -> DataFrame:
-    customers = _mature(wh, f).join(usual_device(wh.events), "user_id", "inner")
+    customers = _mature(wh, f).join(wh.usual_device, "user_id", "inner")
     return (
         customers.groupBy(F.col("device").alias("factor"))
         .agg(

@@ -102,7 +102,7 @@ def dq_client_cookie(wh: Warehouse) -> DataFrame:
 def identity_recovery(wh: Warehouse) -> DataFrame:
     """Events that got a customer from their cookie, from the counts of the identity map."""
     before, after = F.col("user_id_canonico").isNull(), F.col("user_id_propagado").isNull()
-    n = F.col("_n")
+    n = F.col("eventos")
 
     def events_where(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, n)), F.lit(0).cast("long"))
@@ -120,14 +120,17 @@ def identity_recovery(wh: Warehouse) -> DataFrame:
 
 
 def bot_candidates(wh: Warehouse, times_average: float = 5.0) -> DataFrame:
-    """Cookies far above the average volume with neither a customer nor a booking."""
-    per_cookie = wh.events.groupBy("cookie_id").agg(
-        n_rows().alias("eventos"),
-        F.count("user_id_propagado").alias("con_usuario"),
-        F.count("reserva_id").alias("con_reserva"),
+    """Cookies far above the average volume with neither a customer nor a booking.
+
+    Works on the identity map, which already holds the counts per cookie and user.
+    """
+    per_cookie = wh.identities.groupBy("cookie_id").agg(
+        F.sum("eventos").alias("eventos"),
+        F.max("user_id_propagado").alias("usuario"),
+        F.sum("con_reserva").alias("con_reserva"),
     )
     average = per_cookie.agg(F.avg("eventos")).scalar()
-    quiet = (F.col("con_usuario") == 0) & (F.col("con_reserva") == 0)
+    quiet = F.col("usuario").isNull() & (F.col("con_reserva") == 0)
     return per_cookie.where(quiet & (F.col("eventos") > F.lit(times_average) * average)).select(
         "cookie_id", "eventos"
     )
@@ -138,7 +141,7 @@ def dq_event_date_formats(wh: Warehouse) -> DataFrame:
     text = F.col("event_date")
     iso = F.try_to_timestamp(text, F.lit(L.ISO_TIMESTAMP)).isNotNull()
     day_first = F.try_to_timestamp(text, F.lit(L.DAY_FIRST_TIMESTAMP)).isNotNull()
-    summary = wh.raw_tables.events.agg(
+    summary = wh.raw_events.agg(
         F.count_if(iso).alias("iso"),
         F.count_if(~iso & day_first).alias("day_first"),
         F.count_if(~iso & ~day_first).alias("neither"),
@@ -182,7 +185,7 @@ def dq_duplicate_bookings(wh: Warehouse) -> DataFrame:
     ``mismos_digitos``: the last four digits of both ids agree; ``sin_evento``: no web event
     mentions the copy. A group of copies of any size is spread over salts.
     """
-    raw = wh.raw_tables.bookings
+    raw = wh.raw_bookings
     groups = raw.groupBy(*BOOKING_KEY).agg(
         F.min("reserva_id").alias("reserva_id_original"), n_rows().alias("_n")
     )
@@ -265,14 +268,13 @@ def dq_provider_after_end(wh: Warehouse) -> DataFrame:
 
 def dq_orphan_provider(wh: Warehouse) -> DataFrame:
     """Providers named by tours but missing from the provider table; bookings affected."""
-    raw = wh.raw_tables
     per_tour = (
         wh.bookings.where(F.col("tour_id").isNotNull())
         .groupBy("tour_id")
         .agg(n_rows().alias("reservas"))
     )
     return (
-        orphan_tours(raw.tours, raw.providers)
+        orphan_tours(wh.raw_tours, wh.providers)
         .select("tour_id", "proveedor_id")
         .join(per_tour, "tour_id", "left")
         .groupBy("proveedor_id")
@@ -284,38 +286,43 @@ def dq_orphan_provider(wh: Warehouse) -> DataFrame:
 
 
 def dq_party_size(wh: Warehouse) -> DataFrame:
-    """Are impossible party sizes tied to one provider or tour?"""
-    bad = F.col("personas") <= 0
-    per_pair = (
-        wh.raw_tables.bookings.groupBy("proveedor_id", "tour_id")
-        .agg(n_rows().alias("n"), F.count_if(bad).alias("k"))
-    )
-    totals = per_pair.agg(F.sum("k").alias("invalidas"), F.sum("n").alias("total"))
-
-    def top(column: str, name: str) -> DataFrame:
-        per_value = (
-            per_pair.where(F.col(column).isNotNull() & (F.col("k") > 0))
-            .groupBy(column)
-            .agg(F.sum("k").alias("k"))
-        )
-        return per_value.agg(n_rows().alias(name), F.max("k").alias(f"max_{name}"))
+    """Are impossible party sizes tied to one provider or tour?
 
-    providers, tours = top("proveedor_id", "proveedores"), top("tour_id", "tours")
+    Bookings are counted per provider and tour once; totals by provider, by tour and
+    overall are grouping sets over those counts.
+    """
+    per_pair = wh.raw_bookings.groupBy("proveedor_id", "tour_id").agg(
+        n_rows().alias("n"), F.count_if(F.col("personas") <= 0).alias("k")
+    )
+    provider, tour = F.col("proveedor_id"), F.col("tour_id")
+    levels = per_pair.groupingSets([[provider], [tour], []], provider, tour).agg(
+        F.grouping_id().alias("level"), F.sum("n").alias("n"), F.sum("k").alias("k")
+    )
+    by_provider = (F.col("level") == 1) & provider.isNotNull() & (F.col("k") > 0)
+    by_tour = (F.col("level") == 2) & tour.isNotNull() & (F.col("k") > 0)
+    overall = F.col("level") == 3
     invalid = F.col("invalidas")
-    return totals.select(
+    return levels.agg(
+        F.max(F.when(overall, F.col("k"))).alias("invalidas"),
+        F.max(F.when(overall, F.col("n"))).alias("total"),
+        F.count_if(by_provider).alias("proveedores"),
+        F.count_if(by_tour).alias("tours"),
+        F.max(F.when(by_provider, F.col("k"))).alias("max_proveedor"),
+        F.max(F.when(by_tour, F.col("k"))).alias("max_tour"),
+    ).select(
         "invalidas",
         "total",
         pct(invalid, F.col("total")).alias("pct"),
-        providers.select("proveedores").scalar().alias("proveedores"),
-        tours.select("tours").scalar().alias("tours"),
-        pct(providers.select("max_proveedores").scalar(), invalid).alias("pct_mayor_proveedor"),
-        pct(tours.select("max_tours").scalar(), invalid).alias("pct_mayor_tour"),
+        "proveedores",
+        "tours",
+        pct(F.col("max_proveedor"), invalid).alias("pct_mayor_proveedor"),
+        pct(F.col("max_tour"), invalid).alias("pct_mayor_tour"),
     )
 
 
 def dq_booking_id(wh: Warehouse) -> DataFrame:
     """Booking ids that occur more than once in the raw table."""
-    per_id = wh.raw_tables.bookings.groupBy("reserva_id").agg(n_rows().alias("n"))
+    per_id = wh.raw_bookings.groupBy("reserva_id").agg(n_rows().alias("n"))
     summary = per_id.agg(F.count_if(F.col("n") > 1).alias("n"), n_rows().alias("total"))
     return checks(summary, [("reserva_id repetido", F.col("n"), F.col("total"))])
 
@@ -334,7 +341,7 @@ def dq_customer_dates(wh: Warehouse, today: dt.date | None = None) -> DataFrame:
         now = F.lit(today)
     joined, gone = F.col("fecha_alta"), F.col("fecha_baja")
     length = days_between(joined, gone)
-    return wh.raw_tables.customers.agg(
+    return wh.raw_customers.agg(
         n_rows().alias("clientes"),
         F.count_if(joined > now).alias("alta_futura"),
         F.count_if(gone > now).alias("baja_futura"),

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wayfare import labels as L
 from wayfare.functions.exprs import (
@@ -23,7 +22,6 @@ from wayfare.functions.exprs import (
 )
 from wayfare.operators.cohort import booking_order, cohort, mature
 from wayfare.operators.rates import repeat_rate, standardise
-from wayfare.operators.sessions import usual_device
 from wayfare.sources.warehouse import Warehouse
 
 
@@ -158,7 +156,7 @@ def factor_campaign(wh: Warehouse) -> DataFrame:
 
 def factor_device(wh: Warehouse) -> DataFrame:
     """By usual device; both sides hold one row per customer."""
-    customers = base(wh).join(usual_device(wh.events), "user_id", "inner")
+    customers = base(wh).join(wh.usual_device, "user_id", "inner")
     return repeat_rate(customers, {"grupo": F.col("device")})
 
 

@@ -15,11 +15,15 @@ CORRUPT = "_corrupt_record"
 
 @dataclass(frozen=True)
 class RawTables:
+    """The raw tables. Those named in ``staged`` are worth a parquet copy before use: text
+    that would be parsed again in every pass, or the result of a join."""
+
     bookings: DataFrame
     customers: DataFrame
     providers: DataFrame
     tours: DataFrame
     events: DataFrame
+    staged: tuple[str, ...] = ()
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -63,6 +67,7 @@ def from_csv(spark: SparkSession, folder: str) -> RawTables:
         providers=tables["proveedores"],
         tours=tables["tours"],
         events=tables["ga_eventos"],
+        staged=("bookings", "customers", "providers", "tours", "events"),
     )
 
 
@@ -206,4 +211,5 @@ def from_benchmark(spark: SparkSession, sf_dir: str) -> RawTables:
         providers=_providers(table("supplier")),
         tours=_tours(table("part")),
         events=_events(table("events")),
+        staged=("bookings",),
     )

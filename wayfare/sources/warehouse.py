@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from functools import cached_property
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +13,32 @@ from wayfare.operators.cleaning import clean_bookings, clean_customers, clean_ev
 from wayfare.operators.cohort import first_bookings
 from wayfare.operators.identity import (
     canonical_bookings,
+    cookie_users,
     customer_crosswalk,
     flag_bots,
     identify_events,
     identity_map,
     with_destination,
 )
-from wayfare.operators.sessions import session_days
+from wayfare.operators.sessions import session_days, usual_device
 from wayfare.session import shared_folder
 from wayfare.sources.raw import CORRUPT, RawTables
 
-# the six tables of the clean database, in the order they are written
-CLEAN_TABLES = ("crosswalk_clientes", "tours", "proveedores", "clientes", "reservas", "ga_eventos")
-# roll-ups the metrics share
-ROLLUPS = ("primeras_reservas", "primeras_reservas_con_tour", "sesiones_dia")
+# properties of a Warehouse in the order they build on each other
+TABLES = (
+    "crosswalk",
+    "tours",
+    "providers",
+    "customers",
+    "bookings",
+    "cookie_users",
+    "identities",
+    "events",
+    "firsts",
+    "firsts_with_tour",
+    "session_days",
+    "usual_device",
+)
 # what the dashboard needs of an event
 SLIM_EVENT_COLUMNS = (
     "session_id",
@@ -43,6 +56,11 @@ def slim_events(events: DataFrame) -> DataFrame:
     return events.select(*SLIM_EVENT_COLUMNS)
 
 
+def _valid(df: DataFrame) -> DataFrame:
+    """Without the column that keeps malformed lines."""
+    return df.drop(CORRUPT)
+
+
 class Warehouse:
     """Tables under one folder: built on first use from ``raw``, or read as they are without.
 
@@ -53,7 +71,9 @@ class Warehouse:
     def __init__(self, spark: SparkSession, folder: str, raw: RawTables | None = None):
         self.spark = spark
         self.folder = folder.rstrip("/")
-        self.raw = raw
+        self._raw = raw
+        self._ready: dict[str, DataFrame] = {}
+        self._lock = threading.RLock()
 
     @classmethod
     def scratch(cls, spark: SparkSession, raw: RawTables) -> Warehouse:
@@ -62,87 +82,122 @@ class Warehouse:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def _stored(
+        self, name: str, build: Callable[[], DataFrame], partition_by: str | None = None
+    ) -> DataFrame:
+        with self._lock:
+            if name not in self._ready:
+                if self._raw is not None:
+                    self._write(name, build(), partition_by)
+                self._ready[name] = self.spark.read.parquet(self.path(name))
+            return self._ready[name]
+
+    def _write(self, name: str, df: DataFrame, partition_by: str | None) -> None:
+        if partition_by:
+            # balanced files per partition value: a busy day is split, quiet ones merged
+            writer = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
+        else:
+            writer = df.write
+        writer.mode("overwrite").parquet(self.path(name))
+
+    # --- raw tables, staged where their source is costly to read again ---------
+
+    def _raw_table(self, name: str) -> DataFrame:
+        if self._raw is None:
+            return self._stored(f"raw_{name}", lambda: None)
+        df = getattr(self._raw, name)
+        return self._stored(f"raw_{name}", lambda: df) if name in self._raw.staged else df
+
+    @property
+    def raw_bookings(self) -> DataFrame:
+        return self._raw_table("bookings")
+
+    @property
+    def raw_customers(self) -> DataFrame:
+        return self._raw_table("customers")
+
+    @property
+    def raw_providers(self) -> DataFrame:
+        return self._raw_table("providers")
+
+    @property
+    def raw_tours(self) -> DataFrame:
+        return self._raw_table("tours")
+
+    @property
+    def raw_events(self) -> DataFrame:
+        return self._raw_table("events")
+
+    # --- the six clean tables --------------------------------------------------
+
     @property
-    def raw_tables(self) -> RawTables:
-        if self.raw is None:
-            raise ValueError(f"{self.folder} is read-only: no raw tables given")
-        return self.raw
-
-    def _stored(self, name: str, build, partition_by: str | None = None) -> DataFrame:
-        if self.raw is not None:
-            df = build()
-            if CORRUPT in df.columns:
-                df = df.drop(CORRUPT)
-            if partition_by:
-                # balanced files per partition value: a busy day is split, quiet ones merged
-                df = df.hint("rebalance", partition_by)
-            writer = df.write.mode("overwrite")
-            if partition_by:
-                writer = writer.partitionBy(partition_by)
-            writer.parquet(self.path(name))
-        return self.spark.read.parquet(self.path(name))
-
-    @cached_property
     def crosswalk(self) -> DataFrame:
-        return self._stored(
-            "crosswalk_clientes", lambda: customer_crosswalk(self.raw_tables.customers)
-        )
+        return self._stored("crosswalk_clientes", lambda: customer_crosswalk(self.raw_customers))
 
-    @cached_property
+    @property
     def tours(self) -> DataFrame:
-        return self._stored("tours", lambda: clean_tours(self.raw_tables.tours))
+        return self._stored("tours", lambda: _valid(clean_tours(self.raw_tours)))
 
-    @cached_property
+    @property
     def providers(self) -> DataFrame:
-        return self._stored("proveedores", lambda: self.raw_tables.providers)
+        return self._stored("proveedores", lambda: _valid(self.raw_providers))
 
-    @cached_property
+    @property
     def customers(self) -> DataFrame:
-        return self._stored("clientes", lambda: clean_customers(self.raw_tables.customers))
+        return self._stored("clientes", lambda: _valid(clean_customers(self.raw_customers)))
 
-    @cached_property
+    @property
     def bookings(self) -> DataFrame:
+        """Clean bookings under canonical users, next to their tour's destination and price."""
+
         def build() -> DataFrame:
-            raw = self.raw_tables.bookings
+            raw = self.raw_bookings
             canonical = canonical_bookings(clean_bookings(raw), raw, self.crosswalk)
             return with_destination(canonical, self.tours, raw)
 
         return self._stored("reservas", build)
 
-    @cached_property
-    def identities(self) -> DataFrame:
-        return self._stored(
-            "identidades", lambda: identity_map(self.raw_tables.events, self.crosswalk)
-        )
-
-    @cached_property
+    @property
     def events(self) -> DataFrame:
+        """Clean events with identity and bot flag, in one folder per day."""
+
         def build() -> DataFrame:
-            clean = clean_events(self.raw_tables.events)
+            clean = clean_events(_valid(self.raw_events))
             flagged = flag_bots(identify_events(clean, self.identities))
             return flagged.withColumn("dia", F.to_date("event_date"))
 
         return self._stored("ga_eventos", build, partition_by="dia")
 
-    @cached_property
+    # --- roll-ups several metrics share ----------------------------------------
+
+    @property
+    def cookie_users(self) -> DataFrame:
+        return self._stored("cookies_usuarios", lambda: cookie_users(self.raw_events))
+
+    @property
+    def identities(self) -> DataFrame:
+        return self._stored("identidades", lambda: identity_map(self.cookie_users, self.crosswalk))
+
+    @property
     def firsts(self) -> DataFrame:
         return self._stored("primeras_reservas", lambda: first_bookings(self.bookings))
 
-    @cached_property
+    @property
     def firsts_with_tour(self) -> DataFrame:
         return self._stored(
             "primeras_reservas_con_tour", lambda: first_bookings(self.bookings, with_tour_only=True)
         )
 
-    @cached_property
+    @property
     def session_days(self) -> DataFrame:
         return self._stored("sesiones_dia", lambda: session_days(self.events))
 
+    @property
+    def usual_device(self) -> DataFrame:
+        return self._stored("dispositivo_habitual", lambda: usual_device(self.events))
+
     def write_all(self) -> Warehouse:
-        for name in (
-            "crosswalk", "tours", "providers", "customers", "bookings", "identities",
-            "events", "firsts", "firsts_with_tour", "session_days",
-        ):
+        for name in TABLES:
             getattr(self, name)
         return self
 
