@@ -69,6 +69,16 @@ def test_customers(make):
         ("2025-03-05 09:07:01", dt.datetime(2025, 3, 5, 9, 7, 1)),
         ("05/03/2025 09:07", dt.datetime(2025, 3, 5, 9, 7)),
         ("5/3/2025 9:07", dt.datetime(2025, 3, 5, 9, 7)),
+        ("2025-3-5 9:7:1", dt.datetime(2025, 3, 5, 9, 7, 1)),
+        (" 05/03/2025  09:07 ", dt.datetime(2025, 3, 5, 9, 7)),
+        ("5/3/25 9:07", dt.datetime(25, 3, 5, 9, 7)),
+        ("2025-03-05 09:07:01.5", None),
+        ("2025-03-05T09:07:01", None),
+        ("2025-03-05 09:07", None),
+        ("05/03/2025 09:07:11", None),
+        ("2025-01-01 24:00:00", None),
+        ("12025-01-01 00:00:00", None),
+        ("005/03/2025 09:07", None),
         ("31/02/2025 09:07", None),
         ("2025-13-01 00:00:00", None),
         ("", None),

@@ -46,6 +46,11 @@ def test_empty_selection_keeps_nothing(wh):
     assert rows(D.period_kpis(wh, f)) == [(None, 0, None, 0, None, None, 0.0)]
 
 
+def test_no_selection_keeps_every_channel_and_destination(wh):
+    everything = D.bookings_filtered(wh, Filters(ALL.since, ALL.until))
+    assert {r.user_id for r in everything.collect()} == {1, 2, 3, 4, 5}
+
+
 def test_values_are_not_spliced_into_sql(wh):
     f = Filters(ALL.since, ALL.until, ("SEO' OR '1'='1",), ALL.destinations)
     assert D.bookings_filtered(wh, f).count() == 0
@@ -88,6 +93,10 @@ def test_change_when_comparable(make):
     assert presets["Histórico con volumen"]["desde"] == day("2025-01-01")
     assert presets["Últimos 12 meses"]["desde"] == day("2025-01-01")  # not before the data
     assert all(p["hasta"] == day("2025-02-25") for p in presets.values())
+    chosen = Filters.preset(wh, "Últimos 90 días", grain="week")
+    assert (chosen.since, chosen.until, chosen.grain) == (day("2025-01-01"), day("2025-02-25"), "week")
+    with pytest.raises(ValueError):
+        Filters.preset(wh, "Ayer")
 
 
 def test_bounds_and_domains(wh):

@@ -19,8 +19,9 @@ DEVICE_TYPOS = {"desktp": "desktop"}
 BOT_CLIENT_IDS = ("Tbot0000000",)
 ORPHAN_PROVIDERS = (1099,)
 PLACEHOLDER_BIRTHDATE = dt.date(1900, 1, 1)
-ISO_TIMESTAMP = "yyyy-MM-dd HH:mm:ss"
-DAY_FIRST_TIMESTAMP = "d/M/yyyy H:mm"
+# the two timestamp formats of the event export: shape of the text, how to read it
+ISO_TIMESTAMP = (r"^\d{1,4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "y-M-d H:m:s")
+DAY_FIRST_TIMESTAMP = (r"^\d{1,2}/\d{1,2}/\d{1,4} \d{1,2}:\d{1,2}$", "d/M/y H:m")
 DESTINATION_URL_PART = 5
 
 # --- Fixed values: web events ------------------------------------------------

@@ -26,6 +26,15 @@ def drop_booking_copies(raw: DataFrame) -> DataFrame:
     return raw.groupBy(*BOOKING_KEY).agg(F.min("reserva_id").alias("reserva_id"))
 
 
+def booking_copies(raw: DataFrame) -> DataFrame:
+    """The values of bookings that occur more than once, with the id kept and the count."""
+    return (
+        raw.groupBy(*BOOKING_KEY)
+        .agg(F.min("reserva_id").alias("reserva_id_original"), F.count(F.lit(1)).alias("_n"))
+        .where("_n > 1")
+    )
+
+
 def clean_bookings(raw: DataFrame) -> DataFrame:
     return (
         drop_booking_copies(raw)
@@ -69,11 +78,23 @@ def clean_customers(raw: DataFrame, distinct_nulls: bool = False) -> DataFrame:
     )
 
 
+def parse_timestamp(text: Column, form: tuple[str, str]) -> Column:
+    """Timestamp in one format, else NULL; extra spaces are forgiven.
+
+    The shape is looked at first: letting the parser fail throws an exception per row,
+    which is slow when half a table is in the other format.
+    """
+    shape, pattern = form
+    tidy = F.regexp_replace(F.trim(text), " +", " ")
+    parsed = F.try_to_timestamp(tidy, F.lit(pattern))
+    return F.when(tidy.rlike(shape), parsed).cast("timestamp_ntz")
+
+
 def event_timestamp(text: Column) -> Column:
     """Either of the two formats of the export; NULL for anything else."""
-    iso = F.try_to_timestamp(text, F.lit(L.ISO_TIMESTAMP))
-    day_first = F.try_to_timestamp(text, F.lit(L.DAY_FIRST_TIMESTAMP))
-    return F.coalesce(iso, day_first).cast("timestamp_ntz")
+    return F.coalesce(
+        parse_timestamp(text, L.ISO_TIMESTAMP), parse_timestamp(text, L.DAY_FIRST_TIMESTAMP)
+    )
 
 
 def normal_device(device: Column, typos: Mapping[str, str] = L.DEVICE_TYPOS) -> Column:

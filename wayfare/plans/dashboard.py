@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,19 +33,28 @@ from wayfare.sources.warehouse import Warehouse
 class Filters:
     """Date range (inclusive), channels, destinations and time grain of a report.
 
-    An empty tuple selects nothing, as an emptied selection does.
+    ``None`` selects every channel or destination there is; an empty tuple selects nothing,
+    as an emptied selection does.
     """
 
     since: dt.date
     until: dt.date
-    channels: tuple[str, ...] = field(default=())
-    destinations: tuple[str, ...] = field(default=())
+    channels: tuple[str, ...] | None = None
+    destinations: tuple[str, ...] | None = None
     grain: str = "month"
 
     def __post_init__(self):
         if self.grain not in L.GRAINS.values():
             raise ValueError(f"unknown grain: {self.grain}")
 
+    @classmethod
+    def preset(cls, wh: Warehouse, name: str, **more) -> Filters:
+        """One of the ready-made ranges of ``date_presets``."""
+        if name not in L.PRESETS:
+            raise ValueError(f"unknown range: {name}")
+        chosen = date_presets(wh).where(F.col("rango") == name).first()
+        return cls(chosen["desde"], chosen["hasta"], **more)
+
     def previous(self) -> Filters:
         """The period of equal length right before this one."""
         length = (self.until - self.since).days + 1
@@ -68,7 +77,10 @@ def _between(column: str, f: Filters) -> Column:
 
 
 def _selected(f: Filters) -> Column:
-    return F.col("canal").isin(*f.channels) & F.col("destino").isin(*f.destinations)
+    def among(column: str, values: tuple[str, ...] | None) -> Column:
+        return F.col(column).isNotNull() if values is None else F.col(column).isin(*values)
+
+    return among("canal", f.channels) & among("destino", f.destinations)
 
 
 # --- range and filter choices ------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare import labels as L
 from wayfare.functions.exprs import days_between, is_state, mean, n_rows, pct, rnd
-from wayfare.operators.cleaning import orphan_tours
+from wayfare.operators.cleaning import orphan_tours, parse_timestamp
 from wayfare.operators.skew import salted_lookup
 from wayfare.schemas import BOOKING_KEY
 from wayfare.sources.warehouse import Warehouse
@@ -139,8 +139,8 @@ def bot_candidates(wh: Warehouse, times_average: float = 5.0) -> DataFrame:
 def dq_event_date_formats(wh: Warehouse) -> DataFrame:
     """Rows per timestamp format; what fits neither is listed too."""
     text = F.col("event_date")
-    iso = F.try_to_timestamp(text, F.lit(L.ISO_TIMESTAMP)).isNotNull()
-    day_first = F.try_to_timestamp(text, F.lit(L.DAY_FIRST_TIMESTAMP)).isNotNull()
+    iso = parse_timestamp(text, L.ISO_TIMESTAMP).isNotNull()
+    day_first = parse_timestamp(text, L.DAY_FIRST_TIMESTAMP).isNotNull()
     summary = wh.raw_events.agg(
         F.count_if(iso).alias("iso"),
         F.count_if(~iso & day_first).alias("day_first"),
@@ -183,20 +183,18 @@ def dq_duplicate_bookings(wh: Warehouse) -> DataFrame:
     """Each dropped copy with the booking it repeats.
 
     ``mismos_digitos``: the last four digits of both ids agree; ``sin_evento``: no web event
-    mentions the copy. A group of copies of any size is spread over salts.
+    mentions the copy. The list of repeated values is stored and as a rule small, so the
+    bookings are read without a shuffle; should it be large, a group of copies of any size
+    is spread over salts.
     """
-    raw = wh.raw_bookings
-    groups = raw.groupBy(*BOOKING_KEY).agg(
-        F.min("reserva_id").alias("reserva_id_original"), n_rows().alias("_n")
-    )
-    repeated = groups.where("_n > 1")
+    repeated = wh.booking_copies
     copies = (
         salted_lookup(
-            raw,
+            wh.raw_bookings,
             repeated.drop("_n"),
             on=BOOKING_KEY,
             spread_by="reserva_id",
-            counts=groups.select(*BOOKING_KEY, "_n"),
+            counts=repeated.select(*BOOKING_KEY, "_n"),
         )
         .where(F.col("reserva_id") != F.col("reserva_id_original"))
         .select("reserva_id", "reserva_id_original")

@@ -12,7 +12,6 @@ from wayfare.functions.exprs import (
     pct,
     share_of_total,
 )
-from wayfare.operators.sessions import sessions
 from wayfare.operators.skew import salted_lookup
 from wayfare.sources.warehouse import Warehouse
 
@@ -23,8 +22,7 @@ def session_type(anonymous: str = L.ANONYMOUS) -> Column:
 
 def sessions_known(wh: Warehouse) -> DataFrame:
     counted = (
-        sessions(wh.session_days)
-        .groupBy(session_type().alias("tipo_sesion"))
+        wh.sessions.groupBy(session_type().alias("tipo_sesion"))
         .agg(n_rows().alias("sesiones"))
     )
     return counted.select("tipo_sesion", "sesiones", share_of_total("sesiones").alias("pct")).orderBy(
@@ -34,8 +32,7 @@ def sessions_known(wh: Warehouse) -> DataFrame:
 
 def funnel_by_session_type(wh: Warehouse) -> DataFrame:
     return (
-        sessions(wh.session_days)
-        .groupBy(session_type().alias("tipo_sesion"))
+        wh.sessions.groupBy(session_type().alias("tipo_sesion"))
         .agg(
             n_rows().alias("sesiones"),
             pct(F.sum("vi"), n_rows()).alias("pct_view_item"),
@@ -51,8 +48,7 @@ def funnel_by_device(wh: Warehouse) -> DataFrame:
     viewed, known = F.col("vi") == 1, F.col("ident") == 1
     bought = F.col("pu") == 1
     grouped = (
-        sessions(wh.session_days)
-        .groupBy("device")
+        wh.sessions.groupBy("device")
         .agg(
             n_rows().alias("sesiones"),
             F.count_if(known).alias("n_ident"),
@@ -80,7 +76,7 @@ def funnel_by_device(wh: Warehouse) -> DataFrame:
 def conversion_gross(wh: Warehouse) -> DataFrame:
     """Sessions with an event that carries a booking id."""
     converted = F.sum("con_reserva")
-    return sessions(wh.session_days).agg(
+    return wh.sessions.agg(
         n_rows().alias("sesiones"),
         converted.alias("sesiones_con_reserva"),
         pct(converted, n_rows()).alias("pct_conversion_bruta"),

@@ -14,6 +14,9 @@ SETTINGS = {
     # Second line of defence after the explicit salting in operators.skew.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Where the measured build side of every partition is this small, hash instead of
+    # sorting both sides.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
 

@@ -9,7 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.operators.cleaning import clean_bookings, clean_customers, clean_events, clean_tours
+from wayfare.operators.cleaning import (
+    booking_copies,
+    clean_bookings,
+    clean_customers,
+    clean_events,
+    clean_tours,
+)
 from wayfare.operators.cohort import first_bookings
 from wayfare.operators.identity import (
     canonical_bookings,
@@ -20,7 +26,7 @@ from wayfare.operators.identity import (
     identity_map,
     with_destination,
 )
-from wayfare.operators.sessions import session_days, usual_device
+from wayfare.operators.sessions import session_days, sessions, usual_device
 from wayfare.session import shared_folder
 from wayfare.sources.raw import CORRUPT, RawTables
 
@@ -37,7 +43,9 @@ TABLES = (
     "firsts",
     "firsts_with_tour",
     "session_days",
+    "sessions",
     "usual_device",
+    "booking_copies",
 )
 # what the dashboard needs of an event
 SLIM_EVENT_COLUMNS = (
@@ -178,6 +186,10 @@ class Warehouse:
     def identities(self) -> DataFrame:
         return self._stored("identidades", lambda: identity_map(self.cookie_users, self.crosswalk))
 
+    @property
+    def booking_copies(self) -> DataFrame:
+        return self._stored("reservas_repetidas", lambda: booking_copies(self.raw_bookings))
+
     @property
     def firsts(self) -> DataFrame:
         return self._stored("primeras_reservas", lambda: first_bookings(self.bookings))
@@ -192,6 +204,10 @@ class Warehouse:
     def session_days(self) -> DataFrame:
         return self._stored("sesiones_dia", lambda: session_days(self.events))
 
+    @property
+    def sessions(self) -> DataFrame:
+        return self._stored("sesiones", lambda: sessions(self.session_days))
+
     @property
     def usual_device(self) -> DataFrame:
         return self._stored("dispositivo_habitual", lambda: usual_device(self.events))
