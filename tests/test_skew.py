@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from wayfare.operators.skew import hot_keys, key_counts, salted_lookup
+from wayfare.operators.skew import hot_keys, key_counts, balanced_lookup
 
 
 @pytest.fixture(scope="module")
@@ -21,12 +21,23 @@ def test_equals_plain_join(spark, skewed):
         (F.col("id") + 2).alias("k"), F.concat(F.lit("v"), F.col("id")).alias("v")
     )
     plain = skewed.join(lookup, "k", "left").select("id", "k", "v")
-    assert rows(salted_lookup(skewed, lookup, ["k"], "id", share=20)) == rows(plain)
+    assert rows(balanced_lookup(skewed, lookup, ["k"], "id", share=20, broadcast_rows=0)) == rows(plain)
+
+
+def test_only_a_lookup_counted_small_is_broadcast(spark, skewed):
+    lookup = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+
+    def shuffles(limit):
+        df = balanced_lookup(skewed, lookup, ["k"], "id", broadcast_rows=limit)
+        return "Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString()
+
+    assert not shuffles(10)
+    assert shuffles(9) and shuffles(0)
 
 
 def test_null_is_a_key(spark, skewed):
     lookup = spark.createDataFrame([(None, "none"), (7, "seven")], "k long, v string")
-    got = salted_lookup(skewed, lookup, ["k"], "id", share=20).groupBy("v").count()
+    got = balanced_lookup(skewed, lookup, ["k"], "id", share=20, broadcast_rows=0).groupBy("v").count()
     assert rows(got) == [(None, 1000), ("none", 1000), ("seven", 1000)]
 
 
@@ -50,7 +61,7 @@ def test_hot_key_is_spread_over_partitions(spark, skewed):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         lookup = spark.createDataFrame([(7, "seven")], "k long, v string")
-        joined = salted_lookup(skewed, lookup, ["k"], "id", share=50)
+        joined = balanced_lookup(skewed, lookup, ["k"], "id", share=50, broadcast_rows=0)
         sizes = [r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 3000 and max(sizes) < 1500
     finally:
@@ -63,10 +74,13 @@ def test_hot_key_is_spread_over_partitions(spark, skewed):
     keys=st.lists(st.one_of(st.none(), st.integers(0, 4)), min_size=1, max_size=30),
     known=st.sets(st.integers(0, 4)),
     share=st.sampled_from([2, 5, 10_000]),
+    broadcast_rows=st.sampled_from([0, 1, 100]),
 )
-def test_any_distribution(spark, keys, known, share):
+def test_any_distribution(spark, keys, known, share, broadcast_rows):
     facts = spark.createDataFrame(list(enumerate(keys)), "id long, k long")
     lookup = spark.createDataFrame([(k, f"v{k}") for k in known], "k long, v string")
     want = [(i, k, f"v{k}" if k in known else None) for i, k in enumerate(keys)]
-    got = {r.id: tuple(r) for r in salted_lookup(facts, lookup, ["k"], "id", share=share).collect()}
-    assert got == {w[0]: w for w in want}
+    rows_out = balanced_lookup(
+        facts, lookup, ["k"], "id", share=share, broadcast_rows=broadcast_rows
+    ).collect()
+    assert sorted(map(tuple, rows_out), key=lambda r: r[0]) == want

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare import labels as L
 from wayfare.operators.cleaning import document_groups, document_key
-from wayfare.operators.skew import key_counts, salted_lookup
+from wayfare.operators.skew import key_counts, balanced_lookup
 
 
 def customer_crosswalk(raw_customers: DataFrame, distinct_nulls: bool = False) -> DataFrame:
@@ -18,12 +18,13 @@ def customer_crosswalk(raw_customers: DataFrame, distinct_nulls: bool = False) -
         F.col("user_id").alias("user_id_original"), document_key(distinct_nulls).alias("dni_key")
     )
     groups = document_groups(raw_customers, distinct_nulls)
-    return salted_lookup(
+    return balanced_lookup(
         people,
         groups.select("dni_key", "user_id_canonico"),
         on=["dni_key"],
         spread_by="user_id_original",
         counts=groups.select("dni_key", "_n"),
+        broadcast_rows=0,
     ).select("user_id_original", "user_id_canonico")
 
 
@@ -38,7 +39,7 @@ def translate_users(
     known = crosswalk.where(F.col("user_id_original").isNotNull()).select(
         F.col("user_id_original").alias("user_id"), "user_id_canonico"
     )
-    joined = salted_lookup(facts, known, on=["user_id"], spread_by=spread_by, counts=counts)
+    joined = balanced_lookup(facts, known, on=["user_id"], spread_by=spread_by, counts=counts)
     canonical = F.col("user_id_canonico")
     user = F.coalesce(canonical, F.col("user_id")) if keep_unknown else canonical
     return joined.withColumn("user_id", user).select(*facts.columns)
@@ -73,12 +74,13 @@ def identity_map(pairs: DataFrame, crosswalk: DataFrame) -> DataFrame:
     translated = pairs.join(translation, same_pair, "left").select(
         *pairs.columns, "user_id_canonico"
     )
-    return salted_lookup(
+    return balanced_lookup(
         translated,
         owner,
         on=["cookie_id"],
         spread_by="user_id",
         counts=key_counts(pairs, ["cookie_id"]),
+        broadcast_rows=0,
     )
 
 
@@ -88,7 +90,7 @@ def identify_events(events: DataFrame, identities: DataFrame) -> DataFrame:
     resolved = identities.where(F.col("user_id_propagado").isNotNull()).select(
         *pair, "user_id_canonico", "user_id_propagado"
     )
-    joined = salted_lookup(
+    joined = balanced_lookup(
         events,
         resolved,
         on=pair,
@@ -109,12 +111,13 @@ def propagate_identity(events: DataFrame) -> DataFrame:
     cookies = events.groupBy("cookie_id").agg(
         F.max("user_id").alias("user_id_propagado"), F.count(F.lit(1)).alias("_n")
     )
-    return salted_lookup(
+    return balanced_lookup(
         events,
         cookies.where(F.col("user_id_propagado").isNotNull()).drop("_n"),
         on=["cookie_id"],
         spread_by="event_id",
         counts=cookies.select("cookie_id", "_n"),
+        broadcast_rows=0,
     )
 
 
@@ -139,7 +142,7 @@ def with_destination(bookings: DataFrame, tours: DataFrame, raw: DataFrame) -> D
     catalogue = tours.where(F.col("tour_id").isNotNull()).select(
         "tour_id", "destino", "precio_por_persona_eur", F.lit(True).alias("tour_conocido")
     )
-    joined = salted_lookup(
+    joined = balanced_lookup(
         bookings,
         catalogue,
         on=["tour_id"],

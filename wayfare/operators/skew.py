@@ -1,4 +1,4 @@
-"""Left join that stays balanced when one key holds a large part of the rows."""
+"""Left join to a lookup table that stays balanced whatever the key distribution."""
 
 from __future__ import annotations
 
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # fewer than HOT_SHARE keys can be hot: the list is safe to broadcast at any scale.
 HOT_SHARE = 10_000
 
+# A lookup of at most this many rows is sent to every executor, which needs no shuffle.
+BROADCAST_ROWS = 100_000
+
 
 def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
@@ -33,29 +36,41 @@ def _same(on: Sequence[str], left: str, right: str) -> Column:
     )
 
 
-def salted_lookup(
+def has_at_most(df: DataFrame, rows: int) -> bool:
+    """Size check before a broadcast. Counting a written table reads no column of it."""
+    return rows > 0 and df.count() <= rows
+
+
+def balanced_lookup(
     facts: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     spread_by: str,
     counts: DataFrame | None = None,
     share: int = HOT_SHARE,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``facts LEFT JOIN lookup`` on null-safe keys; ``lookup`` holds each key once.
 
-    Rows of a hot key get a salt taken from the ``spread_by`` column (a row id, so a
-    re-run task sends a row to the same place) and the one lookup row of that key is
-    copied once per salt. No partition then has to take more than about 1/share of the
-    rows on account of one key, and all copies together are fewer than 2 * share rows.
-    Spark still swaps the shuffle for a broadcast when it sees that ``lookup`` is small.
+    A lookup counted to be small is broadcast, so the facts stay where they are. Otherwise
+    rows of a hot key get a salt taken from the ``spread_by`` column (a row id, so a re-run
+    task sends a row to the same place) and the one lookup row of that key is copied once
+    per salt. No partition then has to take more than about 1/share of the rows on account
+    of one key, and all copies together are fewer than 2 * share rows.
 
     ``counts`` (keys + ``_n``) may come from the caller when it already grouped the facts.
+    ``broadcast_rows=0`` skips the size check, for lookups that are costly to count.
     """
+    values = [c for c in lookup.columns if c not in on]
+    keyed = lookup.select(*[F.col(c).alias(f"_key_{c}") for c in on], *values)
+    if has_at_most(lookup, broadcast_rows):
+        joined = facts.join(F.broadcast(keyed), _same(on, "", "_key_"), "left")
+        return joined.select(*facts.columns, *values)
+
     counts = key_counts(facts, on) if counts is None else counts
     total = counts.agg(F.sum("_n")).scalar()
     hot = hot_keys(counts.select(*on, "_n"), on, total, share)
     hot_names = [f"_hot_{c}" for c in on]
-    values = [c for c in lookup.columns if c not in on]
 
     salted = facts.join(F.broadcast(hot), _same(on, "", "_hot_"), "left").withColumn(
         "_salt",
@@ -64,8 +79,7 @@ def salted_lookup(
         ).otherwise(F.lit(0)),
     )
     copies = (
-        lookup.select(*[F.col(c).alias(f"_key_{c}") for c in on], *values)
-        .join(F.broadcast(hot), _same(on, "_key_", "_hot_"), "left")
+        keyed.join(F.broadcast(hot), _same(on, "_key_", "_hot_"), "left")
         .withColumn(
             "_key_salt",
             F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - F.lit(1))),

@@ -18,6 +18,7 @@ from wayfare.functions.exprs import (
     rnd,
     sum_if,
 )
+from wayfare.operators.skew import balanced_lookup
 from wayfare.sources.warehouse import Warehouse
 
 
@@ -111,21 +112,27 @@ def cancel_by_channel(wh: Warehouse) -> DataFrame:
     )
 
 
+def with_provider_end(wh: Warehouse, bookings: DataFrame) -> DataFrame:
+    """Bookings whose provider has left, with the day it left."""
+    left = wh.providers.where(F.col("proveedor_id").isNotNull() & F.col("fecha_baja").isNotNull())
+    return balanced_lookup(
+        bookings.where(F.col("proveedor_id").isNotNull()),
+        left.select("proveedor_id", "fecha_baja"),
+        on=["proveedor_id"],
+        spread_by="reserva_id",
+    ).where(F.col("fecha_baja").isNotNull())
+
+
 def terminated_provider_risk(wh: Warehouse) -> DataFrame:
-    """Confirmed bookings made after their provider had left, per provider and in total.
-
-    Bookings are summed per provider and day before they meet the providers, so a provider
-    with very many bookings reaches the join as at most one row per day.
-    """
-    daily = (
-        wh.bookings.where(is_state(L.CONFIRMED) & F.col("proveedor_id").isNotNull())
-        .groupBy("proveedor_id", F.to_date("fecha_reserva").alias("fr"))
-        .agg(n_rows().alias("n"), F.sum("importe_eur").alias("importe"))
+    """Confirmed bookings made after their provider had left, per provider and in total."""
+    confirmed = wh.bookings.where(is_state(L.CONFIRMED)).select(
+        "reserva_id", "proveedor_id", F.to_date("fecha_reserva").alias("fr"), "importe_eur"
     )
-    left = wh.providers.where(F.col("fecha_baja").isNotNull()).select("proveedor_id", "fecha_baja")
-    at_risk = daily.join(left, "proveedor_id", "inner").where(F.col("fr") > F.col("fecha_baja"))
-    by_provider = at_risk.groupBy("proveedor_id", "fecha_baja").agg(
-        F.sum("n").alias("n"), F.sum("importe").alias("importe")
+    by_provider = (
+        with_provider_end(wh, confirmed)
+        .where(F.col("fr") > F.col("fecha_baja"))
+        .groupBy("proveedor_id", "fecha_baja")
+        .agg(n_rows().alias("n"), F.sum("importe_eur").alias("importe"))
     )
     columns = [
         F.coalesce("n", F.lit(0).cast("long")).alias("reservas_confirmadas"),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from wayfare import labels as L
 from wayfare.functions.exprs import days_between, is_state, mean, n_rows, pct, rnd
 from wayfare.operators.cleaning import orphan_tours, parse_timestamp
-from wayfare.operators.skew import salted_lookup
+from wayfare.operators.skew import balanced_lookup
+from wayfare.plans.business import with_provider_end
 from wayfare.schemas import BOOKING_KEY
 from wayfare.sources.warehouse import Warehouse
 
@@ -189,7 +190,7 @@ def dq_duplicate_bookings(wh: Warehouse) -> DataFrame:
     """
     repeated = wh.booking_copies
     copies = (
-        salted_lookup(
+        balanced_lookup(
             wh.raw_bookings,
             repeated.drop("_n"),
             on=BOOKING_KEY,
@@ -223,31 +224,18 @@ def dq_campaign_missing(wh: Warehouse) -> DataFrame:
 
 
 def dq_provider_after_end(wh: Warehouse) -> DataFrame:
-    """Bookings made, or activities held, after the provider left; share confirmed.
-
-    Summed per provider, booking day and activity day before meeting the providers.
-    """
-    daily = (
-        wh.bookings.where(F.col("proveedor_id").isNotNull())
-        .groupBy(
-            "proveedor_id",
-            F.to_date("fecha_reserva").alias("fr"),
-            F.to_date("fecha_actividad").alias("fa"),
-        )
-        .agg(n_rows().alias("n"), F.count_if(is_state(L.CONFIRMED)).alias("k"))
+    """Bookings made, or activities held, after the provider left; share confirmed."""
+    bookings = wh.bookings.select(
+        "reserva_id", "proveedor_id", "fecha_reserva", "fecha_actividad", "estado"
     )
-    left = wh.providers.where(F.col("fecha_baja").isNotNull()).select("proveedor_id", "fecha_baja")
-    after = daily.join(left, "proveedor_id", "inner")
-    booked, held = F.col("fr") > F.col("fecha_baja"), F.col("fa") > F.col("fecha_baja")
-
-    def total(condition: Column, value: str) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col(value))), F.lit(0).cast("long"))
-
-    summary = after.agg(
-        total(booked, "n").alias("bn"),
-        total(booked, "k").alias("bk"),
-        total(held, "n").alias("hn"),
-        total(held, "k").alias("hk"),
+    booked = F.to_date("fecha_reserva") > F.col("fecha_baja")
+    held = F.to_date("fecha_actividad") > F.col("fecha_baja")
+    confirmed = is_state(L.CONFIRMED)
+    summary = with_provider_end(wh, bookings).agg(
+        F.count_if(booked).alias("bn"),
+        F.count_if(booked & confirmed).alias("bk"),
+        F.count_if(held).alias("hn"),
+        F.count_if(held & confirmed).alias("hk"),
     )
     rows = [
         F.struct(

@@ -12,7 +12,7 @@ from wayfare.functions.exprs import (
     pct,
     share_of_total,
 )
-from wayfare.operators.skew import salted_lookup
+from wayfare.operators.skew import balanced_lookup
 from wayfare.sources.warehouse import Warehouse
 
 
@@ -94,7 +94,9 @@ def conversion_net(wh: Warehouse) -> DataFrame:
         "reserva_id", F.lit(True).alias("confirmada")
     )
     per_session = (
-        salted_lookup(linked, confirmed, on=["reserva_id"], spread_by="session_id")
+        balanced_lookup(
+            linked, confirmed, on=["reserva_id"], spread_by="session_id", broadcast_rows=0
+        )
         .groupBy("session_id")
         .agg(F.max(F.coalesce("confirmada", F.lit(False))).alias("confirmada"))
     )
