@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 
 from tests.conftest import rows
-from wayfare import etl
+from wayfare import etl, session
 from wayfare.schemas import RAW
 from wayfare.session import shared_folder
 from wayfare.sources.raw import read_csv
@@ -113,5 +113,17 @@ def test_running_again_replaces_the_tables(spark, raw_folder, done):
     assert rows(Warehouse(spark, f"{done}/tables").bookings) == before
 
 
+def test_shuffles_widen_with_the_input(spark, raw_folder, monkeypatch):
+    before = session.shuffle_width(spark)
+    assert session.size_shuffles(spark, raw_folder) == before  # never narrower
+    size = session.folder_bytes(spark, raw_folder)
+    assert size == sum(len(text.encode()) for text in FILES.values())
+    monkeypatch.setattr(session, "TASK_BYTES", size // 20)
+    try:
+        assert session.size_shuffles(spark, raw_folder) in (40, 41)
+    finally:
+        spark.conf.unset(session.WIDTH)
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

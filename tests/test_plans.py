@@ -58,6 +58,10 @@ def test_filters_and_columns_reach_the_scan(wh):
         assert unused not in scan["ReadSchema"]
 
 
+def test_bookings_are_read_by_year(wh):
+    assert "PartitionFilters: [isnotnull(anio" in plan(dashboard.period_kpis(wh, catalogue.SALES))
+
+
 def test_events_are_read_by_day(wh):
     recent = wh.events.where("dia >= date '2024-01-20'").select("session_id")
     assert "PartitionFilters: [isnotnull(dia" in plan(recent)

@@ -10,13 +10,14 @@ import sys
 from pyspark.sql import SparkSession
 
 from wayfare.plans.report import write_report
-from wayfare.session import configure
+from wayfare.session import configure, size_shuffles
 from wayfare.sources.raw import from_csv
 from wayfare.sources.warehouse import Warehouse
 
 
 def run(spark: SparkSession, raw_folder: str, out_folder: str) -> Warehouse:
     configure(spark)
+    size_shuffles(spark, raw_folder)
     wh = Warehouse(spark, f"{out_folder}/tables", from_csv(spark, raw_folder)).write_all()
     wh.write_slim(f"{out_folder}/dashboard")
     write_report(wh, f"{out_folder}/report")

@@ -8,8 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot above 1/HOT_SHARE of all rows. Counts add up to the number of rows, so
-# fewer than HOT_SHARE keys can be hot: the list is safe to broadcast at any scale.
+from wayfare.session import shuffle_width
+
+# A key is hot above 1/HOT_SHARE of all rows, or above its share of a shuffle that is wider
+# than that. Counts add up to the number of rows, so fewer than that many keys can be hot:
+# the list is safe to broadcast whatever the data.
 HOT_SHARE = 10_000
 
 # A lookup of at most this many rows is sent to every executor, which needs no shuffle.
@@ -47,7 +50,7 @@ def balanced_lookup(
     on: Sequence[str],
     spread_by: str,
     counts: DataFrame | None = None,
-    share: int = HOT_SHARE,
+    share: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``facts LEFT JOIN lookup`` on null-safe keys; ``lookup`` holds each key once.
@@ -67,6 +70,7 @@ def balanced_lookup(
         joined = facts.join(F.broadcast(keyed), _same(on, "", "_key_"), "left")
         return joined.select(*facts.columns, *values)
 
+    share = share or max(HOT_SHARE, shuffle_width(facts.sparkSession))
     counts = key_counts(facts, on) if counts is None else counts
     total = counts.agg(F.sum("_n")).scalar()
     hot = hot_keys(counts.select(*on, "_n"), on, total, share)

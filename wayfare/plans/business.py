@@ -40,9 +40,10 @@ def business_summary(wh: Warehouse) -> DataFrame:
 
 def sales_by_semester(wh: Warehouse, since: dt.date = L.SALES_START) -> DataFrame:
     day = F.col("fecha_reserva")
+    recent = (F.col("anio") >= since.year) & (day >= F.lit(since).cast("timestamp_ntz"))
     half = F.when(F.month(day) <= 6, "-H1").otherwise("-H2")
     return (
-        wh.bookings.where(day >= F.lit(since).cast("timestamp_ntz"))
+        wh.bookings.where(recent)
         .groupBy(F.concat(F.year(day).cast("string"), half).alias("semestre"))
         .agg(
             F.count_if(is_state(L.CONFIRMED)).alias("reservas"),

@@ -69,11 +69,12 @@ def _day(column: str) -> Column:
     return F.to_date(F.col(column))
 
 
-def _between(column: str, f: Filters) -> Column:
-    """Day range on a timestamp, written as instants so that the scan can use it."""
+def _booked_between(f: Filters) -> Column:
+    """Booking day in the range: by year for the folders, as instants for the files."""
     start = F.lit(f.since).cast("timestamp_ntz")
     end = F.lit(f.until + dt.timedelta(days=1)).cast("timestamp_ntz")
-    return (F.col(column) >= start) & (F.col(column) < end)
+    years = F.col("anio").between(f.since.year, f.until.year)
+    return years & (F.col("fecha_reserva") >= start) & (F.col("fecha_reserva") < end)
 
 
 def _selected(f: Filters) -> Column:
@@ -130,7 +131,7 @@ def filter_domains(wh: Warehouse) -> DataFrame:
 def bookings_filtered(wh: Warehouse, f: Filters) -> DataFrame:
     """Bookings of known tours in the range, channels and destinations."""
     return wh.bookings.where(
-        _between("fecha_reserva", f) & F.col("tour_conocido") & _selected(f)
+        _booked_between(f) & F.col("tour_conocido") & _selected(f)
     ).select(*BOOKINGS.names, "destino", "precio_por_persona_eur")
 
 

@@ -45,9 +45,12 @@ def _tracked_ids(wh: Warehouse) -> DataFrame:
 def tracking_gap(wh: Warehouse, since: dt.date, until: dt.date) -> DataFrame:
     """Decided bookings per day, and how many of them no event mentions."""
     day = F.to_date("fecha_reserva")
-    decided = wh.bookings.where(
-        is_state(*L.RESOLVED) & day.between(F.lit(since), F.lit(until))
-    ).select("reserva_id", day.alias("dia"))
+    in_range = F.col("anio").between(since.year, until.year) & day.between(
+        F.lit(since), F.lit(until)
+    )
+    decided = wh.bookings.where(is_state(*L.RESOLVED) & in_range).select(
+        "reserva_id", day.alias("dia")
+    )
     untracked = F.count_if(F.col("con_evento").isNull())
     return (
         decided.join(_tracked_ids(wh), "reserva_id", "left")

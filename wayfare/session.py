@@ -20,6 +20,39 @@ SETTINGS = {
 }
 
 
+# Shuffle data one task should have to hold, and how much larger rows in a shuffle are
+# than the same rows in compressed files.
+TASK_BYTES = 256 * 1024**2
+SHUFFLE_EXPANSION = 2
+MAX_PARTITIONS = 100_000
+
+WIDTH = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions a shuffle starts with, before small ones are merged."""
+    return int(spark.conf.get(WIDTH, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(path).getLength()
+
+
+def size_shuffles(spark: SparkSession, folder: str) -> int:
+    """Make shuffles wide enough for the data in ``folder``; never narrower than configured.
+
+    Adaptive execution merges partitions that turn out small but cannot split the rest, so
+    the starting number has to suit the largest shuffle: all of the input.
+    """
+    wanted = folder_bytes(spark, folder) * SHUFFLE_EXPANSION // TASK_BYTES
+    wanted = min(wanted, MAX_PARTITIONS)
+    if wanted > shuffle_width(spark):
+        spark.conf.set(WIDTH, str(wanted))
+    return shuffle_width(spark)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)

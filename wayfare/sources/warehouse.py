@@ -91,19 +91,28 @@ class Warehouse:
         return f"{self.folder}/{name}"
 
     def _stored(
-        self, name: str, build: Callable[[], DataFrame], partition_by: str | None = None
+        self,
+        name: str,
+        build: Callable[[], DataFrame],
+        partition_by: str | None = None,
+        sort_by: str | None = None,
     ) -> DataFrame:
         with self._lock:
             if name not in self._ready:
                 if self._raw is not None:
-                    self._write(name, build(), partition_by)
+                    self._write(name, build(), partition_by, sort_by)
                 self._ready[name] = self.spark.read.parquet(self.path(name))
             return self._ready[name]
 
-    def _write(self, name: str, df: DataFrame, partition_by: str | None) -> None:
+    def _write(
+        self, name: str, df: DataFrame, partition_by: str | None, sort_by: str | None
+    ) -> None:
         if partition_by:
-            # balanced files per partition value: a busy day is split, quiet ones merged
-            writer = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
+            # balanced files per partition value: a busy one is split, quiet ones merged
+            df = df.hint("rebalance", partition_by)
+            if sort_by:
+                df = df.sortWithinPartitions(partition_by, sort_by)
+            writer = df.write.partitionBy(partition_by)
         else:
             writer = df.write
         writer.mode("overwrite").parquet(self.path(name))
@@ -156,14 +165,18 @@ class Warehouse:
 
     @property
     def bookings(self) -> DataFrame:
-        """Clean bookings under canonical users, next to their tour's destination and price."""
+        """Clean bookings under canonical users, next to their tour's destination and price.
+
+        One folder per booking year, in order of time, so that a period reads little else.
+        """
 
         def build() -> DataFrame:
             raw = self.raw_bookings
             canonical = canonical_bookings(clean_bookings(raw), raw, self.crosswalk)
-            return with_destination(canonical, self.tours, raw)
+            placed = with_destination(canonical, self.tours, raw)
+            return placed.withColumn("anio", F.year("fecha_reserva"))
 
-        return self._stored("reservas", build)
+        return self._stored("reservas", build, partition_by="anio", sort_by="fecha_reserva")
 
     @property
     def events(self) -> DataFrame:
@@ -202,7 +215,7 @@ class Warehouse:
 
     @property
     def session_days(self) -> DataFrame:
-        return self._stored("sesiones_dia", lambda: session_days(self.events))
+        return self._stored("sesiones_dia", lambda: session_days(self.events), partition_by="dia")
 
     @property
     def sessions(self) -> DataFrame:
