@@ -107,6 +107,13 @@ def test_report(spark, done):
     assert [r.proveedor_id for r in risk.collect()] == ["TOTAL"]
 
 
+def test_checks(spark, done):
+    copies = spark.read.parquet(f"{done}/checks/dq_duplicate_bookings")
+    assert rows(copies) == [(1400001, 900001, True, True)]
+    orphans = spark.read.parquet(f"{done}/checks/dq_orphan_provider")
+    assert rows(orphans) == [(1099, 1, 1)]
+
+
 def test_running_again_replaces_the_tables(spark, raw_folder, done):
     before = rows(Warehouse(spark, f"{done}/tables").bookings)
     etl.run(spark, raw_folder, done)

@@ -252,3 +252,8 @@ def test_events_without_a_date_stay_in_their_session(make):
     assert wh.events.where("dia is null").count() == 2
     assert rows(traffic.sessions_known(wh)) == [("anonima", 2, 100.0)]
     assert wh.events.first().event_date is None
+
+
+def test_a_missing_device_does_not_hide_the_known_one(make):
+    wh = make.warehouse(events=[dict(device=None), dict(device="Mobile"), dict(device=None)])
+    assert [(r.session_id, r.device) for r in wh.sessions.collect()] == [("s1", "mobile")]

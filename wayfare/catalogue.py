@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from wayfare.operators import cleaning, identity
 from wayfare.plans import business, dashboard, destinations, quality, repeat, traffic
 from wayfare.plans.dashboard import Filters
-from wayfare.plans.report import metrics
+from wayfare.plans.report import CHECKS, metrics
 from wayfare.schemas import BOOKINGS
 from wayfare.sources.warehouse import Warehouse, slim_events
 
@@ -120,20 +120,8 @@ def queries() -> dict[str, Query]:
         ),
     ):
         filtered |= {fn.__name__: partial(fn, f=f) for fn in functions}
-    checked: dict[str, Query] = {
+    checked = CHECKS | {
         "tracking_gap": partial(quality.tracking_gap, since=GAP[0], until=GAP[1]),
-        "dq_cookie_user": quality.dq_cookie_user,
-        "dq_client_cookie": quality.dq_client_cookie,
-        "identity_recovery": quality.identity_recovery,
         "bot_candidates": partial(quality.bot_candidates, times_average=BOT_TIMES_AVERAGE),
-        "dq_event_date_formats": quality.dq_event_date_formats,
-        "dq_session_keys": quality.dq_session_keys,
-        "dq_duplicate_bookings": quality.dq_duplicate_bookings,
-        "dq_campaign_missing": quality.dq_campaign_missing,
-        "dq_provider_after_end": quality.dq_provider_after_end,
-        "dq_orphan_provider": quality.dq_orphan_provider,
-        "dq_party_size": quality.dq_party_size,
-        "dq_booking_id": quality.dq_booking_id,
-        "dq_customer_dates": quality.dq_customer_dates,
     }
     return prepared | reported | documented | filtered | checked

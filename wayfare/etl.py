@@ -1,6 +1,6 @@
-"""Batch entry point: raw CSV files -> clean tables, dashboard copy and report.
+"""Batch entry point: raw CSV files -> clean tables, dashboard copy, report, data checks.
 
-    spark-submit wayfare/etl.py RAW_FOLDER OUT_FOLDER
+    python -m wayfare.etl RAW_FOLDER OUT_FOLDER
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from wayfare.plans.report import write_report
+from wayfare.plans.report import write_checks, write_report
 from wayfare.session import configure, size_shuffles
 from wayfare.sources.raw import from_csv
 from wayfare.sources.warehouse import Warehouse
@@ -21,6 +21,7 @@ def run(spark: SparkSession, raw_folder: str, out_folder: str) -> Warehouse:
     wh = Warehouse(spark, f"{out_folder}/tables", from_csv(spark, raw_folder)).write_all()
     wh.write_slim(f"{out_folder}/dashboard")
     write_report(wh, f"{out_folder}/report")
+    write_checks(wh, f"{out_folder}/checks")
     return wh
 
 

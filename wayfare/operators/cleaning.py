@@ -67,11 +67,8 @@ def clean_customers(raw: DataFrame, distinct_nulls: bool = False) -> DataFrame:
         F.col("dni_key").alias("_dni"), F.col("user_id_canonico").alias("_user")
     )
     # the user id in the join key spreads even a document shared by very many customers
-    kept = raw.join(
-        keep,
-        (F.col("user_id") == F.col("_user")) & document_key(distinct_nulls).eqNullSafe(F.col("_dni")),
-        "left_semi",
-    )
+    same_document = document_key(distinct_nulls).eqNullSafe(F.col("_dni"))
+    kept = raw.join(keep, (F.col("user_id") == F.col("_user")) & same_document, "left_semi")
     born = F.col("fecha_nacimiento")
     return kept.withColumn(
         "fecha_nacimiento", F.when(born != F.lit(L.PLACEHOLDER_BIRTHDATE), born)

@@ -70,7 +70,8 @@ def identity_map(pairs: DataFrame, crosswalk: DataFrame) -> DataFrame:
         F.col("user_id").alias("user_id_canonico"),
     )
     # a pair occurs once, so this key cannot be hot
-    same_pair = F.col("cookie_id").eqNullSafe(F.col("_cookie")) & (F.col("user_id") == F.col("_user"))
+    same_cookie = F.col("cookie_id").eqNullSafe(F.col("_cookie"))
+    same_pair = same_cookie & (F.col("user_id") == F.col("_user"))
     translated = pairs.join(translation, same_pair, "left").select(
         *pairs.columns, "user_id_canonico"
     )

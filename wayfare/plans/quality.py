@@ -42,15 +42,17 @@ def _tracked_ids(wh: Warehouse) -> DataFrame:
     )
 
 
-def tracking_gap(wh: Warehouse, since: dt.date, until: dt.date) -> DataFrame:
+def tracking_gap(
+    wh: Warehouse, since: dt.date | None = None, until: dt.date | None = None
+) -> DataFrame:
     """Decided bookings per day, and how many of them no event mentions."""
     day = F.to_date("fecha_reserva")
-    in_range = F.col("anio").between(since.year, until.year) & day.between(
-        F.lit(since), F.lit(until)
-    )
-    decided = wh.bookings.where(is_state(*L.RESOLVED) & in_range).select(
-        "reserva_id", day.alias("dia")
-    )
+    decided = wh.bookings.where(is_state(*L.RESOLVED))
+    if since is not None:
+        decided = decided.where((F.col("anio") >= since.year) & (day >= F.lit(since)))
+    if until is not None:
+        decided = decided.where((F.col("anio") <= until.year) & (day <= F.lit(until)))
+    decided = decided.select("reserva_id", day.alias("dia"))
     untracked = F.count_if(F.col("con_evento").isNull())
     return (
         decided.join(_tracked_ids(wh), "reserva_id", "left")

@@ -1,4 +1,4 @@
-"""The report: every metric by business question, written as one table each."""
+"""The report: every metric by business question, and every data check, as one table each."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
-from wayfare.plans import business, destinations, repeat, traffic
+from wayfare.plans import business, destinations, quality, repeat, traffic
 from wayfare.sources.warehouse import Warehouse
 
 Metric = Callable[[Warehouse], DataFrame]
@@ -53,11 +53,37 @@ QUESTIONS: dict[str, dict[str, Metric]] = {
     },
 }
 
+CHECKS: dict[str, Metric] = {
+    "tracking_gap": quality.tracking_gap,
+    "dq_cookie_user": quality.dq_cookie_user,
+    "dq_client_cookie": quality.dq_client_cookie,
+    "identity_recovery": quality.identity_recovery,
+    "bot_candidates": quality.bot_candidates,
+    "dq_event_date_formats": quality.dq_event_date_formats,
+    "dq_session_keys": quality.dq_session_keys,
+    "dq_duplicate_bookings": quality.dq_duplicate_bookings,
+    "dq_campaign_missing": quality.dq_campaign_missing,
+    "dq_provider_after_end": quality.dq_provider_after_end,
+    "dq_orphan_provider": quality.dq_orphan_provider,
+    "dq_party_size": quality.dq_party_size,
+    "dq_booking_id": quality.dq_booking_id,
+    "dq_customer_dates": quality.dq_customer_dates,
+}
+
 
 def metrics() -> dict[str, Metric]:
     return {key: fn for block in QUESTIONS.values() for key, fn in block.items()}
 
 
+def _write(wh: Warehouse, folder: str, tables: Mapping[str, Metric]) -> list[str]:
+    paths = []
+    for key, fn in tables.items():
+        path = f"{folder.rstrip('/')}/{key}"
+        fn(wh).write.mode("overwrite").parquet(path)
+        paths.append(path)
+    return paths
+
+
 def write_report(
     wh: Warehouse, folder: str, overrides: Mapping[str, Metric] | None = None
 ) -> list[str]:
@@ -65,10 +91,14 @@ def write_report(
 
     ``overrides`` replaces a metric, for instance by one with other thresholds.
     """
+    chosen = overrides or {}
     paths = []
     for question, block in QUESTIONS.items():
-        for key, fn in block.items():
-            path = f"{folder.rstrip('/')}/{question}/{key}"
-            (overrides or {}).get(key, fn)(wh).write.mode("overwrite").parquet(path)
-            paths.append(path)
+        tables = {key: chosen.get(key, fn) for key, fn in block.items()}
+        paths += _write(wh, f"{folder.rstrip('/')}/{question}", tables)
     return paths
+
+
+def write_checks(wh: Warehouse, folder: str) -> list[str]:
+    """Write each data check to ``folder/key``."""
+    return _write(wh, folder, CHECKS)

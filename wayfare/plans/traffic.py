@@ -25,9 +25,8 @@ def sessions_known(wh: Warehouse) -> DataFrame:
         wh.sessions.groupBy(session_type().alias("tipo_sesion"))
         .agg(n_rows().alias("sesiones"))
     )
-    return counted.select("tipo_sesion", "sesiones", share_of_total("sesiones").alias("pct")).orderBy(
-        F.desc("sesiones")
-    )
+    share = share_of_total("sesiones").alias("pct")
+    return counted.select("tipo_sesion", "sesiones", share).orderBy(F.desc("sesiones"))
 
 
 def funnel_by_session_type(wh: Warehouse) -> DataFrame:

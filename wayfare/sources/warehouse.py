@@ -99,9 +99,12 @@ class Warehouse:
     ) -> DataFrame:
         with self._lock:
             if name not in self._ready:
+                reader = self.spark.read
                 if self._raw is not None:
-                    self._write(name, build(), partition_by, sort_by)
-                self._ready[name] = self.spark.read.parquet(self.path(name))
+                    df = build()
+                    self._write(name, df, partition_by, sort_by)
+                    reader = reader.schema(df.schema)
+                self._ready[name] = reader.parquet(self.path(name))
             return self._ready[name]
 
     def _write(
