@@ -22,6 +22,7 @@ PLACEHOLDER_BIRTHDATE = dt.date(1900, 1, 1)
 # the two timestamp formats of the event export: shape of the text, how to read it
 ISO_TIMESTAMP = (r"^\d{1,4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "y-M-d H:m:s")
 DAY_FIRST_TIMESTAMP = (r"^\d{1,2}/\d{1,2}/\d{1,4} \d{1,2}:\d{1,2}$", "d/M/y H:m")
+PADDED_TIMESTAMP = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 DESTINATION_URL_PART = 5
 
 # --- Fixed values: web events ------------------------------------------------

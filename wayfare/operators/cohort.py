@@ -43,10 +43,8 @@ def first_bookings(bookings: DataFrame, with_tour_only: bool = False) -> DataFra
     the user NULL (all unknown users together) nor a very busy user makes a large partition.
     Unknown users rank as one customer but match nothing: no second booking, no totals.
     """
-    confirmed = bookings.where(is_state(L.CONFIRMED))
-    if with_tour_only:
-        confirmed = confirmed.where("tour_conocido")
-    dated = confirmed.select(
+    scope = bookings.where("tour_conocido") if with_tour_only else bookings
+    dated = scope.where(is_state(L.CONFIRMED)).select(
         "user_id",
         "reserva_id",
         "fecha_reserva",
@@ -77,7 +75,7 @@ def first_bookings(bookings: DataFrame, with_tour_only: bool = False) -> DataFra
         .where("rn = 1")
         .drop("rn", "fecha_reserva")
     )
-    return paired.join(user_totals(bookings), "user_id", "left").withColumn("corte", cutoff)
+    return paired.join(user_totals(scope), "user_id", "left").withColumn("corte", cutoff)
 
 
 def repeated(rule: str = "next") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare import labels as L
 from wayfare.functions.exprs import days_between, is_state, mean, n_rows, pct, rnd
-from wayfare.operators.cleaning import orphan_tours, parse_timestamp
+from wayfare.operators.cleaning import day_first_timestamp, iso_timestamp, orphan_tours
 from wayfare.operators.skew import balanced_lookup
 from wayfare.plans.business import with_provider_end
 from wayfare.schemas import BOOKING_KEY
@@ -145,8 +145,8 @@ def bot_candidates(wh: Warehouse, times_average: float = 5.0) -> DataFrame:
 def dq_event_date_formats(wh: Warehouse) -> DataFrame:
     """Rows per timestamp format; what fits neither is listed too."""
     text = F.col("event_date")
-    iso = parse_timestamp(text, L.ISO_TIMESTAMP).isNotNull()
-    day_first = parse_timestamp(text, L.DAY_FIRST_TIMESTAMP).isNotNull()
+    iso = iso_timestamp(text).isNotNull()
+    day_first = day_first_timestamp(text).isNotNull()
     summary = wh.raw_events.agg(
         F.count_if(iso).alias("iso"),
         F.count_if(~iso & day_first).alias("day_first"),

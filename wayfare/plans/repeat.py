@@ -189,16 +189,16 @@ def churn_cancelled_flag(wh: Warehouse) -> DataFrame:
 def churn_return_after_cancel(wh: Warehouse) -> DataFrame:
     """Of those whose first decided booking was cancelled, who confirmed one on a later day.
 
-    Two rows per user leave the ranking; the last confirmed day is an aggregate. Unknown
+    One row per user leaves the ranking; the last confirmed day is an aggregate. Unknown
     users count as one customer that never returned.
     """
     decided = wh.bookings.where(is_state(*L.RESOLVED)).select(
-        "user_id", "reserva_id", "fecha_reserva", "estado"
+        "user_id", "reserva_id", "fecha_reserva", is_state(L.CANCELLED).alias("cancelada")
     )
     first = (
         decided.withColumn("rn", F.row_number().over(booking_order()))
         .where("rn = 1")
-        .where(is_state(L.CANCELLED))
+        .where("cancelada")
         .select("user_id", F.to_date("fecha_reserva").alias("fr"))
     )
     last = (
