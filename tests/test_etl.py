@@ -129,7 +129,9 @@ def test_shuffles_widen_with_the_input(spark, raw_folder, monkeypatch):
     try:
         assert session.size_shuffles(spark, raw_folder) in (40, 41)
     finally:
-        spark.conf.unset(session.WIDTH)
+        for key in (session.WIDTH, *session.LARGE_INPUT):
+            spark.conf.unset(key)
+        session.configure(spark)
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     # Day boundaries must not depend on where an executor runs.
@@ -22,11 +23,16 @@ SETTINGS = {
 
 # Shuffle data one task should have to hold, and how much larger rows in a shuffle are
 # than the same rows in compressed files.
-TASK_BYTES = 256 * 1024**2
+TASK_BYTES = 128 * 1024**2
 SHUFFLE_EXPANSION = 2
 MAX_PARTITIONS = 100_000
 
 WIDTH = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+# merged partitions, and thereby written files, of the size a task may hold
+LARGE_INPUT = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(TASK_BYTES),
+}
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -35,9 +41,9 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def folder_bytes(spark: SparkSession, folder: str) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.getContentSummary(path).getLength()
+    """Size of all files below a folder, from the listing; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.agg(F.sum("length")).first()[0] or 0
 
 
 def size_shuffles(spark: SparkSession, folder: str) -> int:
@@ -49,6 +55,8 @@ def size_shuffles(spark: SparkSession, folder: str) -> int:
     wanted = folder_bytes(spark, folder) * SHUFFLE_EXPANSION // TASK_BYTES
     wanted = min(wanted, MAX_PARTITIONS)
     if wanted > shuffle_width(spark):
+        for key, value in LARGE_INPUT.items():
+            spark.conf.set(key, value)
         spark.conf.set(WIDTH, str(wanted))
     return shuffle_width(spark)
 
