@@ -73,3 +73,8 @@ def test_windows_without_a_key_sit_on_aggregates(wh):
         lines = plan(catalogue.queries()[name](wh)).splitlines()
         below = lines[next(i for i, x in enumerate(lines) if "Window [" in x) :]
         assert next(x for x in below if "Aggregate" in x or "FileScan" in x).count("Aggregate")
+
+
+def test_sessions_of_a_period_are_read_by_day(wh):
+    text = plan(dashboard.sessions_filtered(wh, catalogue.TRAFFIC))
+    assert "PartitionFilters: [isnotnull(dia" in text

@@ -51,7 +51,7 @@ def balanced_lookup(
     spread_by: str,
     counts: DataFrame | None = None,
     share: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """``facts LEFT JOIN lookup`` on null-safe keys; ``lookup`` holds each key once.
 
@@ -66,7 +66,7 @@ def balanced_lookup(
     """
     values = [c for c in lookup.columns if c not in on]
     keyed = lookup.select(*[F.col(c).alias(f"_key_{c}") for c in on], *values)
-    if has_at_most(lookup, broadcast_rows):
+    if has_at_most(lookup, BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
         joined = facts.join(F.broadcast(keyed), _same(on, "", "_key_"), "left")
         return joined.select(*facts.columns, *values)
 
