@@ -86,7 +86,8 @@ def repeated(rule: str = "next") -> Column:
     if rule == "next":
         later = F.col("sig_fr")
     elif rule == "any":
-        later = F.when(F.col("sig_reserva_id").isNotNull(), F.col("ultima_fr"))
+        # with a dated later booking, the last day of all is the last day of the later ones
+        later = F.when(F.col("sig_fr").isNotNull(), F.col("ultima_fr"))
     else:
         raise ValueError(f"unknown repeat rule: {rule}")
     return F.coalesce(later > F.col("fa"), F.lit(False))

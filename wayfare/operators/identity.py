@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare import labels as L
 from wayfare.operators.cleaning import document_groups, document_key
-from wayfare.operators.skew import key_counts, balanced_lookup
+from wayfare.operators.skew import balanced_lookup, key_counts
 
 
 def customer_crosswalk(raw_customers: DataFrame, distinct_nulls: bool = False) -> DataFrame:

@@ -123,10 +123,9 @@ class Warehouse:
     # --- raw tables, staged where their source is costly to read again ---------
 
     def _raw_table(self, name: str) -> DataFrame:
-        if self._raw is None:
-            return self._stored(f"raw_{name}", lambda: None)
-        df = getattr(self._raw, name)
-        return self._stored(f"raw_{name}", lambda: df) if name in self._raw.staged else df
+        if self._raw is not None and name not in self._raw.staged:
+            return getattr(self._raw, name)
+        return self._stored(f"raw_{name}", lambda: getattr(self._raw, name))
 
     @property
     def raw_bookings(self) -> DataFrame:
