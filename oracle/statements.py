@@ -88,7 +88,7 @@ def standardised(group: str, stratum: str, label: str) -> str:
         SELECT {group}, ROUND(100.0 * (SELECT avg(back) FROM c WHERE c.{group} = std.{group}), 1)
                  AS pct_crudo,
                ROUND(100.0 * s, 1) AS {label}
-        FROM std
+        FROM std WHERE {group} IS NOT NULL
         """,
     )
 
@@ -600,7 +600,7 @@ def dashboard() -> dict[str, str]:
             "dash_ses",
             f"""
             SELECT count(*) AS sesiones, {pct('sum(ident)', 'count(*)')} AS pct_identificadas,
-                   {pct('sum(pu)', 'sum(ident)')} AS pct_conversion_identificadas,
+                   {pct('coalesce(sum(pu), 0)', 'sum(ident)')} AS pct_conversion_identificadas,
                    CAST(coalesce(sum(pu), 0) AS BIGINT) AS compras
             FROM dash_ses
             """,
@@ -617,10 +617,10 @@ def dashboard() -> dict[str, str]:
             "dash_ses",
             f"""
             SELECT device, 'Bruto (todas las sesiones)' AS medida,
-                   {rate('sum(pu)', 'count(*)')} AS pct
+                   {rate('coalesce(sum(pu), 0)', 'count(*)')} AS pct
             FROM dash_ses WHERE device IS NOT NULL GROUP BY 1
             UNION ALL
-            SELECT device, 'Entre sesiones identificadas', {rate('sum(pu)', 'sum(ident)')}
+            SELECT device, 'Entre sesiones identificadas', {rate('coalesce(sum(pu), 0)', 'sum(ident)')}
             FROM dash_ses WHERE device IS NOT NULL GROUP BY 1
             """,
         ),
@@ -706,8 +706,8 @@ def quality() -> dict[str, str]:
         "dq_event_date_formats": over(
             "raw_events",
             f"""
-            , q AS (SELECT count_if(regexp_matches(event_date, '^\\d{{4}}-')) AS iso,
-                           count_if(regexp_matches(event_date, '^\\d{{2}}/')) AS dmy,
+            , q AS (SELECT count(try_strptime(event_date, '%Y-%m-%d %H:%M:%S')) AS iso,
+                           count(try_strptime(event_date, '%d/%m/%Y %H:%M')) AS dmy,
                            count(*) AS total FROM raw_events)
             {check_rows(('aaaa-mm-dd hh:mm:ss', 'iso', 'total'),
                         ('dd/mm/aaaa hh:mm', 'dmy', 'total'),

@@ -161,8 +161,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("raw_events",),
         """
         SELECT * REPLACE (
-            CASE WHEN event_date LIKE '____-__-__ %' THEN CAST(event_date AS TIMESTAMP)
-                 ELSE strptime(event_date, '%d/%m/%Y %H:%M') END AS event_date,
+            CASE WHEN event_date LIKE '____-__-__ %' THEN TRY_CAST(event_date AS TIMESTAMP)
+                 ELSE try_strptime(event_date, '%d/%m/%Y %H:%M') END AS event_date,
             replace(lower(device), 'desktp', 'desktop') AS device)
         FROM raw_events
         """,
@@ -175,7 +175,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT e.* REPLACE (canonical AS user_id)
               FROM ev_clean e LEFT JOIN xw ON original = e.user_id) t
         LEFT JOIN (SELECT cookie_id, max(canonical) AS owner
-                   FROM ev_clean JOIN xw ON original = user_id GROUP BY 1) o USING (cookie_id)
+                   FROM ev_clean JOIN xw ON original = user_id GROUP BY 1) o
+          ON o.cookie_id IS NOT DISTINCT FROM t.cookie_id
         """,
     ),
     "web": (("ev",), "SELECT * FROM ev WHERE NOT es_bot"),
@@ -184,9 +185,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """
         SELECT session_id, min(device) AS device,
                CAST(bool_or(user_id_propagado IS NOT NULL) AS INTEGER) AS ident,
-               CAST(bool_or(event_name = 'view_item') AS INTEGER) AS vi,
-               CAST(bool_or(event_name = 'begin_checkout') AS INTEGER) AS bc,
-               CAST(bool_or(event_name = 'purchase') AS INTEGER) AS pu,
+               CAST(coalesce(bool_or(event_name = 'view_item'), false) AS INTEGER) AS vi,
+               CAST(coalesce(bool_or(event_name = 'begin_checkout'), false) AS INTEGER) AS bc,
+               CAST(coalesce(bool_or(event_name = 'purchase'), false) AS INTEGER) AS pu,
                CAST(bool_or(reserva_id IS NOT NULL) AS INTEGER) AS linked
         FROM web GROUP BY session_id
         """,

@@ -40,9 +40,9 @@ def test_every_query_has_a_statement():
     assert set(entry_module.queries()) == set(entry_module.oracle_sql())
 
 
-def assert_same(df, duck, name):
+def assert_same(df, duck, name, statement=None):
     columns = sorted(df.columns)
-    result = duck.execute(entry_module.oracle_sql()[name])
+    result = duck.execute(statement or entry_module.oracle_sql()[name])
     kinds = {d[0]: str(d[1]) for d in result.description}
     names = [d[0] for d in result.description]
     assert sorted(names) == columns

@@ -45,18 +45,19 @@ def standardise(customers: DataFrame, group: str, stratum: str, label: str) -> D
 
     One shuffle over customers builds the cells; crude rates and weights come from the
     cells. A weight is the stratum's number of customers: the common divisor cancels out.
-    Strata a group lacks are left out of its weights, a NULL stratum carries none.
+    Strata a group lacks are left out of its weights and a NULL stratum carries none;
+    customers without a group count in the weights but get no row.
     """
-    cells = (
-        customers.where(F.col(group).isNotNull())
-        .groupBy(group, stratum)
-        .agg(n_rows().alias("n"), F.sum("recompra").alias("k"))
+    cells = customers.groupBy(group, stratum).agg(
+        n_rows().alias("n"), F.sum("recompra").alias("k")
     )
     # over cells, not customers: at most one row per group in each partition
     size = F.sum("n").over(Window.partitionBy(stratum))
-    weighted = cells.withColumn("w", F.when(F.col(stratum).isNotNull(), size).cast("double"))
+    weight = F.when(F.col(stratum).isNotNull(), size).cast("double")
     return (
-        weighted.groupBy(group)
+        cells.withColumn("w", weight)
+        .where(F.col(group).isNotNull())
+        .groupBy(group)
         .agg(
             F.sum("k").alias("k"),
             F.sum("n").alias("n"),

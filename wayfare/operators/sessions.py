@@ -18,7 +18,8 @@ def session_days(events: DataFrame) -> DataFrame:
 
     Fine enough for any date filter, small enough that every session report reads this
     instead of events. Grouping by device (one per session, as a rule) keeps all
-    aggregates fixed-width, so Spark hashes instead of sorting.
+    aggregates fixed-width, so Spark hashes instead of sorting. A stage flag is NULL when
+    no event has a name.
     """
     name = F.col("event_name")
     flags = {
@@ -33,7 +34,7 @@ def session_days(events: DataFrame) -> DataFrame:
         .groupBy("session_id", F.to_date("event_date").alias("dia"), "device")
         .agg(
             F.min("event_date").alias("inicio"),
-            *[F.coalesce(F.max(c), F.lit(False)).alias(n) for n, c in flags.items()],
+            *[F.max(c).alias(n) for n, c in flags.items()],
         )
     )
 
@@ -41,7 +42,7 @@ def session_days(events: DataFrame) -> DataFrame:
 def sessions(
     days: DataFrame, since: dt.date | None = None, until: dt.date | None = None
 ) -> DataFrame:
-    """One row per session: start, device and 0/1 flags, from events of the given days."""
+    """One row per session: start, device and 0/1/NULL flags, from events of the given days."""
     if since is not None:
         days = days.where(F.col("dia").between(F.lit(since), F.lit(until)))
     return days.groupBy("session_id").agg(

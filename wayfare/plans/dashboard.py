@@ -369,12 +369,12 @@ def sessions_filtered(wh: Warehouse, f: Filters) -> DataFrame:
 
 
 def traffic_kpis(wh: Warehouse, f: Filters) -> DataFrame:
-    known, bought = F.sum("ident"), F.sum("pu")
+    known, bought = F.sum("ident"), F.coalesce(F.sum("pu"), F.lit(0).cast("long"))
     return sessions_filtered(wh, f).agg(
         n_rows().alias("sesiones"),
         pct(known, n_rows()).alias("pct_identificadas"),
         pct(bought, known).alias("pct_conversion_identificadas"),
-        F.coalesce(bought, F.lit(0).cast("long")).alias("compras"),
+        bought.alias("compras"),
     )
 
 
@@ -389,13 +389,14 @@ def sessions_series(wh: Warehouse, f: Filters) -> DataFrame:
 
 def device_conversion(wh: Warehouse, f: Filters) -> DataFrame:
     """Purchases per session and per identified session, one row per device and measure."""
+    bought = F.coalesce(F.sum("pu"), F.lit(0))
     wide = (
         sessions_filtered(wh, f)
         .where(F.col("device").isNotNull())
         .groupBy("device")
         .agg(
-            raw_pct(F.sum("pu"), n_rows()).alias(L.GROSS_RATE),
-            raw_pct(F.sum("pu"), F.sum("ident")).alias(L.IDENTIFIED_RATE),
+            raw_pct(bought, n_rows()).alias(L.GROSS_RATE),
+            raw_pct(bought, F.sum("ident")).alias(L.IDENTIFIED_RATE),
         )
     )
     return wide.unpivot("device", [L.GROSS_RATE, L.IDENTIFIED_RATE], "medida", "pct").orderBy(

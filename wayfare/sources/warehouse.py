@@ -221,7 +221,8 @@ class Warehouse:
 
     @property
     def sessions(self) -> DataFrame:
-        return self._stored("sesiones", lambda: sessions(self.session_days))
+        """All sessions; without a named event a session counts as having reached no stage."""
+        return self._stored("sesiones", lambda: sessions(self.session_days).fillna(0))
 
     @property
     def usual_device(self) -> DataFrame:
