@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from wayfare.operators import skew
 from wayfare.operators.skew import hot_keys, key_counts, balanced_lookup
 
 
@@ -35,6 +36,13 @@ def test_only_a_lookup_counted_small_is_broadcast(spark, skewed):
     assert shuffles(9) and shuffles(0)
 
 
+def test_few_rows_of_long_text_are_not_small(spark, monkeypatch):
+    lookup = spark.createDataFrame([(1, "x" * 50), (2, None)], "k long, v string")
+    assert skew.is_small(lookup, 2) and not skew.is_small(lookup, 1)
+    monkeypatch.setattr(skew, "BROADCAST_TEXT", 49)
+    assert not skew.is_small(lookup, 2)
+
+
 def test_null_is_a_key(spark, skewed):
     lookup = spark.createDataFrame([(None, "none"), (7, "seven")], "k long, v string")
     got = balanced_lookup(skewed, lookup, ["k"], "id", share=20, broadcast_rows=0).groupBy("v").count()

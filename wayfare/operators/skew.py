@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfare.session import shuffle_width
 
@@ -15,8 +16,10 @@ from wayfare.session import shuffle_width
 # the list is safe to broadcast whatever the data.
 HOT_SHARE = 10_000
 
-# A lookup of at most this many rows is sent to every executor, which needs no shuffle.
+# A lookup of at most this many rows and bytes of text is sent to every executor, which
+# needs no shuffle.
 BROADCAST_ROWS = 100_000
+BROADCAST_TEXT = 32 * 1024**2
 
 
 def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -39,9 +42,16 @@ def _same(on: Sequence[str], left: str, right: str) -> Column:
     )
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Size check before a broadcast. Counting a written table reads no column of it."""
-    return rows > 0 and df.count() <= rows
+def is_small(df: DataFrame, rows: int) -> bool:
+    """Size check before a broadcast. Counting a written table reads no column of it, and
+    text is only measured when there are few rows."""
+    if rows <= 0 or df.count() > rows:
+        return False
+    lengths = [F.octet_length(f.name) for f in df.schema.fields if f.dataType == T.StringType()]
+    if not lengths:
+        return True
+    text = sum((F.coalesce(F.sum(x), F.lit(0)) for x in lengths), F.lit(0))
+    return df.agg(text).first()[0] <= BROADCAST_TEXT
 
 
 def balanced_lookup(
@@ -66,7 +76,7 @@ def balanced_lookup(
     """
     values = [c for c in lookup.columns if c not in on]
     keyed = lookup.select(*[F.col(c).alias(f"_key_{c}") for c in on], *values)
-    if has_at_most(lookup, BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
+    if is_small(lookup, BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
         joined = facts.join(F.broadcast(keyed), _same(on, "", "_key_"), "left")
         return joined.select(*facts.columns, *values)
 
