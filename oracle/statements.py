@@ -46,8 +46,9 @@ TICKET = (
 )
 BOOKING = (
     "reserva_id, user_id, tour_id, proveedor_id, fecha_reserva, fecha_actividad, estado, "
-    "personas, importe_eur, campana, canal"
+    "personas, CAST(importe_eur AS DOUBLE) AS importe_eur, campana, canal"
 )
+PRICE = "CAST(precio_por_persona_eur AS DOUBLE) AS precio_por_persona_eur"
 EVENT = (
     "event_id, cookie_id, session_id, temp_client_id, user_id, event_name, event_date, device, "
     "url, reserva_id"
@@ -107,7 +108,7 @@ def cleaning() -> dict[str, str]:
         "clean_bookings": over("clean", f"SELECT {BOOKING} FROM clean"),
         "clean_customers": over("customers", "SELECT * FROM customers"),
         "clean_events": over("ev_clean", f"SELECT {EVENT} FROM ev_clean"),
-        "clean_tours": over("tours", "SELECT * FROM tours"),
+        "clean_tours": over("tours", f"SELECT * REPLACE ({PRICE}) FROM tours"),
         "customer_crosswalk": over(
             "xw", "SELECT original AS user_id_original, canonical AS user_id_canonico FROM xw"
         ),
@@ -499,7 +500,9 @@ def dashboard() -> dict[str, str]:
             UNION SELECT 'destino', destino FROM tours
             """,
         ),
-        "bookings_filtered": over("sel", "SELECT * FROM sel"),
+        "bookings_filtered": over(
+            "sel", f"SELECT {BOOKING}, destino, {PRICE} FROM sel"
+        ),
         "period_kpis": over(
             "sel",
             f"""
@@ -558,7 +561,10 @@ def dashboard() -> dict[str, str]:
             FROM sel GROUP BY 1
             """,
         ),
-        "cohort_filtered": over("dash", "SELECT * FROM dash"),
+        "cohort_filtered": over(
+            "dash",
+            "SELECT * REPLACE (CAST(importe_eur AS DOUBLE) AS importe_eur) FROM dash",
+        ),
         "cohort_kpis": over(
             "dash",
             """

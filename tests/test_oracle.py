@@ -18,7 +18,6 @@ TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events")
 SPARK_TO_DUCKDB = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
     "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP",
-    "decimal(18,2)": "DECIMAL(18,2)",
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="benchmark tables not here")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfare.operators import cleaning, identity
 from wayfare.plans import business, dashboard, destinations, quality, repeat, traffic
@@ -31,6 +33,13 @@ BOT_TIMES_AVERAGE = 1.5
 Query = Callable[[Warehouse], DataFrame]
 
 
+def _with_plain_money(query: Query, wh: Warehouse) -> DataFrame:
+    """Money as DOUBLE in what leaves the library; tables and sums keep exact decimals."""
+    df = query(wh)
+    money = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)]
+    return df.withColumns({c: F.col(c).cast("double") for c in money}) if money else df
+
+
 def _clean_bookings(wh: Warehouse) -> DataFrame:
     return cleaning.clean_bookings(wh.raw_bookings)
 
@@ -124,4 +133,5 @@ def queries() -> dict[str, Query]:
         "tracking_gap": partial(quality.tracking_gap, since=GAP[0], until=GAP[1]),
         "bot_candidates": partial(quality.bot_candidates, times_average=BOT_TIMES_AVERAGE),
     }
-    return prepared | reported | documented | filtered | checked
+    every = prepared | reported | documented | filtered | checked
+    return {name: partial(_with_plain_money, query) for name, query in every.items()}
