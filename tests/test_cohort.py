@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import by, day, dicts, rows, when
@@ -89,6 +90,17 @@ def test_unknown_users_are_one_customer_that_never_returns(make):
     assert rows(repeat.churn_cancelled_flag(wh)) == [("sin cancelaciones", 1, 0.0)]
 
 
+def test_unknown_rule(make):
+    with pytest.raises(ValueError, match="sometimes"):
+        repeat.repeat_global(make.warehouse(), rule="sometimes")
+
+
+def test_no_bookings_at_all(make):
+    wh = make.warehouse()
+    assert rows(repeat.repeat_global(wh)) == [(0, None, None)]
+    assert rows(repeat.repeat_by_channel(wh)) == []
+
+
 def test_any_never_counts_less_than_next(make):
     wh = make.warehouse(
         bookings=[
