@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import quality
+from wayfare.llm import mixture, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +22,12 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op5_quality_rules": _over("documents", quality.quality),
+        "op8_source_mix": _over("documents", mixture.mix),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": quality.QUALITY_SQL,
+        "op8_source_mix": mixture.MIX_SQL,
     }
