@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import mixture, quality
+from wayfare.llm import bpe, mixture, quality
+
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +21,19 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file, from the package that holds them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_quality_rules": _over("documents", quality.quality),
+        "op6_bpe_round_trip": _over(
+            "documents", lambda docs: bpe.round_trip(docs, vocabulary(WORD_VOCABULARY))
+        ),
         "op8_source_mix": _over("documents", mixture.mix),
     }
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def chunks(batches: Iterator[pa.RecordBatch], measure: str) -> Iterator[pa.Recor
     turned into Python objects, and what is sent back, at once.
     """
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(measure)).to_pylist()
+        lengths = pc.binary_length(batch.column(measure)).to_pylist()
         start = size = 0
         for row, length in enumerate(lengths):
             size += length or 0
