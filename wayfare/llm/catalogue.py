@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import bpe, mixture, quality
+from wayfare.llm import bpe, langid, mixture, quality
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
@@ -35,6 +35,7 @@ def queries() -> dict[str, Query]:
             "documents", lambda docs: bpe.round_trip(docs, vocabulary(WORD_VOCABULARY))
         ),
         "op8_source_mix": _over("documents", mixture.mix),
+        "op9_language_id": _over("documents", langid.identify),
     }
 
 
