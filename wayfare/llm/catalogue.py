@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import bpe, langid, mixture, quality
+from wayfare.llm import bpe, langid, mixture, quality, simhash
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
@@ -30,6 +30,7 @@ def vocabulary(name: str) -> str:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_simhash_groups": _over("documents", simhash.groups),
         "op5_quality_rules": _over("documents", quality.quality),
         "op6_bpe_round_trip": _over(
             "documents", lambda docs: bpe.round_trip(docs, vocabulary(WORD_VOCABULARY))
