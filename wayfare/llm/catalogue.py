@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import bpe, langid, mixture, quality, simhash
+from wayfare.llm import bpe, chat, langid, mixture, quality, simhash, tokens, urls
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+RANK_FILE = "byte_bpe_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +29,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pattern() -> str:
+    """How the rank files' vocabularies split text."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def _with_ranks(name: str, operator: Callable[[DataFrame, str, str], DataFrame]) -> Query:
+    return _over(name, lambda df: operator(df, vocabulary(RANK_FILE), pattern()))
+
+
+def _url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": _with_ranks("documents", tokens.line_counts),
+        "op2_url_filter": _url_filter,
         "op4_simhash_groups": _over("documents", simhash.groups),
         "op5_quality_rules": _over("documents", quality.quality),
         "op6_bpe_round_trip": _over(
@@ -37,11 +55,14 @@ def queries() -> dict[str, Query]:
         ),
         "op8_source_mix": _over("documents", mixture.mix),
         "op9_language_id": _over("documents", langid.identify),
+        "op10_chat_format": _with_ranks("conversations", chat.digests),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_filter": urls.JUDGE_SQL,
         "op5_quality_rules": quality.QUALITY_SQL,
         "op8_source_mix": mixture.MIX_SQL,
+        "op10_chat_format": chat.DIGEST_SQL,
     }
