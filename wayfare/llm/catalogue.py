@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import bpe, chat, langid, mixture, quality, simhash, tokens, urls
+from wayfare.llm import bpe, chat, langid, mixture, quality, simhash, tokens, topk, urls
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -53,6 +53,7 @@ def queries() -> dict[str, Query]:
         "op6_bpe_round_trip": _over(
             "documents", lambda docs: bpe.round_trip(docs, vocabulary(WORD_VOCABULARY))
         ),
+        "op7_exact_top_k": _over("embeddings", topk.search),
         "op8_source_mix": _over("documents", mixture.mix),
         "op9_language_id": _over("documents", langid.identify),
         "op10_chat_format": _with_ranks("conversations", chat.digests),
@@ -63,6 +64,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": urls.JUDGE_SQL,
         "op5_quality_rules": quality.QUALITY_SQL,
+        "op7_exact_top_k": topk.SEARCH_SQL,
         "op8_source_mix": mixture.MIX_SQL,
         "op10_chat_format": chat.DIGEST_SQL,
     }
