@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import bpe, chat, langid, mixture, quality, simhash, tokens, topk, urls
+from wayfare.llm import bpe, chat, langid, mixture, pages, quality, simhash, tokens, topk, urls
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -48,6 +48,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": _with_ranks("documents", tokens.line_counts),
         "op2_url_filter": _url_filter,
+        "op3_html_text": _over("pages", pages.extract),
         "op4_simhash_groups": _over("documents", simhash.groups),
         "op5_quality_rules": _over("documents", quality.quality),
         "op6_bpe_round_trip": _over(
