@@ -17,6 +17,7 @@ Rows are encoded one by one, so repeated rows and extra columns need no care. A
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -24,6 +25,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -209,3 +211,34 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with ``input_ids`` in the place of ``text``, ``n_tokens`` and two digests.
+
+    ``ids_sha256`` is that of the ids as ``encode`` writes them, ``decoded_sha256`` that of
+    the text that they decode to.
+    """
+    columns = {
+        "input_ids": T.ArrayType(T.IntegerType()),
+        "n_tokens": T.LongType(),
+        "ids_sha256": T.StringType(),
+        "decoded_sha256": T.StringType(),
+    }
+
+    def fill(vocabulary: Vocabulary, rows: pa.RecordBatch) -> list[pa.Array]:
+        texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
+        coded = [vocabulary.encode(t or "") for t in texts]
+        sizes = [len(ids) // 4 for ids in coded]
+        offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+        digest = lambda raw: hashlib.sha256(raw).hexdigest()
+        return [
+            pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), "<i4"))),
+            pa.array(sizes, pa.int64()),
+            pa.array([digest(ids) for ids in coded]),
+            pa.array([digest(vocabulary.decode(ids).encode("utf-8")) for ids in coded]),
+        ]
+
+    names = [c for c in docs.columns if c not in ("text", *columns)]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], "text")
+    return _added(rows, path, columns, "text", fill).select(*[F.col(f"`{c}`") for c in names], *columns)

@@ -45,7 +45,10 @@ def _url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    import corpus_pipeline  # which calls the operators by this module
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_token_counts": _with_ranks("documents", tokens.line_counts),
         "op2_url_filter": _url_filter,
         "op3_html_text": _over("pages", pages.extract),

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.llm import text as tx
@@ -63,17 +63,13 @@ class Corpus:
 
 def measured(docs: DataFrame) -> Corpus:
     """``doc_id``, ``source``, ``size`` and place in the shuffle of every document, written."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
-    place = F.conv(F.substring(F.md5(marked), 1, KEY_BITS // 4), 16, 10).cast("bigint")
     sizes = stored(
         docs.select(
             "doc_id",
             "source",
-            # a NULL source has to meet itself in joins
-            F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("stream"),
+            _stream().alias("stream"),
             F.size(tx.words(F.col("text"))).cast("bigint").alias("size"),
-            place.alias("place"),
+            _place().alias("place"),
         ),
         "sizes",
     )
@@ -231,6 +227,62 @@ def mix(docs: DataFrame) -> DataFrame:
     return rows.join(goals, "stream").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _place() -> Column:
+    """Place of a document in the shuffle: a hash of its id and text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
+    return F.conv(F.substring(F.md5(marked), 1, KEY_BITS // 4), 16, 10).cast("bigint")
+
+
+def _stream() -> Column:
+    """Name of a document's source in joins, where a NULL source has to meet itself."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document as often as it was taken.
+
+    The last use of a source may end inside a document, which then comes with its first
+    words only, joined by spaces and with ``n_chars`` to match. Rows with equal id, source and text
+    are one document that is taken as often as all of them.
+    """
+    corpus = measured(docs)
+    goals = stored(targets(corpus), "targets")
+    key = ["place", "doc_id", "stream"]
+    portions = stored(
+        taken(corpus, goals)
+        .groupBy(*key)
+        .agg(
+            F.sum(F.floor(F.col("taken") / F.col("size"))).alias("whole"),
+            F.sum(F.col("taken") % F.col("size")).alias("rest"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+        .where("whole > 0 OR rest > 0"),
+        "portions",
+    )
+    portions = portions.select([F.col(c).alias(f"_mix_{c}") for c in portions.columns])
+    names = docs.columns
+    marked = docs.withColumns({"_mix_at": _place(), "_mix_of": _stream()})
+    if not portions.where("_mix_rows > 1").isEmpty():
+        marked = marked.dropDuplicates(["_mix_at", "_mix_of", "doc_id"])
+    same = (
+        (F.col("_mix_at") == F.col("_mix_place"))
+        & (F.col("_mix_of") == F.col("_mix_stream"))
+        & F.col("doc_id").eqNullSafe(F.col("_mix_doc_id"))
+    )
+    last = F.col("_mix_whole") - F.when(F.col("_mix_rest") > 0, 0).otherwise(1)
+    uses = marked.join(portions.hint("shuffle_hash"), same).withColumn(
+        "_mix_use", F.explode(F.sequence(F.lit(0).cast("long"), last))
+    )
+    partial = F.col("_mix_use") == F.col("_mix_whole")
+    start = F.slice(tx.words(F.col("text")), F.lit(1), F.col("_mix_rest").cast("int"))
+    cut = uses.withColumn("text", F.when(partial, F.array_join(start, " ")).otherwise(F.col("text")))
+    if "n_chars" in names:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(partial, length).otherwise(F.col("n_chars")))
+    return cut.select(*[F.col(f"`{c}`") for c in names])
+
+
 MIX_SQL = f"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, source,

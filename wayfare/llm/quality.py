@@ -263,9 +263,15 @@ def judge(
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that every rule lets pass, with the columns of ``docs``."""
+    """The rows of ``docs`` that every rule lets pass, with the columns of ``docs``.
+
+    The optimizer moves a filter below the columns that it reads, and would compute them
+    once more for it; beside a column that numbers rows it leaves the filter where it is.
+    """
     judged, alive = judge(docs, text)
-    return judged.where(alive).select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = judged.select("*", F.monotonically_increasing_id().alias(f"{PREFIX}row"))
+    kept = numbered.where(alive & (_get("row") >= 0))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
