@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,18 +11,15 @@ from wayfare.session import shared_folder
 _folders: dict[str, str] = {}
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    if not spark.sparkContext._jsc.sc().isStopped():
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def folder(spark: SparkSession) -> str:
-    """This application's folder below the shared one; deleted when the driver ends."""
+    """This application's folder below the shared one; deleted when the driver's JVM ends."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         _folders[app] = f"{shared_folder(spark)}/wayfare-llm-{uuid.uuid4().hex}"
-        atexit.register(_delete, spark, _folders[app])
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folders[app])
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
     return _folders[app]
 
 

@@ -4,8 +4,9 @@ Reputation is the rate of bad pages among the labelled ones. Suffix, registered
 host form a hierarchy; at each level a rate has a beta prior around the posterior mean of the
 level above. How strongly the prior holds is fitted per level: the beta-binomial variance is
 the binomial one times ``1 + (n - 1) * rho``, and ``rho`` is estimated by moments over all
-nodes. A host with many labels thus follows its own pages, one with few its domain's, one
-with none its domain's or suffix's alone. A page is blocked if the lower bound of its
+nodes. What is not known about the level above makes the prior weaker: the variances add up.
+A host with many labels thus follows its own pages, one with few its domain's, one with none
+its domain's or suffix's, as far as those are known. A page is blocked if the lower bound of its
 host's posterior, in logit-normal approximation, lies above ``MAX_BAD_RATE``.
 
 A rule is a host, a slash and the beginning of a path; it fits the host and all subdomains.
@@ -108,7 +109,7 @@ def outcomes(labels: DataFrame) -> DataFrame:
 
 
 def _strength(nodes: DataFrame) -> float:
-    """Weight of the prior in labels, from nodes with ``n``, ``bad`` and their ``prior`` mean."""
+    """Weight in labels of a prior whose mean is known, from nodes with ``n``, ``bad``, ``prior``."""
     binomial = F.col("prior") * (1 - F.col("prior"))
     squared = F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("prior"), 2)
     above, whole = (
@@ -120,6 +121,21 @@ def _strength(nodes: DataFrame) -> float:
     return 1 / rho - 1
 
 
+def _posterior(nodes: DataFrame) -> DataFrame:
+    """Beta parameters ``a`` and ``b`` of nodes with ``n``, ``bad``, ``prior`` and ``held``.
+
+    ``held`` is the weight in labels of what the level above knows about ``prior``. The
+    variance of a beta of weight ``w`` goes with ``1 / (w + 1)``.
+    """
+    weight = 1 / (1 / F.lit(_strength(nodes) + 1) + 1 / (F.col("held") + 1)) - 1
+    return nodes.withColumn("weight", weight).withColumns(
+        {
+            "a": F.col("prior") * F.col("weight") + F.col("bad"),
+            "b": (1 - F.col("prior")) * F.col("weight") + F.col("n") - F.col("bad"),
+        }
+    )
+
+
 def _summed(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return nodes.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
@@ -134,21 +150,17 @@ def reputation(hosts: DataFrame) -> DataFrame:
     )
     n, bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
 
-    def posterior(nodes: DataFrame, strength: float) -> Column:
-        return (F.col("prior") * strength + F.col("bad")) / (F.col("n") + strength)
+    def above(nodes: DataFrame, key: str, name: str) -> DataFrame:
+        """What the nodes of a level are to the level below."""
+        held = F.col("a") + F.col("b")
+        known = _posterior(nodes).select(key, (F.col("a") / held).alias("prior"), held.alias("held"))
+        return stored(known, name)
 
-    suffixes = _summed(named, ["suffix"]).withColumn("prior", F.lit((bad + 1) / (n + 2)))
-    suffixes = stored(
-        suffixes.select("suffix", posterior(suffixes, _strength(suffixes)).alias("prior")), "suffixes"
-    )
+    whole = {"prior": F.lit((bad + 1) / (n + 2)), "held": F.lit(float(n + 2))}
+    suffixes = above(_summed(named, ["suffix"]).withColumns(whole), "suffix", "suffixes")
     domains = stored(_summed(named, ["suffix", "domain"]), "domains").join(suffixes, "suffix")
-    domains = stored(
-        domains.select("domain", posterior(domains, _strength(domains)).alias("prior")), "domains"
-    )
-    known = named.join(domains, "domain")
-    strength = _strength(known)
-    a = F.col("prior") * strength + F.col("bad")
-    b = (1 - F.col("prior")) * strength + F.col("n") - F.col("bad")
+    known = _posterior(named.join(above(domains, "domain", "domains"), "domain"))
+    a, b = F.col("a"), F.col("b")
     low = 1 / (1 + F.exp(-(F.log(a / b) - BOUND * F.sqrt(1 / a + 1 / b))))
     return known.select("host", (a / (a + b)).alias("bad_rate"), low.alias("bad_rate_low"))
 
@@ -202,6 +214,10 @@ def _sql() -> str:
         kept = f"CASE WHEN coalesce({whole}, 0) = 0 THEN {DEFAULT_RHO} ELSE {fitted} END"
         return f"(SELECT 1 / ({kept}) - 1 FROM {nodes})"
 
+    def posterior(key: str, nodes: str) -> str:
+        return f"""SELECT {key}, prior * w + bad AS a, (1 - prior) * w + n - bad AS b
+  FROM (SELECT *, 1 / (1 / (k + 1) + 1 / (held + 1)) - 1 AS w FROM {nodes}, (SELECT {strength(nodes)} AS k))"""
+
     return rf"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '{_URL}', 1), ''),
@@ -224,19 +240,19 @@ WITH p AS (
       ELSE array_to_string(parts[-2:], '.') END AS domain
   FROM cut
 ), s0 AS (
-  SELECT suffix, sum(n) AS n, sum(bad) AS bad,
-    (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM hosts) AS prior FROM named GROUP BY suffix
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(p0) AS prior, any_value(h0) AS held
+  FROM named, (SELECT (sum(bad) + 1) / (sum(n) + 2) AS p0, sum(n) + 2 AS h0 FROM hosts) GROUP BY suffix
 ), s1 AS (
-  SELECT suffix, (prior * k + bad) / (n + k) AS prior FROM s0, (SELECT {strength("s0")} AS k)
+  {posterior("suffix", "s0")}
 ), d0 AS (
-  SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(prior) AS prior
+  SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(a / (a + b)) AS prior, any_value(a + b) AS held
   FROM named JOIN s1 USING (suffix) GROUP BY domain
 ), d1 AS (
-  SELECT domain, (prior * k + bad) / (n + k) AS prior FROM d0, (SELECT {strength("d0")} AS k)
+  {posterior("domain", "d0")}
 ), h0 AS (
-  SELECT host, n, bad, prior FROM named JOIN d1 USING (domain)
+  SELECT host, named.n, named.bad, a / (a + b) AS prior, a + b AS held FROM named JOIN d1 USING (domain)
 ), h1 AS (
-  SELECT host, prior * k + bad AS a, (1 - prior) * k + n - bad AS b FROM h0, (SELECT {strength("h0")} AS k)
+  {posterior("host", "h0")}
 ), rated AS (
   SELECT host, a / (a + b) AS bad_rate, 1 / (1 + exp(-(ln(a / b) - {BOUND} * sqrt(1 / a + 1 / b)))) AS bad_rate_low FROM h1
 ), listed AS (
