@@ -35,7 +35,7 @@ def wald() -> str:
 
 
 N = "count(*) AS clientes"
-BACK = f"{pct('sum(back)', 'count(*)')} AS pct_recompra"
+BACK = "ROUND(100.0 * avg(back), 1) AS pct_recompra"
 CONF, CANC, PEND = "estado = 'confirmada'", "estado = 'cancelada'", "estado = 'pendiente'"
 DONE = "estado IN ('confirmada', 'cancelada')"
 LEAD = "(CAST(fecha_actividad AS DATE) - CAST(fecha_reserva AS DATE))"
@@ -141,7 +141,8 @@ def repeat() -> dict[str, str]:
         "repeat_global": over(
             "ripe",
             f"""
-            SELECT count(*) AS clientes_elegibles, CAST(sum(back) AS BIGINT) AS recompran, {BACK}
+            SELECT count(*) AS clientes_elegibles, CAST(sum(back) AS BIGINT) AS recompran,
+                   {pct('sum(back)', 'count(*)')} AS pct_recompra
             FROM ripe
             """,
         ),
@@ -248,10 +249,10 @@ def repeat() -> dict[str, str]:
                            ORDER BY fecha_reserva NULLS LAST, reserva_id) AS d
               FROM bk WHERE {DONE} GROUP BY user_id)
             SELECT count(*) AS clientes_cancelan_su_1a,
-                   {pct('''count_if(EXISTS (
+                   ROUND(100.0 * avg(CAST(EXISTS (
                         SELECT 1 FROM bk WHERE bk.user_id = opened.user_id
                           AND bk.estado = 'confirmada'
-                          AND CAST(bk.fecha_reserva AS DATE) > opened.d))''', 'count(*)')}
+                          AND CAST(bk.fecha_reserva AS DATE) > opened.d) AS INTEGER)), 1)
                      AS pct_compra_confirmada_despues
             FROM opened WHERE s = 'cancelada'
             """,
@@ -438,10 +439,10 @@ def traffic() -> dict[str, str]:
             f"""
             SELECT device, count(*) AS sesiones,
                    {pct('count(*)', '(SELECT count(*) FROM ses)')} AS pct_trafico,
-                   {pct('sum(ident)', 'count(*)')} AS pct_identificada,
-                   {pct('sum(ident * vi)', 'sum(vi)')} AS pct_ident_si_interes,
-                   {pct('sum(pu * vi)', 'sum(vi)')} AS pct_compra_si_interes,
-                   {pct('sum(pu * ident)', 'sum(ident)')} AS pct_compra_si_identificada,
+                   ROUND(100.0 * avg(ident), 1) AS pct_identificada,
+                   ROUND(100.0 * avg(ident) FILTER (vi = 1), 1) AS pct_ident_si_interes,
+                   ROUND(100.0 * avg(pu) FILTER (vi = 1), 1) AS pct_compra_si_interes,
+                   ROUND(100.0 * avg(pu) FILTER (ident = 1), 1) AS pct_compra_si_identificada,
                    {pct('sum(pu)', 'sum(bc)')} AS pct_checkout_a_compra
             FROM ses GROUP BY device
             """,
@@ -585,7 +586,7 @@ def dashboard() -> dict[str, str]:
             "dash_ripe device_of",
             f"""
             SELECT d.device AS factor, {N},
-                   {rate(count_if('recurrente'), 'count(*)')} AS pct_retencion
+                   100.0 * avg(CAST(recurrente AS INTEGER)) AS pct_retencion
             FROM dash_ripe JOIN device_of d USING (user_id) GROUP BY 1
             """,
         ),
@@ -596,11 +597,23 @@ def dashboard() -> dict[str, str]:
                            CAST({eur(CONF)} AS DOUBLE) AS revenue, {TICKET} AS ticket_medio,
                            avg(personas) FILTER (WHERE {CONF}) AS personas_medias
                     FROM sel GROUP BY 1),
-            r AS (SELECT destino, {N}, {rate(count_if('recurrente'), 'count(*)')} AS pct_retencion
+            r AS (SELECT destino, {N}, 100.0 * avg(CAST(recurrente AS INTEGER)) AS pct_retencion
                   FROM dash_ripe GROUP BY 1)
             SELECT v.*, clientes, pct_retencion FROM v LEFT JOIN r USING (destino)
             """,
         ),
+        "destination_table_one_filter": over(
+            "sel dash_ripe",
+            f"""
+            , v AS (SELECT destino, {count_if(CONF)} AS reservas,
+                           CAST({eur(CONF)} AS DOUBLE) AS revenue, {TICKET} AS ticket_medio,
+                           avg(personas) FILTER (WHERE {CONF}) AS personas_medias
+                    FROM sel GROUP BY 1),
+            r AS (SELECT destino, {N}, 100.0 * avg(CAST(recurrente AS INTEGER)) AS pct_retencion
+                  FROM dash_ripe WHERE fa1 >= DATE '1996-01-01' GROUP BY 1)
+            SELECT v.*, clientes, pct_retencion FROM v LEFT JOIN r USING (destino)
+            """,
+        ),
         "sessions_filtered": over("dash_ses", "SELECT * FROM dash_ses"),
         "traffic_kpis": over(
             "dash_ses",
@@ -793,6 +806,20 @@ def quality() -> dict[str, str]:
             FROM q
             """,
         ),
+        "dq_malformed_lines": over(
+            "raw_bookings raw_customers raw_providers raw_tours raw_events",
+            " UNION ALL ".join(
+                f"SELECT '{table}' AS tabla, count(*) AS lineas, CAST(0 AS BIGINT) AS malformadas "
+                f"FROM raw_{name}"
+                for name, table in (
+                    ("bookings", "reservas"),
+                    ("customers", "clientes"),
+                    ("providers", "proveedores"),
+                    ("tours", "tours"),
+                    ("events", "ga_eventos"),
+                )
+            ),
+        ),
         "dq_booking_id": over(
             "raw_bookings",
             f"""

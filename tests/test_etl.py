@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pathlib import Path
+
 import pytest
 
 from tests.conftest import rows
 from wayfare import etl, session
+from wayfare.operators.cleaning import clean_bookings
+from wayfare.plans import business, dashboard, quality
+from wayfare.plans.dashboard import Filters
 from wayfare.schemas import RAW
 from wayfare.session import shared_folder
-from wayfare.sources.raw import read_csv
+from wayfare.sources.raw import from_benchmark, from_csv, read_csv
 from wayfare.sources.warehouse import SLIM_EVENT_COLUMNS, Warehouse
 
 FILES = {
@@ -96,8 +101,66 @@ def test_tables(spark, done):
 
 def test_dashboard_copy(spark, done):
     slim = spark.read.parquet(f"{done}/dashboard/ga_eventos")
-    assert tuple(slim.columns) == SLIM_EVENT_COLUMNS and slim.count() == 3
-    assert spark.read.parquet(f"{done}/dashboard/reservas").count() == 3
+    assert tuple(slim.columns) == (*SLIM_EVENT_COLUMNS, "dia") and slim.count() == 3
+    whole, copy = Warehouse(spark, f"{done}/tables"), Warehouse(spark, f"{done}/dashboard")
+    f = Filters(dt.date(2024, 1, 1), dt.date(2026, 12, 31), grain="month")
+    for query in (
+        dashboard.bookings_filtered, dashboard.period_kpis, dashboard.amount_series,
+        dashboard.cancel_series, dashboard.cancel_by_lead_filtered,
+        dashboard.cancel_by_channel_filtered, dashboard.cohort_filtered, dashboard.cohort_kpis,
+        dashboard.cohort_factor_channel, dashboard.cohort_factor_free,
+        dashboard.cohort_factor_destination, dashboard.cohort_factor_campaign,
+        dashboard.cohort_factor_device, dashboard.destination_table, dashboard.sessions_filtered,
+        dashboard.traffic_kpis, dashboard.sessions_series, dashboard.device_conversion,
+        dashboard.funnel_long, dashboard.kpi_vs_previous,
+    ):
+        assert rows(query(copy, f)) == rows(query(whole, f)), query.__name__
+    for query in (dashboard.date_bounds, dashboard.volume_start, dashboard.filter_domains):
+        assert rows(query(copy)) == rows(query(whole)), query.__name__
+    folders = {path.name.split("=")[0] for path in Path(f"{done}/dashboard").glob("*/*=*")}
+    assert folders == {"mes", "dia"}
+
+
+def test_malformed_lines_are_set_apart(spark, raw_folder, tmp_path):
+    clean = Warehouse(spark, str(tmp_path / "clean"), from_csv(spark, raw_folder))
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    for name, text in FILES.items():
+        extra = "x,y,z,,not a date,,confirmada,many,much,,SEO\n" if name == "reservas" else ""
+        (folder / f"{name}.csv").write_text(text + extra)
+    wh = Warehouse(spark, str(tmp_path / "out"), from_csv(spark, str(folder)))
+    assert rows(business.business_summary(wh)) == rows(business.business_summary(clean))
+    counts = {r.tabla: (r.lineas, r.malformadas) for r in quality.dq_malformed_lines(wh).collect()}
+    assert counts["reservas"] == (5, 1) and counts["tours"] == (2, 0)
+    assert wh.rejected("bookings").first().linea.startswith("x,y,z")
+    assert "_corrupt_record" not in wh.bookings.columns
+
+
+def test_parts_with_another_column_order_stop_the_job(spark, tmp_path):
+    parts = tmp_path / "proveedores.csv"
+    parts.mkdir()
+    (parts / "a.csv").write_text("proveedor_id,nombre,fecha_baja\n10,P,2025-06-30\n")
+    (parts / "b.csv").write_text("nombre,proveedor_id,fecha_baja\n8,2,2025-06-30\n")
+    with pytest.raises(Exception, match="CSV header"):
+        read_csv(spark, str(parts), RAW["proveedores"]).collect()
+
+
+def test_columns_beyond_the_schema_stay(spark, tmp_path):
+    header, *lines = FILES["reservas"].splitlines()
+    text = "\n".join([f"{header},agencia", *(f"{line},A{k}" for k, line in enumerate(lines))])
+    (tmp_path / "reservas.csv").write_text(text)
+    raw = read_csv(spark, str(tmp_path / "reservas.csv"), RAW["reservas"])
+    kept = {r.reserva_id: r.agencia for r in clean_bookings(raw).collect()}
+    assert kept == {900001: "A0", 900002: "A2", 900003: "A3"}
+
+
+def test_every_documented_metric_is_written(done):
+    written = {path.name for path in Path(f"{done}/report").glob("*/*")}
+    for name in (
+        "repeat_global_any", "repeat_timing", "free_same_trip", "factor_age",
+        "cancel_by_destination", "sales_growth", "conversion_gross", "conversion_net",
+    ):
+        assert name in written
 
 
 def test_report(spark, done):
@@ -120,18 +183,27 @@ def test_running_again_replaces_the_tables(spark, raw_folder, done):
     assert rows(Warehouse(spark, f"{done}/tables").bookings) == before
 
 
-def test_shuffles_widen_with_the_input(spark, raw_folder, monkeypatch):
+def test_shuffles_widen_with_the_input(spark, raw_folder):
     before = session.shuffle_width(spark)
-    assert session.size_shuffles(spark, raw_folder) == before  # never narrower
-    size = session.folder_bytes(spark, raw_folder)
-    assert size == sum(len(text.encode()) for text in FILES.values())
-    monkeypatch.setattr(session, "TASK_BYTES", size // 20)
+    advisory = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     try:
-        assert session.size_shuffles(spark, raw_folder) in (40, 41)
+        assert session.size_shuffles(spark, 1000) == before  # never narrower
+        # 100 TB: as many partitions as 128 MB each take, without an upper limit
+        assert session.size_shuffles(spark, 100 * 1024**4) == 100 * 1024**4 * 2 // (128 * 1024**2)
+        assert session.size_shuffles(spark, 1000, width=777) == 777
+        # a small data set after a large one finds the session as it was
+        assert session.size_shuffles(spark, 1000) == before
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == advisory
     finally:
-        for key in (session.WIDTH, *session.LARGE_INPUT):
-            spark.conf.unset(key)
-        session.configure(spark)
+        session.size_shuffles(spark, 0)
+
+
+def test_scan_bytes_follow_the_columns(spark, small_sf="/root/testdata/sf0.001"):
+    orders = spark.read.parquet(f"{small_sf}/orders.parquet")
+    whole = session.scan_bytes(orders)
+    assert whole == Path(f"{small_sf}/orders.parquet").stat().st_size
+    assert session.scan_bytes(orders.select("o_orderkey").where("o_orderkey > 5")) < whole / 3
+    assert from_benchmark(spark, small_sf).scan_bytes() > 0
 
 
 def test_shared_folder_comes_from_the_session(spark):

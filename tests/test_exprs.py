@@ -77,3 +77,11 @@ def test_share_of_total(spark):
 )
 def test_periods(spark, grain, expected):
     assert str(one(spark, X.period(F.lit(when("2025-03-06 23:59:59")), grain))) == expected
+
+
+def test_a_mean_is_scaled_after_the_division(spark):
+    """23 of 80: the mean times 100 lies below 28.75, 100 times the count does not."""
+    row = spark.range(1).select(
+        X.mean_pct(F.lit(23), F.lit(80)).alias("mean"), X.pct(F.lit(23), F.lit(80)).alias("share")
+    )
+    assert tuple(row.first()) == (28.7, 28.8)

@@ -63,12 +63,6 @@ def test_events_take_the_highest_canonical_id_of_their_cookie(make):
     assert identified(I.identify_events(clean, identities)) == EXPECTED
 
 
-def test_two_steps_give_the_same(make):
-    xwalk = I.customer_crosswalk(customers(make))
-    translated = I.translate_users(clean_events(events(make)), xwalk, "event_id")
-    assert identified(I.propagate_identity(translated)) == EXPECTED
-
-
 def test_bots(make):
     raw = make.table("events", *[dict(temp_client_id=c) for c in ("Tbot0000000", "T1", None)])
     assert [r.es_bot for r in I.flag_bots(raw).orderBy("event_id").collect()] == [True, False, False]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import re
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from wayfare import catalogue
@@ -58,8 +61,14 @@ def test_filters_and_columns_reach_the_scan(wh):
         assert unused not in scan["ReadSchema"]
 
 
-def test_bookings_are_read_by_year(wh):
-    assert "PartitionFilters: [isnotnull(anio" in plan(dashboard.period_kpis(wh, catalogue.SALES))
+def test_bookings_are_read_by_month(wh):
+    assert "PartitionFilters: [isnotnull(mes" in plan(dashboard.period_kpis(wh, catalogue.SALES))
+    quarter = replace(catalogue.ONE_YEAR, since=dt.date(1997, 2, 3), until=dt.date(1997, 5, 3))
+    read = dashboard.bookings_filtered(wh, quarter).select(F.input_file_name().alias("f"))
+    months = {r.f.split("mes=")[1][:6] for r in read.distinct().collect()}
+    assert {"199703", "199704"} <= months <= {"199702", "199703", "199704", "199705"}
+    every = len(wh.bookings.inputFiles())
+    assert every > 10 * len(months)
 
 
 def test_events_are_read_by_day(wh):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfare.operators import cleaning, identity
-from wayfare.plans import business, dashboard, destinations, quality, repeat, traffic
+from wayfare.plans import business, dashboard, quality, repeat
 from wayfare.plans.dashboard import Filters
 from wayfare.plans.report import CHECKS, metrics
 from wayfare.schemas import BOOKINGS
@@ -74,16 +74,7 @@ def queries() -> dict[str, Query]:
     reported = metrics() | {
         "factor_amount": partial(repeat.factor_amount, edges=AMOUNT_EDGES),
         "sales_by_semester": partial(business.sales_by_semester, since=SALES_SINCE),
-    }
-    documented: dict[str, Query] = {
-        "repeat_global_any": partial(repeat.repeat_global, rule="any"),
-        "repeat_timing": repeat.repeat_timing,
-        "free_same_trip": repeat.free_same_trip,
-        "factor_age": repeat.factor_age,
-        "cancel_by_destination": destinations.cancel_by_destination,
         "sales_growth": partial(business.sales_growth, since=SALES_SINCE),
-        "conversion_gross": traffic.conversion_gross,
-        "conversion_net": traffic.conversion_net,
     }
     filtered: dict[str, Query] = {
         "date_bounds": dashboard.date_bounds,
@@ -92,6 +83,7 @@ def queries() -> dict[str, Query]:
         "filter_domains": dashboard.filter_domains,
         "kpi_vs_previous": partial(dashboard.kpi_vs_previous, f=ONE_YEAR),
         "destination_table": _destination_table,
+        "destination_table_one_filter": partial(dashboard.destination_table, f=SALES),
     }
     for f, functions in (
         (
@@ -133,5 +125,5 @@ def queries() -> dict[str, Query]:
         "tracking_gap": partial(quality.tracking_gap, since=GAP[0], until=GAP[1]),
         "bot_candidates": partial(quality.bot_candidates, times_average=BOT_TIMES_AVERAGE),
     }
-    every = prepared | reported | documented | filtered | checked
+    every = prepared | reported | filtered | checked
     return {name: partial(_with_plain_money, query) for name, query in every.items()}

@@ -17,8 +17,9 @@ from wayfare.sources.warehouse import Warehouse
 
 def run(spark: SparkSession, raw_folder: str, out_folder: str) -> Warehouse:
     configure(spark)
-    size_shuffles(spark, raw_folder)
-    wh = Warehouse(spark, f"{out_folder}/tables", from_csv(spark, raw_folder)).write_all()
+    raw = from_csv(spark, raw_folder)
+    size_shuffles(spark, raw.scan_bytes())
+    wh = Warehouse(spark, f"{out_folder}/tables", raw).write_all()
     wh.write_slim(f"{out_folder}/dashboard")
     write_report(wh, f"{out_folder}/report")
     write_checks(wh, f"{out_folder}/checks")

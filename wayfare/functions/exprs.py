@@ -37,6 +37,15 @@ def pct(part: Column, whole: Column, digits: int = 1) -> Column:
     return rnd(raw_pct(part, whole), digits)
 
 
+def raw_mean_pct(part: Column, whole: Column) -> Column:
+    """A mean of 0-1 flags in %: divided first, then scaled, which rounds 23 of 80 to 28.7."""
+    return F.lit(100.0) * ratio(part, whole)
+
+
+def mean_pct(part: Column, whole: Column, digits: int = 1) -> Column:
+    return rnd(raw_mean_pct(part, whole), digits)
+
+
 def n_rows() -> Column:
     return F.count(F.lit(1))
 

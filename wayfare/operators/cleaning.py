@@ -21,9 +21,15 @@ def drop_booking_copies(raw: DataFrame) -> DataFrame:
 
     An aggregate instead of a ranking: copies are merged on the map side, so a group of
     copies of any size reaches the shuffle as one row per task. Compares the values as
-    delivered, so ``CANCELLED`` and ``cancelada`` are different here.
+    delivered, so ``CANCELLED`` and ``cancelada`` are different here. Columns beyond the
+    schema come from the row that stays.
     """
-    return raw.groupBy(*BOOKING_KEY).agg(F.min("reserva_id").alias("reserva_id"))
+    extra = [F.min_by(c, "reserva_id").alias(c) for c in _extra(raw)]
+    return raw.groupBy(*BOOKING_KEY).agg(F.min("reserva_id").alias("reserva_id"), *extra)
+
+
+def _extra(raw: DataFrame) -> list[str]:
+    return [c for c in raw.columns if c not in BOOKINGS.names]
 
 
 def booking_copies(raw: DataFrame) -> DataFrame:
@@ -44,7 +50,7 @@ def clean_bookings(raw: DataFrame) -> DataFrame:
                 "personas": F.when(F.col("personas") > 0, F.col("personas")),
             }
         )
-        .select(*BOOKINGS.names)
+        .select(*BOOKINGS.names, *_extra(raw))
     )
 
 

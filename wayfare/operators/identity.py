@@ -103,25 +103,6 @@ def identify_events(events: DataFrame, identities: DataFrame) -> DataFrame:
     )
 
 
-def propagate_identity(events: DataFrame) -> DataFrame:
-    """Give every event the highest user id seen under its cookie (ids already canonical).
-
-    Aggregate and join back rather than a window: a window would sort all events by cookie
-    and hand one task everything a bot cookie sent.
-    """
-    cookies = events.groupBy("cookie_id").agg(
-        F.max("user_id").alias("user_id_propagado"), F.count(F.lit(1)).alias("_n")
-    )
-    return balanced_lookup(
-        events,
-        cookies.where(F.col("user_id_propagado").isNotNull()).drop("_n"),
-        on=["cookie_id"],
-        spread_by="event_id",
-        counts=cookies.select("cookie_id", "_n"),
-        broadcast_rows=0,
-    )
-
-
 def flag_bots(events: DataFrame, bot_ids: Sequence[str] = L.BOT_CLIENT_IDS) -> DataFrame:
     is_bot = F.col("temp_client_id").isin(*bot_ids)
     return events.withColumn("es_bot", F.coalesce(is_bot, F.lit(False)))

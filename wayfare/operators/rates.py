@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfare.functions.exprs import n_rows, pct, raw_pct, ratio, rnd, wald_interval
+from wayfare.functions.exprs import mean_pct, n_rows, raw_pct, ratio, rnd, wald_interval
 
 
 def repeat_rate(
@@ -22,7 +22,7 @@ def repeat_rate(
     if min_group:
         grouped = grouped.where(F.col("clientes") >= min_group)
     columns = [F.col(n) for n in by]
-    columns += [F.col("clientes"), pct(F.col("k"), F.col("clientes")).alias("pct_recompra")]
+    columns += [F.col("clientes"), mean_pct(F.col("k"), F.col("clientes")).alias("pct_recompra")]
     if interval:
         columns += wald_interval(ratio(F.col("k"), F.col("clientes")), F.col("clientes"))
     return grouped.select(*columns).orderBy(F.desc("pct_recompra"), *by)
@@ -67,7 +67,7 @@ def standardise(customers: DataFrame, group: str, stratum: str, label: str) -> D
         .where(F.col("w").isNotNull())
         .select(
             group,
-            pct(F.col("k"), F.col("n")).alias("pct_crudo"),
+            mean_pct(F.col("k"), F.col("n")).alias("pct_crudo"),
             rnd(raw_pct(F.col("kw"), F.col("w")), 1).alias(label),
         )
         .orderBy(F.desc(label), group)

@@ -19,7 +19,7 @@ from wayfare.functions.exprs import (
     sum_if,
 )
 from wayfare.operators.skew import balanced_lookup
-from wayfare.sources.warehouse import Warehouse
+from wayfare.sources.warehouse import Warehouse, month_number
 
 
 def _amount(*states: str):
@@ -40,7 +40,7 @@ def business_summary(wh: Warehouse) -> DataFrame:
 
 def sales_by_semester(wh: Warehouse, since: dt.date = L.SALES_START) -> DataFrame:
     day = F.col("fecha_reserva")
-    recent = (F.col("anio") >= since.year) & (day >= F.lit(since).cast("timestamp_ntz"))
+    recent = (F.col("mes") >= month_number(since)) & (day >= F.lit(since).cast("timestamp_ntz"))
     half = F.when(F.month(day) <= 6, "-H1").otherwise("-H2")
     return (
         wh.bookings.where(recent)

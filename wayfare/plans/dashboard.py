@@ -17,6 +17,7 @@ from wayfare.functions.exprs import (
     n_rows,
     pct,
     period,
+    raw_mean_pct,
     raw_pct,
     rnd,
     sum_if,
@@ -26,7 +27,7 @@ from wayfare.operators.rates import retention_rate
 from wayfare.operators.sessions import sessions
 from wayfare.plans.traffic import session_type
 from wayfare.schemas import BOOKINGS
-from wayfare.sources.warehouse import Warehouse
+from wayfare.sources.warehouse import Warehouse, month_number
 
 
 @dataclass(frozen=True)
@@ -70,11 +71,11 @@ def _day(column: str) -> Column:
 
 
 def _booked_between(f: Filters) -> Column:
-    """Booking day in the range: by year for the folders, as instants for the files."""
+    """Booking day in the range: by month for the folders, as instants for the files."""
     start = F.lit(f.since).cast("timestamp_ntz")
     end = F.lit(f.until + dt.timedelta(days=1)).cast("timestamp_ntz")
-    years = F.col("anio").between(f.since.year, f.until.year)
-    return years & (F.col("fecha_reserva") >= start) & (F.col("fecha_reserva") < end)
+    months = F.col("mes").between(month_number(f.since), month_number(f.until))
+    return months & (F.col("fecha_reserva") >= start) & (F.col("fecha_reserva") < end)
 
 
 def _selected(f: Filters) -> Column:
@@ -316,7 +317,7 @@ def cohort_factor_device(wh: Warehouse, f: Filters) -> DataFrame:
         customers.groupBy(F.col("device").alias("factor"))
         .agg(
             n_rows().alias("clientes"),
-            raw_pct(F.count_if("recurrente"), n_rows()).alias("pct_retencion"),
+            raw_mean_pct(F.count_if("recurrente"), n_rows()).alias("pct_retencion"),
         )
         .orderBy(F.desc("pct_retencion"), "factor")
     )
@@ -346,7 +347,7 @@ def destination_table(wh: Warehouse, f: Filters, cohort: Filters | None = None)
         .groupBy("destino")
         .agg(
             n_rows().alias("clientes"),
-            raw_pct(F.count_if("recurrente"), n_rows()).alias("pct_retencion"),
+            raw_mean_pct(F.count_if("recurrente"), n_rows()).alias("pct_retencion"),
         )
     )
     return volume.join(retention, "destino", "left").orderBy(F.desc("reservas"), "destino")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from wayfare.operators.cleaning import day_first_timestamp, iso_timestamp, orpha
 from wayfare.operators.skew import balanced_lookup
 from wayfare.plans.business import with_provider_end
 from wayfare.schemas import BOOKING_KEY
-from wayfare.sources.warehouse import Warehouse
+from wayfare.sources.warehouse import RAW_TABLES, Warehouse, month_number
 
 
 def checks(one_row: DataFrame, items: list[tuple[str, Column, Column]]) -> DataFrame:
@@ -49,9 +50,9 @@ def tracking_gap(
     day = F.to_date("fecha_reserva")
     decided = wh.bookings.where(is_state(*L.RESOLVED))
     if since is not None:
-        decided = decided.where((F.col("anio") >= since.year) & (day >= F.lit(since)))
+        decided = decided.where((F.col("mes") >= month_number(since)) & (day >= F.lit(since)))
     if until is not None:
-        decided = decided.where((F.col("anio") <= until.year) & (day <= F.lit(until)))
+        decided = decided.where((F.col("mes") <= month_number(until)) & (day <= F.lit(until)))
     decided = decided.select("reserva_id", day.alias("dia"))
     untracked = F.count_if(F.col("con_evento").isNull())
     return (
@@ -344,3 +345,18 @@ def dq_customer_dates(wh: Warehouse, today: dt.date | None = None) -> DataFrame:
         ),
         F.count_if(F.col("dni").isNull()).alias("sin_dni"),
     )
+
+
+def dq_malformed_lines(wh: Warehouse) -> DataFrame:
+    """Lines delivered for each raw table, and those among them that could not be read."""
+    counts = []
+    for name, table in RAW_TABLES.items():
+        label, none = F.lit(table).alias("tabla"), F.lit(0).cast("long")
+        one = F.lit(1).cast("long")
+        counts.append(wh.lines(name).select(label, "lineas", none.alias("malformadas")))
+        counts.append(wh.rejected(name).select(label, none.alias("lineas"), one.alias("malformadas")))
+    return (
+        reduce(DataFrame.unionByName, counts)
+        .groupBy("tabla")
+        .agg(F.sum("lineas").alias("lineas"), F.sum("malformadas").alias("malformadas"))
+    )

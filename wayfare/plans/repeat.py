@@ -14,6 +14,7 @@ from wayfare.functions.exprs import (
     is_state,
     lead_bucket,
     mean,
+    mean_pct,
     n_rows,
     party_bucket,
     pct,
@@ -51,7 +52,7 @@ def repeat_by_cohort(wh: Warehouse) -> DataFrame:
         .agg(
             n_rows().alias("clientes"),
             F.min("dias_exposicion").alias("exposicion_min"),
-            pct(F.sum("recompra"), n_rows()).alias("pct_recompra"),
+            mean_pct(F.sum("recompra"), n_rows()).alias("pct_recompra"),
         )
         .orderBy("cohorte_1a_actividad")
     )
@@ -209,7 +210,7 @@ def churn_return_after_cancel(wh: Warehouse) -> DataFrame:
     came_back = F.coalesce(F.col("ultima_fr") > F.col("fr"), F.lit(False))
     return first.join(last, "user_id", "left").agg(
         n_rows().alias("clientes_cancelan_su_1a"),
-        pct(F.count_if(came_back), n_rows()).alias("pct_compra_confirmada_despues"),
+        mean_pct(F.count_if(came_back), n_rows()).alias("pct_compra_confirmada_despues"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -51,9 +52,20 @@ QUESTIONS: dict[str, dict[str, Metric]] = {
         "factor_campaign": repeat.factor_campaign,
         "factor_device": repeat.factor_device,
     },
+    "documentadas": {
+        "repeat_global_any": partial(repeat.repeat_global, rule="any"),
+        "repeat_timing": repeat.repeat_timing,
+        "free_same_trip": repeat.free_same_trip,
+        "factor_age": repeat.factor_age,
+        "cancel_by_destination": destinations.cancel_by_destination,
+        "sales_growth": business.sales_growth,
+        "conversion_gross": traffic.conversion_gross,
+        "conversion_net": traffic.conversion_net,
+    },
 }
 
 CHECKS: dict[str, Metric] = {
+    "dq_malformed_lines": quality.dq_malformed_lines,
     "tracking_gap": quality.tracking_gap,
     "dq_cookie_user": quality.dq_cookie_user,
     "dq_client_cookie": quality.dq_client_cookie,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfare import labels as L
 from wayfare.functions.exprs import (
     is_state,
+    mean_pct,
     n_rows,
     pct,
     share_of_total,
@@ -64,10 +65,10 @@ def funnel_by_device(wh: Warehouse) -> DataFrame:
         "device",
         "sesiones",
         share_of_total("sesiones").alias("pct_trafico"),
-        pct(c("n_ident"), c("sesiones")).alias("pct_identificada"),
-        pct(c("n_vi_ident"), c("n_vi")).alias("pct_ident_si_interes"),
-        pct(c("n_vi_pu"), c("n_vi")).alias("pct_compra_si_interes"),
-        pct(c("n_ident_pu"), c("n_ident")).alias("pct_compra_si_identificada"),
+        mean_pct(c("n_ident"), c("sesiones")).alias("pct_identificada"),
+        mean_pct(c("n_vi_ident"), c("n_vi")).alias("pct_ident_si_interes"),
+        mean_pct(c("n_vi_pu"), c("n_vi")).alias("pct_compra_si_interes"),
+        mean_pct(c("n_ident_pu"), c("n_ident")).alias("pct_compra_si_identificada"),
         pct(c("n_pu"), c("n_bc")).alias("pct_checkout_a_compra"),
     ).orderBy(F.desc("sesiones"), "device")
 

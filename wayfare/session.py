@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # Day boundaries must not depend on where an executor runs.
@@ -25,7 +24,6 @@ SETTINGS = {
 # than the same rows in compressed files.
 TASK_BYTES = 128 * 1024**2
 SHUFFLE_EXPANSION = 2
-MAX_PARTITIONS = 100_000
 
 WIDTH = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 # merged partitions, and thereby written files, of the size a task may hold
@@ -34,26 +32,52 @@ LARGE_INPUT = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(TASK_BYTES),
 }
 
+# settings that each session had before any data set widened them
+_before: dict[int, dict[str, str | None]] = {}
+
 
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions a shuffle starts with, before small ones are merged."""
     return int(spark.conf.get(WIDTH, None) or spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def folder_bytes(spark: SparkSession, folder: str) -> int:
-    """Size of all files below a folder, from the listing; no file is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.agg(F.sum("length")).first()[0] or 0
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes that the scans of ``df`` read, from the file listing: files by share of columns.
+
+    Spark estimates this while planning; no file is opened.
+    """
+
+    def alone(node) -> bool:
+        return node.children().isEmpty() or (
+            node.children().size() == 1 and alone(node.children().head())
+        )
+
+    def read(node) -> int:
+        if node.children().isEmpty() or (node.nodeName() == "Project" and alone(node)):
+            return int(node.stats().sizeInBytes())
+        children = node.children()
+        return sum(read(children.apply(k)) for k in range(children.size()))
+
+    return read(df._jdf.queryExecution().optimizedPlan())
 
 
-def size_shuffles(spark: SparkSession, folder: str) -> int:
-    """Make shuffles wide enough for the data in ``folder``; never narrower than configured.
+def size_shuffles(spark: SparkSession, nbytes: int, width: int | None = None) -> int:
+    """Make shuffles wide enough for ``nbytes`` of input, or ``width`` partitions wide.
 
     Adaptive execution merges partitions that turn out small but cannot split the rest, so
-    the starting number has to suit the largest shuffle: all of the input.
+    the starting number has to suit the largest shuffle: all of the input. There is no upper
+    limit. Never narrower than the session was configured, and what an earlier, larger data
+    set needed is taken back.
     """
-    wanted = folder_bytes(spark, folder) * SHUFFLE_EXPANSION // TASK_BYTES
-    wanted = min(wanted, MAX_PARTITIONS)
+    before = _before.setdefault(
+        id(spark._jsparkSession), {key: spark.conf.get(key, None) for key in (WIDTH, *LARGE_INPUT)}
+    )
+    for key, value in before.items():
+        if value is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, value)
+    wanted = width or nbytes * SHUFFLE_EXPANSION // TASK_BYTES
     if wanted > shuffle_width(spark):
         for key, value in LARGE_INPUT.items():
             spark.conf.set(key, value)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfare.schemas import MONEY, RAW
+from wayfare.session import scan_bytes
 
 CORRUPT = "_corrupt_record"
 
@@ -25,12 +26,18 @@ class RawTables:
     events: DataFrame
     staged: tuple[str, ...] = ()
 
+    def scan_bytes(self) -> int:
+        """Bytes of input behind all five tables, by the columns read."""
+        tables = (self.bookings, self.customers, self.providers, self.tours, self.events)
+        return sum(map(scan_bytes, tables))
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read a CSV with header under a fixed schema, whatever its column order.
 
     Only the header is looked at to put the types in file order. Columns the schema does
-    not know stay as text; a malformed line keeps its text in ``_corrupt_record``.
+    not know stay as text; a malformed line keeps its text in ``_corrupt_record``. In a folder
+    of parts all headers must agree: one that differs stops the job.
     """
     header = spark.read.option("header", True).csv(path).columns
     missing = set(schema.names) - set(header) - {"event_id"}
@@ -46,6 +53,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("enforceSchema", False)
         .csv(path)
     )
     if "event_id" in schema.names and "event_id" not in header:

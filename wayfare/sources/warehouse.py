@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.operators.cleaning import (
@@ -47,7 +48,30 @@ TABLES = (
     "usual_device",
     "booking_copies",
 )
-# what the dashboard needs of an event
+# raw tables by the name of their file
+RAW_TABLES = {
+    "bookings": "reservas",
+    "customers": "clientes",
+    "providers": "proveedores",
+    "tours": "tours",
+    "events": "ga_eventos",
+}
+# Folders that a table is laid out in, and the order within.
+LAYOUT = {
+    "reservas": ("mes", "fecha_reserva"),
+    "ga_eventos": ("dia", None),
+    "sesiones_dia": ("dia", None),
+}
+# what the dashboard reads, besides the events: property and folder
+DASHBOARD_TABLES = {
+    "bookings": "reservas",
+    "tours": "tours",
+    "firsts_with_tour": "primeras_reservas_con_tour",
+    "session_days": "sesiones_dia",
+    "usual_device": "dispositivo_habitual",
+}
+
+# What the dashboard needs of an event.
 SLIM_EVENT_COLUMNS = (
     "session_id",
     "event_name",
@@ -60,13 +84,17 @@ SLIM_EVENT_COLUMNS = (
 )
 
 
-def slim_events(events: DataFrame) -> DataFrame:
-    return events.select(*SLIM_EVENT_COLUMNS)
+def month_number(day: dt.date) -> int:
+    """Year and month as one number: the folder of a booking made on that day."""
+    return day.year * 100 + day.month
+
 
+def booking_month() -> Column:
+    return F.year("fecha_reserva") * 100 + F.month("fecha_reserva")
 
-def _valid(df: DataFrame) -> DataFrame:
-    """Without the column that keeps malformed lines."""
-    return df.drop(CORRUPT)
+
+def slim_events(events: DataFrame) -> DataFrame:
+    return events.select(*SLIM_EVENT_COLUMNS)
 
 
 class Warehouse:
@@ -90,26 +118,19 @@ class Warehouse:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def _stored(
-        self,
-        name: str,
-        build: Callable[[], DataFrame],
-        partition_by: str | None = None,
-        sort_by: str | None = None,
-    ) -> DataFrame:
+    def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         with self._lock:
             if name not in self._ready:
                 reader = self.spark.read
                 if self._raw is not None:
                     df = build()
-                    self._write(name, df, partition_by, sort_by)
+                    self._write(name, df)
                     reader = reader.schema(df.schema)
                 self._ready[name] = reader.parquet(self.path(name))
             return self._ready[name]
 
-    def _write(
-        self, name: str, df: DataFrame, partition_by: str | None, sort_by: str | None
-    ) -> None:
+    def _write(self, name: str, df: DataFrame) -> None:
+        partition_by, sort_by = LAYOUT.get(name, (None, None))
         if partition_by:
             # balanced files per partition value: a busy one is split, quiet ones merged
             df = df.hint("rebalance", partition_by)
@@ -122,11 +143,34 @@ class Warehouse:
 
     # --- raw tables, staged where their source is costly to read again ---------
 
-    def _raw_table(self, name: str) -> DataFrame:
+    def _delivered(self, name: str) -> DataFrame:
+        """A raw table with all lines, also those that could not be read."""
         if self._raw is not None and name not in self._raw.staged:
             return getattr(self._raw, name)
         return self._stored(f"raw_{name}", lambda: getattr(self._raw, name))
 
+    def _raw_table(self, name: str) -> DataFrame:
+        """A raw table without malformed lines; those are in ``rejected``."""
+        df = self._delivered(name)
+        return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if CORRUPT in df.columns else df
+
+    def rejected(self, name: str) -> DataFrame:
+        """The malformed lines of a raw table, as they were delivered."""
+
+        def build() -> DataFrame:
+            df = self._delivered(name)
+            line = F.col(CORRUPT) if CORRUPT in df.columns else F.lit(None).cast("string")
+            return df.select(line.alias("linea")).where(F.col("linea").isNotNull())
+
+        return self._stored(f"rechazados/{RAW_TABLES[name]}", build)
+
+    def lines(self, name: str) -> DataFrame:
+        """How many lines a raw table was delivered with; one row, column ``lineas``."""
+        return self._stored(
+            f"lineas/{RAW_TABLES[name]}",
+            lambda: self._delivered(name).agg(F.count(F.lit(1)).alias("lineas")),
+        )
+
     @property
     def raw_bookings(self) -> DataFrame:
         return self._raw_table("bookings")
@@ -155,41 +199,41 @@ class Warehouse:
 
     @property
     def tours(self) -> DataFrame:
-        return self._stored("tours", lambda: _valid(clean_tours(self.raw_tours)))
+        return self._stored("tours", lambda: clean_tours(self.raw_tours))
 
     @property
     def providers(self) -> DataFrame:
-        return self._stored("proveedores", lambda: _valid(self.raw_providers))
+        return self._stored("proveedores", lambda: self.raw_providers)
 
     @property
     def customers(self) -> DataFrame:
-        return self._stored("clientes", lambda: _valid(clean_customers(self.raw_customers)))
+        return self._stored("clientes", lambda: clean_customers(self.raw_customers))
 
     @property
     def bookings(self) -> DataFrame:
         """Clean bookings under canonical users, next to their tour's destination and price.
 
-        One folder per booking year, in order of time, so that a period reads little else.
+        One folder per booking month, so that a period reads no other month's files.
         """
 
         def build() -> DataFrame:
             raw = self.raw_bookings
             canonical = canonical_bookings(clean_bookings(raw), raw, self.crosswalk)
             placed = with_destination(canonical, self.tours, raw)
-            return placed.withColumn("anio", F.year("fecha_reserva"))
+            return placed.withColumn("mes", booking_month())
 
-        return self._stored("reservas", build, partition_by="anio", sort_by="fecha_reserva")
+        return self._stored("reservas", build)
 
     @property
     def events(self) -> DataFrame:
         """Clean events with identity and bot flag, in one folder per day."""
 
         def build() -> DataFrame:
-            clean = clean_events(_valid(self.raw_events))
+            clean = clean_events(self.raw_events)
             flagged = flag_bots(identify_events(clean, self.identities))
             return flagged.withColumn("dia", F.to_date("event_date"))
 
-        return self._stored("ga_eventos", build, partition_by="dia")
+        return self._stored("ga_eventos", build)
 
     # --- roll-ups several metrics share ----------------------------------------
 
@@ -217,7 +261,7 @@ class Warehouse:
 
     @property
     def session_days(self) -> DataFrame:
-        return self._stored("sesiones_dia", lambda: session_days(self.events), partition_by="dia")
+        return self._stored("sesiones_dia", lambda: session_days(self.events))
 
     @property
     def sessions(self) -> DataFrame:
@@ -229,13 +273,20 @@ class Warehouse:
         return self._stored("dispositivo_habitual", lambda: usual_device(self.events))
 
     def write_all(self) -> Warehouse:
+        for name in RAW_TABLES:
+            self.rejected(name)
+            self.lines(name)
         for name in TABLES:
             getattr(self, name)
         return self
 
-    def write_slim(self, folder: str) -> None:
-        """Copy for the dashboard: bookings, tours and eight event columns."""
-        target = folder.rstrip("/")
-        self.bookings.write.mode("overwrite").parquet(f"{target}/reservas")
-        self.tours.write.mode("overwrite").parquet(f"{target}/tours")
-        slim_events(self.events).write.mode("overwrite").parquet(f"{target}/ga_eventos")
+    def write_slim(self, folder: str) -> Warehouse:
+        """Copy for the dashboard: the tables that it reads, events with eight columns.
+
+        A ``Warehouse`` of that folder answers every query that takes ``Filters``.
+        """
+        copy = Warehouse(self.spark, folder)
+        for name, table in DASHBOARD_TABLES.items():
+            copy._write(table, getattr(self, name))
+        copy._write("ga_eventos", self.events.select(*SLIM_EVENT_COLUMNS, "dia"))
+        return copy
