@@ -66,7 +66,9 @@ def queries() -> dict[str, Query]:
         "clean_customers": lambda wh: cleaning.clean_customers(wh.raw_customers),
         "clean_events": lambda wh: cleaning.clean_events(wh.raw_events),
         "clean_tours": lambda wh: cleaning.clean_tours(wh.raw_tours),
-        "customer_crosswalk": lambda wh: identity.customer_crosswalk(wh.raw_customers),
+        "customer_crosswalk": lambda wh: identity.customer_crosswalk(
+            wh.raw_customers, groups=wh.document_groups
+        ),
         "bookings_canonical": _canonical_bookings,
         "events_identified": _identified_events,
         "events_slim": lambda wh: slim_events(wh.events),

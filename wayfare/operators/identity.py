@@ -12,19 +12,26 @@ from wayfare.operators.cleaning import document_groups, document_key
 from wayfare.operators.skew import balanced_lookup, key_counts
 
 
-def customer_crosswalk(raw_customers: DataFrame, distinct_nulls: bool = False) -> DataFrame:
-    """Original user id -> lowest user id with the same document number."""
+def customer_crosswalk(
+    raw_customers: DataFrame, distinct_nulls: bool = False, groups: DataFrame | None = None
+) -> DataFrame:
+    """Original user id -> lowest user id with the same document number.
+
+    ``groups`` are the document groups as a written table, which can be counted before they
+    are broadcast; customers are then read once.
+    """
     people = raw_customers.select(
         F.col("user_id").alias("user_id_original"), document_key(distinct_nulls).alias("dni_key")
     )
-    groups = document_groups(raw_customers, distinct_nulls)
+    written = groups is not None
+    groups = groups if written else document_groups(raw_customers, distinct_nulls)
     return balanced_lookup(
         people,
         groups.select("dni_key", "user_id_canonico"),
         on=["dni_key"],
         spread_by="user_id_original",
         counts=groups.select("dni_key", "_n"),
-        broadcast_rows=0,
+        broadcast_rows=None if written else 0,
     ).select("user_id_original", "user_id_canonico")
 
 

@@ -13,6 +13,15 @@ from wayfare import labels as L
 FLAGS = ("ident", "vi", "bc", "pu", "con_reserva")
 
 
+def session_bookings(events: DataFrame) -> DataFrame:
+    """Pairs of a session and a booking that one of its events names; bots left out."""
+    return (
+        events.where(~F.col("es_bot") & F.col("reserva_id").isNotNull())
+        .select("session_id", "reserva_id")
+        .distinct()
+    )
+
+
 def session_days(events: DataFrame) -> DataFrame:
     """Flags per (session, day, device) of non-bot events.
 

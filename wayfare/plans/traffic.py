@@ -13,7 +13,7 @@ from wayfare.functions.exprs import (
     pct,
     share_of_total,
 )
-from wayfare.operators.skew import balanced_lookup
+from wayfare.operators import skew
 from wayfare.sources.warehouse import Warehouse
 
 
@@ -84,21 +84,25 @@ def conversion_gross(wh: Warehouse) -> DataFrame:
 
 
 def conversion_net(wh: Warehouse) -> DataFrame:
-    """Of the sessions with a booking id, those with a confirmed booking."""
-    linked = (
-        wh.events.where(~F.col("es_bot") & F.col("reserva_id").isNotNull())
-        .select("session_id", "reserva_id")
-        .distinct()
-    )
+    """Of the sessions with a booking id, those with a confirmed booking.
+
+    The pairs of session and booking are few beside the bookings. Counted to be small, they
+    are broadcast and no booking is shuffled; otherwise they look their bookings up.
+    """
+    linked = wh.session_bookings
     confirmed = wh.bookings.where(is_state(L.CONFIRMED)).select(
         "reserva_id", F.lit(True).alias("confirmada")
     )
-    per_session = (
-        balanced_lookup(
+    if skew.is_small(linked, skew.BROADCAST_ROWS):
+        found = confirmed.join(F.broadcast(linked), "reserva_id").select("session_id", "confirmada")
+        none = linked.select("session_id", F.lit(False).alias("confirmada"))
+        pairs = found.unionByName(none)
+    else:
+        pairs = skew.balanced_lookup(
             linked, confirmed, on=["reserva_id"], spread_by="session_id", broadcast_rows=0
         )
-        .groupBy("session_id")
-        .agg(F.max(F.coalesce("confirmada", F.lit(False))).alias("confirmada"))
+    per_session = pairs.groupBy("session_id").agg(
+        F.max(F.coalesce("confirmada", F.lit(False))).alias("confirmada")
     )
     kept = F.count_if("confirmada")
     return per_session.agg(

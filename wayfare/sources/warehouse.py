@@ -16,6 +16,7 @@ from wayfare.operators.cleaning import (
     clean_customers,
     clean_events,
     clean_tours,
+    document_groups,
 )
 from wayfare.operators.cohort import first_bookings
 from wayfare.operators.identity import (
@@ -27,12 +28,13 @@ from wayfare.operators.identity import (
     identity_map,
     with_destination,
 )
-from wayfare.operators.sessions import session_days, sessions, usual_device
+from wayfare.operators.sessions import session_bookings, session_days, sessions, usual_device
 from wayfare.session import shared_folder
 from wayfare.sources.raw import CORRUPT, RawTables
 
 # properties of a Warehouse in the order they build on each other
 TABLES = (
+    "document_groups",
     "crosswalk",
     "tours",
     "providers",
@@ -45,6 +47,7 @@ TABLES = (
     "firsts_with_tour",
     "session_days",
     "sessions",
+    "session_bookings",
     "usual_device",
     "booking_copies",
 )
@@ -193,9 +196,16 @@ class Warehouse:
 
     # --- the six clean tables --------------------------------------------------
 
+    @property
+    def document_groups(self) -> DataFrame:
+        return self._stored("grupos_documento", lambda: document_groups(self.raw_customers))
+
     @property
     def crosswalk(self) -> DataFrame:
-        return self._stored("crosswalk_clientes", lambda: customer_crosswalk(self.raw_customers))
+        return self._stored(
+            "crosswalk_clientes",
+            lambda: customer_crosswalk(self.raw_customers, groups=self.document_groups),
+        )
 
     @property
     def tours(self) -> DataFrame:
@@ -268,6 +278,10 @@ class Warehouse:
         """All sessions; without a named event a session counts as having reached no stage."""
         return self._stored("sesiones", lambda: sessions(self.session_days).fillna(0))
 
+    @property
+    def session_bookings(self) -> DataFrame:
+        return self._stored("sesiones_reservas", lambda: session_bookings(self.events))
+
     @property
     def usual_device(self) -> DataFrame:
         return self._stored("dispositivo_habitual", lambda: usual_device(self.events))
