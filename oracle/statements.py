@@ -112,7 +112,24 @@ def cleaning() -> dict[str, str]:
         "customer_crosswalk": over(
             "xw", "SELECT original AS user_id_original, canonical AS user_id_canonico FROM xw"
         ),
+        "customer_crosswalk_distinct_nulls": over(
+            "raw_customers",
+            """
+            SELECT user_id AS user_id_original,
+                   if(dni IS NULL, user_id, min(user_id) OVER (PARTITION BY lower(dni)))
+                     AS user_id_canonico
+            FROM raw_customers
+            """,
+        ),
         "bookings_canonical": over("bk", f"SELECT {BOOKING} FROM bk"),
+        "bookings_canonical_keep_unknown": over(
+            "clean xw",
+            f"""
+            SELECT {BOOKING}
+            FROM (SELECT clean.* REPLACE (coalesce(canonical, user_id) AS user_id)
+                  FROM clean LEFT JOIN xw ON original = clean.user_id)
+            """,
+        ),
         "events_identified": over("ev", f"SELECT {EVENT}, user_id_propagado, es_bot FROM ev"),
         "events_slim": over(
             "ev",

@@ -208,3 +208,12 @@ def test_scan_bytes_follow_the_columns(spark, small_sf="/root/testdata/sf0.001")
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_options_reach_the_tables(spark, raw_folder, tmp_path):
+    wh = Warehouse.scratch(spark, from_csv(spark, raw_folder), keep_unknown=True, distinct_nulls=True)
+    assert {r.user_id for r in wh.bookings.collect()} == {1, 3}
+    folder = Path(wh.folder.removeprefix("file:"))
+    assert folder.is_dir()
+    wh.close()
+    assert not folder.exists()

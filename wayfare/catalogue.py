@@ -44,11 +44,11 @@ def _clean_bookings(wh: Warehouse) -> DataFrame:
     return cleaning.clean_bookings(wh.raw_bookings)
 
 
-def _canonical_bookings(wh: Warehouse) -> DataFrame:
+def _canonical_bookings(wh: Warehouse, keep_unknown: bool = False) -> DataFrame:
     raw = wh.raw_bookings
-    return identity.canonical_bookings(cleaning.clean_bookings(raw), raw, wh.crosswalk).select(
-        *BOOKINGS.names
-    )
+    clean = cleaning.clean_bookings(raw)
+    canonical = identity.canonical_bookings(clean, raw, wh.crosswalk, keep_unknown)
+    return canonical.select(*BOOKINGS.names)
 
 
 def _identified_events(wh: Warehouse) -> DataFrame:
@@ -69,7 +69,11 @@ def queries() -> dict[str, Query]:
         "customer_crosswalk": lambda wh: identity.customer_crosswalk(
             wh.raw_customers, groups=wh.document_groups
         ),
+        "customer_crosswalk_distinct_nulls": lambda wh: identity.customer_crosswalk(
+            wh.raw_customers, distinct_nulls=True
+        ),
         "bookings_canonical": _canonical_bookings,
+        "bookings_canonical_keep_unknown": partial(_canonical_bookings, keep_unknown=True),
         "events_identified": _identified_events,
         "events_slim": lambda wh: slim_events(wh.events),
     }

@@ -15,11 +15,14 @@ from wayfare.sources.raw import from_csv
 from wayfare.sources.warehouse import Warehouse
 
 
-def run(spark: SparkSession, raw_folder: str, out_folder: str) -> Warehouse:
+def run(
+    spark: SparkSession, raw_folder: str, out_folder: str, **options: bool
+) -> Warehouse:
+    """``options`` are those of ``Warehouse``."""
     configure(spark)
     raw = from_csv(spark, raw_folder)
     size_shuffles(spark, raw.scan_bytes())
-    wh = Warehouse(spark, f"{out_folder}/tables", raw).write_all()
+    wh = Warehouse(spark, f"{out_folder}/tables", raw, **options).write_all()
     wh.write_slim(f"{out_folder}/dashboard")
     write_report(wh, f"{out_folder}/report")
     write_checks(wh, f"{out_folder}/checks")

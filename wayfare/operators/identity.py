@@ -59,7 +59,9 @@ def cookie_users(events: DataFrame) -> DataFrame:
     )
 
 
-def identity_map(pairs: DataFrame, crosswalk: DataFrame) -> DataFrame:
+def identity_map(
+    pairs: DataFrame, crosswalk: DataFrame, keep_unknown: bool = False
+) -> DataFrame:
     """``cookie_users`` with the canonical user id and the id its cookie belongs to.
 
     Translation and propagation work on one row per cookie and user instead of on events.
@@ -69,6 +71,7 @@ def identity_map(pairs: DataFrame, crosswalk: DataFrame) -> DataFrame:
         .select("cookie_id", "user_id", F.col("user_id").alias("delivered")),
         crosswalk,
         spread_by="cookie_id",
+        keep_unknown=keep_unknown,
     ).where(F.col("user_id").isNotNull())
     owner = known.groupBy("cookie_id").agg(F.max("user_id").alias("user_id_propagado"))
     translation = known.select(
@@ -115,14 +118,20 @@ def flag_bots(events: DataFrame, bot_ids: Sequence[str] = L.BOT_CLIENT_IDS) -> D
     return events.withColumn("es_bot", F.coalesce(is_bot, F.lit(False)))
 
 
-def canonical_bookings(clean: DataFrame, raw: DataFrame, crosswalk: DataFrame) -> DataFrame:
+def canonical_bookings(
+    clean: DataFrame, raw: DataFrame, crosswalk: DataFrame, keep_unknown: bool = False
+) -> DataFrame:
     """Cleaned bookings under canonical user ids.
 
     Hot users are counted on the raw column: a one-column scan, and an upper bound of what
     is left after the copies are gone.
     """
     return translate_users(
-        clean, crosswalk, spread_by="reserva_id", counts=key_counts(raw, ["user_id"])
+        clean,
+        crosswalk,
+        spread_by="reserva_id",
+        counts=key_counts(raw, ["user_id"]),
+        keep_unknown=keep_unknown,
     )
 
 

@@ -114,6 +114,12 @@ def local_session(
     return configure(spark)
 
 
+def file_system(spark: SparkSession, folder: str):
+    """Hadoop's file system of a folder, and the folder's path in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediate tables, visible to every executor.
 

@@ -29,7 +29,7 @@ from wayfare.operators.identity import (
     with_destination,
 )
 from wayfare.operators.sessions import session_bookings, session_days, sessions, usual_device
-from wayfare.session import shared_folder
+from wayfare.session import file_system, shared_folder
 from wayfare.sources.raw import CORRUPT, RawTables
 
 # properties of a Warehouse in the order they build on each other
@@ -107,16 +107,39 @@ class Warehouse:
     raw, and the metrics see plain column-pruned scans.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, raw: RawTables | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        raw: RawTables | None = None,
+        keep_unknown: bool = False,
+        distinct_nulls: bool = False,
+    ):
+        """``keep_unknown`` leaves users the crosswalk lacks their id; ``distinct_nulls``
+        keeps customers without a document apart."""
         self.spark = spark
+        self._keep_unknown = keep_unknown
+        self._distinct_nulls = distinct_nulls
         self.folder = folder.rstrip("/")
         self._raw = raw
         self._ready: dict[str, DataFrame] = {}
         self._lock = threading.RLock()
 
     @classmethod
-    def scratch(cls, spark: SparkSession, raw: RawTables) -> Warehouse:
-        return cls(spark, f"{shared_folder(spark)}/wayfare-{uuid.uuid4().hex}", raw)
+    def scratch(cls, spark: SparkSession, raw: RawTables, **options: bool) -> Warehouse:
+        """In a new folder, which ``close`` deletes, and the end of the application at last."""
+        folder = f"{shared_folder(spark)}/wayfare-{uuid.uuid4().hex}"
+        files, path = file_system(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        return cls(spark, folder, raw, **options)
+
+    def close(self) -> None:
+        """Delete the folder with all its tables; what was read from them cannot be used on."""
+        with self._lock:
+            files, path = file_system(self.spark, self.folder)
+            files.delete(path, True)
+            self._ready.clear()
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -198,13 +221,17 @@ class Warehouse:
 
     @property
     def document_groups(self) -> DataFrame:
-        return self._stored("grupos_documento", lambda: document_groups(self.raw_customers))
+        return self._stored(
+            "grupos_documento", lambda: document_groups(self.raw_customers, self._distinct_nulls)
+        )
 
     @property
     def crosswalk(self) -> DataFrame:
         return self._stored(
             "crosswalk_clientes",
-            lambda: customer_crosswalk(self.raw_customers, groups=self.document_groups),
+            lambda: customer_crosswalk(
+                self.raw_customers, self._distinct_nulls, self.document_groups
+            ),
         )
 
     @property
@@ -217,7 +244,9 @@ class Warehouse:
 
     @property
     def customers(self) -> DataFrame:
-        return self._stored("clientes", lambda: clean_customers(self.raw_customers))
+        return self._stored(
+            "clientes", lambda: clean_customers(self.raw_customers, self._distinct_nulls)
+        )
 
     @property
     def bookings(self) -> DataFrame:
@@ -228,7 +257,9 @@ class Warehouse:
 
         def build() -> DataFrame:
             raw = self.raw_bookings
-            canonical = canonical_bookings(clean_bookings(raw), raw, self.crosswalk)
+            canonical = canonical_bookings(
+                clean_bookings(raw), raw, self.crosswalk, self._keep_unknown
+            )
             placed = with_destination(canonical, self.tours, raw)
             return placed.withColumn("mes", booking_month())
 
@@ -253,7 +284,10 @@ class Warehouse:
 
     @property
     def identities(self) -> DataFrame:
-        return self._stored("identidades", lambda: identity_map(self.cookie_users, self.crosswalk))
+        return self._stored(
+            "identidades",
+            lambda: identity_map(self.cookie_users, self.crosswalk, self._keep_unknown),
+        )
 
     @property
     def booking_copies(self) -> DataFrame:
