@@ -37,6 +37,8 @@ from wayfare.llm.text import chunks
 # Words kept with their ids in a worker; a full table is emptied and starts over.
 CACHED_WORDS = 250_000
 CACHED_BYTES = 64
+# Words of more bytes are read from the front, not from the end by recursion.
+SHORT_WORD = 64
 
 # Splitting in the classes of the file's own pattern. Characters below the
 # first limit have lower-case letters below the second one, and no composition.
@@ -113,26 +115,35 @@ class Vocabulary:
 
     def _ids(self, word: bytes) -> array:
         """Tokens of a word: the one arc that leads on to each prefix, then back from the end."""
-        step, n = self.automaton.step, len(word)
-        states, tokens = [0] * (n + 1), [0] * (n + 1)
-        starts = [0] * (n + 1)
-        for end in range(1, n + 1):
-            labels = self.final if end == n else self.inner
-            for start in range(max(0, end - self.longest), end):
-                token = labels.get(word[start:end])
-                if token is not None:
-                    state = step(states[start], token)
-                    if state != DEAD:
-                        states[end], tokens[end], starts[end] = state, token, start
-                        break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-        found = []
-        while n:
-            found.append(tokens[n])
-            n = starts[n]
+        last: dict[int, tuple[int, int]] = {}  # of a prefix: where its last token starts, and it
+        states = {0: 0}
+        if len(word) <= SHORT_WORD:
+            self._reach(word, len(word), self.final, states, last)
+        else:
+            # every prefix in turn, so that none has to be reached through another
+            for end in range(1, len(word) + 1):
+                self._reach(word, end, self.final if end == len(word) else self.inner, states, last)
+        found, end = [], len(word)
+        while end:
+            end, token = last[end]
+            found.append(token)
         return array("I", reversed(found))
 
+    def _reach(self, word: bytes, end: int, labels: dict, states: dict, last: dict) -> int:
+        """State after the tokens of ``word[:end]``; prefixes on the way are reached as needed."""
+        for start in range(max(0, end - self.longest), end):
+            token = labels.get(word[start:end])
+            if token is None:
+                continue
+            before = states.get(start)
+            if before is None:
+                before = self._reach(word, start, self.inner, states, last)
+            state = self.automaton.step(before, token)
+            if state != DEAD:
+                states[end], last[end] = state, (start, token)
+                return state
+        raise ValueError("the vocabulary lacks a byte")
+
     def pieces(self, text: str) -> list[str]:
         high, low = _low_pattern()
         if not high.search(text):
