@@ -38,10 +38,15 @@ class Automaton:
         self.left = [DEAD] * tokens
         self.target = [0] * tokens
         self.parent, self.lacks, self.born = [0], [DEAD], [-1]
+        parts: set[int] = set()
         for k, (x, y, z) in enumerate(merges):
-            if self.made[z] >= 0 or max(self.made[x], self.made[y]) >= k or z in (x, y):
+            parts |= {x, y}
+            if self.made[z] >= 0 or z in parts:
                 raise ValueError(f"merge {k} is not made of earlier tokens into a new one")
-            self._gadget(k, x, y, z)
+            self.made[z] = k
+            # a merge whose parts never meet, as 0 and 00 after 0 0 -> 00, makes no arc
+            if self._has(self.target[x], y):
+                self._gadget(k, x, y, z)
         self.tokens = tokens
         self.table: dict[int, int] = {}
 
@@ -51,7 +56,6 @@ class Automaton:
         self.born.append(k)
         self.target[z] = self.target[y]
         self.target[x] = len(self.parent) - 1
-        self.made[z] = k
         self.left[z] = x
 
     def step(self, state: int, token: int) -> int:
@@ -72,3 +76,5 @@ class Automaton:
             if made < 0:
                 return True
             token = self.left[token]  # the arc was laid beside one of its first part
+            if token == DEAD:
+                return False
