@@ -504,11 +504,11 @@ def dashboard() -> dict[str, str]:
             f"""
             , b AS (SELECT CAST(min(fecha_reserva) AS DATE) AS lo,
                            CAST(max(fecha_reserva) AS DATE) AS hi FROM bk)
-            SELECT 'Histórico con volumen' AS rango, {start} AS desde, hi AS hasta FROM b
-            UNION ALL SELECT 'Todo (incl. 2023)', lo, hi FROM b
-            UNION ALL SELECT 'Últimos 12 meses', greatest(lo, hi - 365), hi FROM b
-            UNION ALL SELECT 'Últimos 6 meses', greatest(lo, hi - 182), hi FROM b
-            UNION ALL SELECT 'Últimos 90 días', greatest(lo, hi - 90), hi FROM b
+            SELECT 'con_volumen' AS rango, {start} AS desde, hi AS hasta FROM b
+            UNION ALL SELECT 'todo', lo, hi FROM b
+            UNION ALL SELECT 'ultimos_365_dias', greatest(lo, hi - 365), hi FROM b
+            UNION ALL SELECT 'ultimos_182_dias', greatest(lo, hi - 182), hi FROM b
+            UNION ALL SELECT 'ultimos_90_dias', greatest(lo, hi - 90), hi FROM b
             """,
         ),
         "filter_domains": over(

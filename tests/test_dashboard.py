@@ -90,10 +90,10 @@ def test_change_when_comparable(make):
     g = Filters(day("2025-01-01"), day("2025-01-31"), ("SEO",), ("madrid",))
     assert dicts(D.kpi_vs_previous(wh, g))[0]["comparable"] is False
     presets = by(D.date_presets(wh), "rango")
-    assert presets["Histórico con volumen"]["desde"] == day("2025-01-01")
-    assert presets["Últimos 12 meses"]["desde"] == day("2025-01-01")  # not before the data
+    assert presets["con_volumen"]["desde"] == day("2025-01-01")
+    assert presets["ultimos_365_dias"]["desde"] == day("2025-01-01")  # not before the data
     assert all(p["hasta"] == day("2025-02-25") for p in presets.values())
-    chosen = Filters.preset(wh, "Últimos 90 días", grain="week")
+    chosen = Filters.preset(wh, "ultimos_90_dias", grain="week")
     assert (chosen.since, chosen.until, chosen.grain) == (day("2025-01-01"), day("2025-02-25"), "week")
     with pytest.raises(ValueError):
         Filters.preset(wh, "Ayer")

@@ -68,11 +68,11 @@ PARTY_SIZES = ("1", "2", "3-4", "5+")
 GROSS_RATE = "Bruto (todas las sesiones)"
 IDENTIFIED_RATE = "Entre sesiones identificadas"
 PRESETS = (
-    "Histórico con volumen",
-    "Todo (incl. 2023)",
-    "Últimos 12 meses",
-    "Últimos 6 meses",
-    "Últimos 90 días",
+    "con_volumen",
+    "todo",
+    "ultimos_365_dias",
+    "ultimos_182_dias",
+    "ultimos_90_dias",
 )
 PRESET_DAYS = (365, 182, 90)
-GRAINS = {"Semana": "week", "Mes": "month", "Día": "day"}
+GRAINS = ("day", "week", "month")

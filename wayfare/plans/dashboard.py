@@ -45,7 +45,7 @@ class Filters:
     grain: str = "month"
 
     def __post_init__(self):
-        if self.grain not in L.GRAINS.values():
+        if self.grain not in L.GRAINS:
             raise ValueError(f"unknown grain: {self.grain}")
 
     @classmethod
