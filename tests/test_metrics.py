@@ -217,7 +217,7 @@ def test_shares_add_up(shop):
 
 def test_report_writes_every_metric(spark, shop, tmp_path):
     paths = write_report(shop, str(tmp_path))
-    assert len(paths) == len(metrics()) == 29
+    assert len(paths) == len(metrics()) == 37
     assert rows(spark.read.parquet(f"{tmp_path}/negocio/business_summary")) == rows(
         business.business_summary(shop)
     )
