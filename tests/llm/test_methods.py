@@ -7,6 +7,7 @@ import random
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -260,6 +261,28 @@ def test_whole_texts_are_scored_in_spans(monkeypatch):
     assert model.entropies(points) == pytest.approx(whole)
 
 
+def test_short_texts_of_no_language_are_rejected(spark, documents):
+    foreign = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw."
+    strange = {-1: "xqzv kwjp qqxz vbnm zzkx jwqp hgfd xcvq plmk", -2: foreign, -3: foreign[:24], -4: foreign + " " + foreign}
+    begins = documents.select((-F.col("doc_id") - 100).alias("doc_id"), F.substring("text", 1, 100).alias("text"))
+    short = spark.createDataFrame(list(strange.items()), "doc_id long, text string").union(begins)
+    added = short.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("x"), "n_chars": F.length("text").cast("long")})
+    kept = {r.doc_id for r in langid.keep(documents.unionByName(added)).collect()}
+    assert not kept & strange.keys()
+    with_letters = {r.doc_id for r in documents.where("text rlike '[a-zA-Z]'").collect()}
+    assert with_letters <= kept
+    assert sum(-i - 100 in kept for i in with_letters) >= 0.98 * len(with_letters)
+
+
+def test_missing_limits_come_from_near_lengths_and_then_from_all_languages():
+    rows = [("x", 300, 2 + k / 1000, True) for k in range(60)] + [("y", 20, 3.0, True)] * 9
+    measured = pd.DataFrame(rows, columns=["lang", "letters", "entropy", "whole"])
+    limits = langid._limits(langid.Model(["x", "y"]), measured)
+    assert np.isfinite(limits).all() and (np.diff(limits, axis=0) <= 0).all()
+    assert limits[:, 0] == pytest.approx(limits[:, 1])
+    assert np.isinf(langid._limits(langid.Model(["x", "y"]), measured[:9])).all()
+
+
 def test_running_totals(spark):
     rng = random.Random(4)
     rows = [(rng.choice("ab"), k, rng.randrange(9)) for k in range(5000)]

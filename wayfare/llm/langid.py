@@ -7,7 +7,9 @@ order, the sorted hashes of the n-grams of all languages and a row of log probab
 each; a text is scored by binary search, and an n-gram no language has backs off with the
 weight of its context, itself in a sorted array. The language of lowest cross-entropy per
 character wins. A text is accepted if that is no higher than almost all texts of the
-language and about its length had in a calibration sample, by a margin.
+language and about its length had in a calibration sample, by a margin. Where the sample has
+too few texts of a length, spans of whole words cut from its texts stand in for them; what
+is missing then comes from the nearest length, the longer first, or else from all languages.
 
 Training reads a bounded sample: documents by hash of their id, about ``SAMPLE_CHARS`` code
 points per language, of which ``CALIBRATION_SHARE`` are not counted but set the limits. The
@@ -44,6 +46,8 @@ LENGTHS = (1, 16, 64, 256)
 QUANTILE = 0.999
 MARGIN = 1.6
 LEAST_TEXTS = 50
+# Spans cut from a calibration text for each class of lengths, at most.
+SPANS = 16
 
 FOLDS = 5
 # Characters scored at a time.
@@ -51,6 +55,8 @@ SPAN = 1 << 19
 # Fixed value: an odd multiplier for hashes of n-grams.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPACE = 32
+# Fixed value: the golden ratio's fraction, whose multiples spread evenly.
+GOLDEN = 0.6180339887498949
 
 
 def fold(doc_id: Column) -> Column:
@@ -270,28 +276,84 @@ def train(docs: DataFrame) -> Model | None:
         return None
     model = fitted(languages, counts)
     apart = rows.where((_place() >= split) & (_place() < of_lang)).select("lang", "text")
-    measured = (
-        _scored(apart, model).where("best = lang").select("best", "letters", "entropy")
-    )
-    model.limits = _limits(model, measured.toArrow().to_pandas())
+    model.limits = _limits(model, _measured(apart, model).toArrow().to_pandas())
     return model
 
 
+def cuts(points: np.ndarray) -> Iterator[np.ndarray]:
+    """Spans of whole words of a text, spread over it and over each class of lengths."""
+    letter = points != SPACE
+    starts = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+    ends = np.append(starts[1:], len(points))
+    before = np.append(0, np.cumsum(letter))[np.append(starts, len(points))]
+    for k, least in enumerate(LENGTHS):
+        widest = LENGTHS[k + 1] / least if k + 1 < len(LENGTHS) else LENGTHS[-1] / LENGTHS[-2]
+        first = 0
+        for span in range(SPANS):
+            first = max(first, span * len(starts) // SPANS)
+            wanted = least * widest ** (span * GOLDEN % 1)
+            last = int(np.searchsorted(before, before[first] + wanted))
+            if last > len(starts):
+                break
+            yield np.concatenate([points[: ORDER - 1], points[starts[first] : ends[last - 1]]])
+            first = last
+
+
+def _measured(apart: DataFrame, model: Model) -> DataFrame:
+    """``lang``, ``letters``, ``entropy`` and ``whole`` of texts and spans found to be of their language."""
+    shared = apart.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for rows in chunks(batches, "text"):
+            found = []
+            for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist()):
+                whole = symbols(text)
+                for points in (whole, *cuts(whole)):
+                    best, _, letters, entropy, _ = _judged_points(model, points)
+                    if best == lang and letters:
+                        found.append((lang, letters, entropy, points is whole))
+            kinds = [pa.string(), pa.int64(), pa.float64(), pa.bool_()]
+            columns = zip(*found) if found else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
+                names=["lang", "letters", "entropy", "whole"],
+            )
+
+    fields = "lang string, letters long, entropy double, whole boolean"
+    return apart.select("lang", "text").mapInArrow(run, fields)
+
+
 def _limits(model: Model, measured) -> np.ndarray:
     """Highest cross-entropy accepted, by least number of letters and language."""
-    limits = np.full((len(LENGTHS), len(model.languages)), np.inf)
-    for lang, name in enumerate(model.languages):
-        own = measured[measured["best"] == name]
-        letters, entropy = own["letters"].to_numpy(), own["entropy"].to_numpy()
-        for k, least in enumerate(LENGTHS):
-            upper = LENGTHS[k + 1] if k + 1 < len(LENGTHS) else np.inf
-            of_length = entropy[(letters >= least) & (letters < upper)]
-            if len(of_length) >= LEAST_TEXTS:
-                limits[k, lang] = np.quantile(of_length, QUANTILE) * MARGIN
-    # a shorter text never has a lower limit; without enough texts, that of the next class
+    limits = np.stack(
+        [_of_lengths(measured[measured["lang"] == name]) for name in model.languages], axis=1
+    )
+    everyone = _of_lengths(measured)
+    limits = np.where(np.isnan(limits), everyone[:, None], limits)
+    limits = np.where(np.isnan(limits), np.inf, limits)
+    # a shorter text never has a lower limit
     return np.maximum.accumulate(limits[::-1], axis=0)[::-1]
 
 
+def _of_lengths(measured) -> np.ndarray:
+    """Limits by class of lengths, from the nearest class where one has too few; NaN if all have."""
+    letters, entropy = measured["letters"].to_numpy(), measured["entropy"].to_numpy()
+    whole = measured["whole"].to_numpy().astype(bool)
+    limits = np.full(len(LENGTHS), np.nan)
+    for k, least in enumerate(LENGTHS):
+        upper = LENGTHS[k + 1] if k + 1 < len(LENGTHS) else np.inf
+        of_length = (letters >= least) & (letters < upper)
+        if (of_length & whole).sum() >= LEAST_TEXTS:
+            of_length &= whole
+        if of_length.sum() >= LEAST_TEXTS:
+            limits[k] = np.quantile(entropy[of_length], QUANTILE) * MARGIN
+    known = np.flatnonzero(~np.isnan(limits))
+    for k in np.flatnonzero(np.isnan(limits)) if len(known) else ():
+        limits[k] = limits[known[known > k][0] if (known > k).any() else known[-1]]
+    return limits
+
+
 def _scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` without ``text``, with ``best``, ``score``, ``letters``, ``entropy``, ``accepted``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -315,7 +377,10 @@ def _scored(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def _judged(model: Model | None, text: str | None) -> tuple:
-    points = symbols(text)
+    return _judged_points(model, symbols(text))
+
+
+def _judged_points(model: Model | None, points: np.ndarray) -> tuple:
     letters = int((points != SPACE).sum())
     if model is None or not letters:
         return UNKNOWN, 0.0, letters, None, False
