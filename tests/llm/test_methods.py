@@ -317,6 +317,27 @@ def test_schedule_keeps_shares_in_every_stretch(spark):
         assert abs(heavy[start : start + 700].mean() - 5 / 7) < 0.01
 
 
+def test_small_sources_beside_millions_of_words_come_near_their_targets(spark):
+    small = {"c1": 20, "c2": 60, "c3": 130, "c4": 300, "c5": 5000}
+    rows = [(k, "w " * n, s) for k, (s, n) in enumerate(small.items())]
+    large = spark.range(900).select(
+        (F.col("id") + 100).alias("doc_id"),
+        F.repeat(F.lit("w "), 10_000).alias("text"),
+        F.when(F.col("id") < 560, "a").otherwise("b").alias("source"),
+    )
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").unionByName(large)
+    corpus = mixture.measured(docs)
+    assert corpus.block == 128
+    goals = {r.source: r.target for r in mixture.targets(corpus).collect()}
+    took = {
+        r.source: r.n
+        for r in mixture.mixed(docs).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()
+    }
+    assert {s: goals[s] for s in small} == {s: 3 * n for s, n in small.items()}
+    for s, goal in goals.items():
+        assert abs(took.get(s, 0) - goal) <= 0.01 * goal + 6, (s, took.get(s, 0), goal)
+
+
 def test_rules_are_ordered_by_rejection_per_cost(documents):
     steps = quality.plan(documents)
     assert [s.rank for s in steps] == sorted((s.rank for s in steps), reverse=True)

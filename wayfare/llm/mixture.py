@@ -11,6 +11,10 @@ Targets: the sources in code point order, NULL last, weigh 5, 2, 1, 5, 2, 1, ...
 the number of all words; a target stops at ``MAX_EPOCHS`` times the words of its source, and
 what that leaves over is shared among the others by weight.
 
+``mix`` has blocks of one size, as its SQL states: a source of few blocks is charged for a
+whole last one, and one below a block may get no slot. ``mixed``, the pipeline's stage, cuts
+such sources into smaller blocks and gives them as many more slots.
+
 Defined cases: a NULL text or one without a word has size 0 and nothing is taken from it; a
 NULL source is a source of its own, last in order. Repeated rows, also those with equal ids,
 each count. An empty table gives an empty result. Reruns give the same rows: the shuffle is
@@ -36,6 +40,8 @@ MAX_EPOCHS = 3
 # stays small against the targets.
 BLOCK_WORDS = 128
 LEAST_BLOCKS = 1 << 16
+# Blocks of a source in ``mixed``, at least, if it has as many words.
+SOURCE_BLOCKS = 1 << 10
 
 # Fixed value: the golden ratio's fraction as a 32-bit multiplier.
 GOLDEN = 2654435769
@@ -77,9 +83,10 @@ def measured(docs: DataFrame) -> Corpus:
     return Corpus(sizes, rows, words)
 
 
-def targets(corpus: Corpus) -> DataFrame:
-    """Per source: ``stream``, ``source``, ``source_size`` and ``target``, in words.
+def targets(corpus: Corpus, by_source: bool = False) -> DataFrame:
+    """Per source: ``stream``, ``source``, ``source_size``, ``target`` and ``block_words``, in words.
 
+    Blocks have the corpus's size, or ``by_source`` a smaller one in small sources.
     Sources in rising order of cap per weight reach their caps first. Of the words and the
     weight that remain after the sources before, each takes its share by weight or, if that
     is less, its cap; from the first that takes its share on, all do, at the same rate.
@@ -104,6 +111,8 @@ def targets(corpus: Corpus) -> DataFrame:
     )
     shared = F.col("words_left") * F.col("weight") <= F.col("cap") * F.col("weight_left")
     rate = F.struct("words_left", "weight_left")
+    of_source = F.greatest(F.lit(1), F.floor(F.col("source_size") / SOURCE_BLOCKS))
+    block = F.least(F.lit(corpus.block), of_source) if by_source else F.lit(corpus.block)
     so_far = by_cap.rowsBetween(Window.unboundedPreceding, 0)
     rated = left.withColumn("rate", F.first(F.when(shared, rate), ignorenulls=True).over(so_far))
     return rated.select(
@@ -120,6 +129,7 @@ def targets(corpus: Corpus) -> DataFrame:
             / F.col("rate.weight_left").cast("double")
         )
         .alias("target"),
+        block.cast("bigint").alias("block_words"),
     )
 
 
@@ -133,17 +143,21 @@ def _points(slots: int, spark) -> DataFrame:
 def schedule(corpus: Corpus, goals: DataFrame) -> DataFrame:
     """``slot``, ``stream``, ``block`` and ``epoch``: what the mix consists of, in order.
 
-    A source that has been used ``MAX_EPOCHS`` times gets no further slots.
+    A source that has been used ``MAX_EPOCHS`` times gets no further slots. Smaller blocks
+    than the corpus's make its share of the slots larger, and the slots more.
     """
     cell = lambda c: F.shiftright(c, CELL_BITS)
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     # added in order of name, so that reruns round alike
     whole = by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("target").over(whole)
-    bounds = goals.where("target > 0").withColumn(
+    total = F.sum("share").over(whole)
+    shares = goals.where("target > 0").withColumn(
+        "share", F.col("target") * (F.lit(corpus.block) / F.col("block_words"))
+    )
+    bounds = shares.withColumn(
         "upper",
         F.round(
-            F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, 0)) / total * POINTS
+            F.sum("share").over(by_name.rowsBetween(Window.unboundedPreceding, 0)) / total * POINTS
         ).cast("bigint"),
     )
     intervals = bounds.withColumn(
@@ -152,14 +166,16 @@ def schedule(corpus: Corpus, goals: DataFrame) -> DataFrame:
     cells = intervals.select(
         "stream",
         "source_size",
+        "block_words",
         "lower",
         "upper",
         F.explode(F.sequence(cell(F.col("lower")), cell(F.col("upper") - 1))).alias("cell"),
     )
-    slots = -(-corpus.words // corpus.block)
+    more = shares.agg(F.ceil(F.sum(F.col("share") - F.col("target")))).first()[0] or 0
+    slots = -(-(corpus.words + more) // corpus.block)
     points = _points(slots, goals.sparkSession).withColumn("cell", cell(F.col("point")))
     inside = (F.col("point") >= F.col("lower")) & (F.col("point") < F.col("upper"))
-    named = points.join(cells, "cell").where(inside).select("slot", "stream", "source_size")
+    named = points.join(cells, "cell").where(inside).select("slot", "stream", "source_size", "block_words")
     ranked = totals_before(
         named.withColumn("one", F.lit(1).cast("bigint")),
         ["stream"],
@@ -168,7 +184,7 @@ def schedule(corpus: Corpus, goals: DataFrame) -> DataFrame:
         "one",
         "rank",
     )
-    blocks = F.ceil(F.col("source_size") / corpus.block)
+    blocks = F.ceil(F.col("source_size") / F.col("block_words"))
     return ranked.select(
         "slot",
         "stream",
@@ -193,11 +209,12 @@ def streams(corpus: Corpus) -> DataFrame:
 
 def taken(corpus: Corpus, goals: DataFrame) -> DataFrame:
     """Per document of size over 0 its words in the mix, as often as they come there."""
-    block = F.lit(corpus.block)
+    block = F.col("block_words")
     end = F.col("start") + F.col("size")
     pieces = (
         streams(corpus)
         .where("size > 0")
+        .join(goals.select("stream", "block_words"), "stream")
         .select(
             "*",
             F.explode(
@@ -242,12 +259,13 @@ def _stream() -> Column:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it was taken.
 
+    Sources come near their targets whatever their size, as blocks are cut ``by_source``.
     The last use of a source may end inside a document, which then comes with its first
     words only, joined by spaces and with ``n_chars`` to match. Rows with equal id, source and text
     are one document that is taken as often as all of them.
     """
     corpus = measured(docs)
-    goals = stored(targets(corpus), "targets")
+    goals = stored(targets(corpus, by_source=True), "targets")
     key = ["place", "doc_id", "stream"]
     portions = stored(
         taken(corpus, goals)
