@@ -215,3 +215,21 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert found[100] == "Home\n\nOnly" and found[101] == "" and found[102] == "Story 2"
     assert found[103] == "One & two three" and found[104] == "unclosed" and found[None] == ""
     assert pages.extract(df.limit(0)).collect() == []
+
+
+def test_a_teaser_does_not_displace_the_body(spark):
+    body = [f"<p>body {k} " + "of this page only " * 9 + "</p>" for k in range(3)]
+    teaser = "<article class='teaser'><p>read another</p></article>"
+    whole = "<article><p>an article " + "with its text " * 20 + "</p></article>"
+    rows = [
+        (1, "https://b.org/x/1", f"<main>{''.join(body[:2])}{teaser}</main>"),
+        (2, "https://a.org/x/2", f"<div>{body[2]}{teaser}</div><div>All rights kept</div>"),
+        (3, "https://a.org/x/3", f"{whole}<div>All rights kept</div>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in pages.extract(df).collect()}
+    plain = [" ".join(b[3:-4].split()) for b in body]
+    assert found[1] == "\n\n".join([*plain[:2], "read another"])
+    # the line shared with a marked neighbour goes, the marked teaser stays
+    assert found[2] == "\n\n".join([plain[2], "read another"])
+    assert found[3] == "an article " + " ".join(["with its text"] * 20)
