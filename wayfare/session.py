@@ -61,6 +61,18 @@ def scan_bytes(df: DataFrame) -> int:
     return read(df._jdf.queryExecution().optimizedPlan())
 
 
+def is_plain_scan(df: DataFrame) -> bool:
+    """Is ``df`` a table of parquet files as it is, or some of its columns under their names?"""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.nodeName() == "Project" and set(df.columns) <= set(_names(plan.child())):
+        plan = plan.child()
+    return plan.nodeName().startswith("LogicalRelation") and "parquet" in plan.simpleString(1)
+
+
+def _names(plan) -> list[str]:
+    return [plan.output().apply(k).name() for k in range(plan.output().size())]
+
+
 def size_shuffles(spark: SparkSession, nbytes: int, width: int | None = None) -> int:
     """Make shuffles wide enough for ``nbytes`` of input, or ``width`` partitions wide.
 
