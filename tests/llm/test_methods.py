@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 from functools import lru_cache
 
 import numpy as np
@@ -346,6 +347,28 @@ def test_rules_are_ordered_by_rejection_per_cost(documents):
     assert {r.doc_id for r in backwards.where(alive).select("doc_id").collect()} == kept
 
 
+@pytest.mark.parametrize("step", [1, -1])
+def test_verdicts_can_be_filtered(spark, documents, step):
+    judged, alive = quality.judge(documents, steps=[quality.Step(r, 1.0, 0.5) for r in quality.RULES][::step])
+    started = time.monotonic()
+    kept = judged.where(alive).count()
+    assert kept == judged.select(F.count_if(alive)).first()[0]
+    results = quality.quality(documents)
+    assert results.where("kept").count() == kept
+    assert results.where("NOT kept AND n_words > 20").count() < documents.count()
+    assert results.where("base_failed").select("doc_id").count() <= documents.count() - kept
+    assert time.monotonic() - started < 60
+
+
+def test_a_costly_rule_that_rejects_little_comes_last(documents):
+    few = quality.Rule("few", ("n_words",), lambda c: c("n_words") < 30)
+    for rules in ((quality.REPEATED, few), (few, quality.REPEATED)):
+        assert [s.rule.name for s in quality.plan(documents, rules=rules)] == ["few", "repeated_words"]
+    # what is computed anyway costs nothing
+    steps = quality.plan(documents, report=quality.REPORTED)
+    assert all(s.seconds == 0 for s in steps if set(s.rule.metrics) <= set(quality.REPORTED))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14))
 def test_common_subsequence_is_longest(a, b):

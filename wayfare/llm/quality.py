@@ -1,14 +1,14 @@
 """Quality rules as a short-circuit cascade ordered by measured cost and selectivity.
 
-A rule is a condition on a few metrics of a text. ``plan`` runs every rule alone over a
-bounded sample, and orders the rules by rejected rows per second. ``judge`` then evaluates
-them in that order; the metrics of a rule are computed only for rows that all earlier rules
-let pass. The order changes the cost alone: a row is kept if no rule rejects it, whichever
+A rule is a condition on a few metrics of a text. ``plan`` measures on a bounded sample what
+each metric costs and which rows each rule rejects, and orders the rules by rejected rows
+per second. ``judge`` then evaluates them in that order; the metrics
+of a rule are computed only for rows that all earlier rules let pass. The order changes the cost alone: a row is kept if no rule rejects it, whichever
 comes first. Everything is built-in column functions.
 
 Defined cases: a NULL text counts as empty, and an empty text has no words and fails the
 base rule. Repeated rows are judged alike, each on its own. Columns of the input keep their
-values whatever they are called; metrics live under a prefix of their own until the end.
+values whatever they are called; metrics live in a column of their own until the end.
 
 Repeated windows of five words are found by a 64-bit hash of the words.
 """
@@ -18,11 +18,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm import text as tx
+from wayfare.session import is_plain_scan
 
 WINDOW = 5
 
@@ -35,11 +37,13 @@ MAX_UPPER_PERCENT = 50
 MAX_DUPLICATE_LINES_PERCENT = 30
 WORD_CHARS = (2, 15)
 
-# Rows of the sample that orders the rules. It decides about speed only.
-SAMPLE_ROWS = 2_000
-SAMPLE_SHARE = 0.05
+# Rows of the sample that orders the rules, the longest text in it, and how often each metric
+# is timed. It decides about speed only.
+SAMPLE_ROWS = 256
+SAMPLE_TEXT_BYTES = 64 * 1024
+REPEATS = 2
 # Least time that a rule counts as, since shorter ones cannot be told apart.
-LEAST_SECONDS = 1e-3
+LEAST_SECONDS = 2e-3
 
 Get = Callable[[str], Column]
 Metric = Callable[[Get], Column]
@@ -167,47 +171,78 @@ RULES = (
 )
 
 PREFIX = "_quality_"
+STATE = PREFIX + "state"
 
 
 def _get(name: str) -> Column:
-    return F.col(PREFIX + name)
+    return F.col(STATE)[name]
 
 
-def _needed(metrics: Iterable[str], have: set[str]) -> list[list[str]]:
+def _needed(metrics: Iterable[str], have: Iterable[str]) -> list[list[str]]:
     """Layers of missing metrics; those of a layer only need earlier layers."""
     wanted, stack = set(), list(metrics)
     while stack:
         name = stack.pop()
-        if name not in have | wanted | {"text"}:
+        if name not in have and name not in wanted:
             wanted.add(name)
             stack += METRICS[name][0]
     layers: list[list[str]] = []
-    done = have | {"text"}
+    done = set(have)
     while wanted:
         ready = sorted(m for m in wanted if done.issuperset(METRICS[m][0]))
         layers.append(ready)
-        done = done | set(ready)
+        done |= set(ready)
         wanted -= set(ready)
     return layers
 
 
-def measure(df: DataFrame, metrics: Iterable[str], have: set[str], alive: Column | None = None):
-    """``df`` with more metric columns; where ``alive`` is false they are NULL and cost nothing."""
-    for layer in _needed(metrics, have):
-        columns = {PREFIX + m: METRICS[m][1](_get) for m in layer}
-        if alive is not None:
-            columns = {name: F.when(alive, column) for name, column in columns.items()}
-        df = df.withColumns(columns)
-        have |= set(layer)
-    return df
+class State:
+    """What is known of a text, as one expression.
 
+    It is a struct that is alone in an array, and each step is a ``transform`` of that array:
+    the steps before are bound to the one name of its element. However often a step refers to
+    them, the expression holds each step once, so that it stays as long as the cascade also
+    where the optimizer copies it into a filter.
+    """
+
+    def __init__(self, text: str):
+        self.fields = ["text"]
+        self.column = F.array(F.struct(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")))
+
+    def add(self, made: dict[str, Metric]) -> None:
+        kept = [f for f in self.fields if f not in made]
+
+        def step(element: Column) -> Column:
+            get = element.getField
+            return F.struct(
+                *[get(f).alias(f) for f in kept], *[make(get).alias(f) for f, make in made.items()]
+            )
+
+        self.column = F.transform(self.column, step)
+        self.fields = [*kept, *made]
+
+    def measure(self, metrics: Iterable[str], alive: str | None = None) -> None:
+        """More metrics; where the field ``alive`` is false they are NULL and cost nothing."""
 
-def _with_text(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn(PREFIX + "text", F.coalesce(F.col(text), F.lit("")))
+        def guarded(metric: Metric) -> Metric:
+            return lambda c: F.when(c(alive), metric(c))
+
+        for layer in _needed(metrics, self.fields):
+            made = {m: METRICS[m][1] for m in layer}
+            self.add({m: guarded(f) for m, f in made.items()} if alive else made)
+
+    def on(self, docs: DataFrame) -> DataFrame:
+        return docs.withColumn(STATE, F.get(self.column, F.lit(0)))
+
+
+def _rejects(rule: Rule) -> Metric:
+    return lambda c: F.coalesce(rule.rejects(c), F.lit(False))
 
 
 @dataclass(frozen=True)
 class Step:
+    """A rule, what its metrics cost on the sample, and the share of its rows that it rejects."""
+
     rule: Rule
     seconds: float
     rejected: float
@@ -217,26 +252,81 @@ class Step:
         return self.rejected / max(self.seconds, LEAST_SECONDS)
 
 
-def plan(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> list[Step]:
-    """The rules by falling rejection per cost, both measured on at most ``SAMPLE_ROWS`` rows.
+def _sample(docs: DataFrame, text: str) -> DataFrame:
+    """Up to ``SAMPLE_ROWS`` texts of bounded length.
 
-    Each rule runs alone, with all metrics that it needs; ties keep the order given. With no
-    rows to measure, the order given is the order used.
+    Of a plain table only one file is read, the rest of a plan has to be counted first; either
+    way the share taken follows from the number of rows, so that no more are kept.
     """
-    sample = _with_text(docs.select(text).sample(SAMPLE_SHARE, seed=1), text).limit(SAMPLE_ROWS)
-    sample = sample.select(PREFIX + "text").cache()
-    try:
-        rows = sample.count()
-        steps = []
-        for rule in rules if rows else ():
-            measured = measure(sample, rule.metrics, set())
-            rejected = F.count_if(F.coalesce(rule.rejects(_get), F.lit(False)))
+    column = f"`{text}`"
+    if is_plain_scan(docs):
+        files = sorted(docs.inputFiles(), key=lambda name: crc32(name.encode()))
+        docs = docs.sparkSession.read.schema(docs.schema).parquet(*files[:1]) if files else docs
+    short = F.coalesce(F.octet_length(column), F.lit(0)) <= SAMPLE_TEXT_BYTES
+    texts = docs.select(F.col(column).alias("text")).where(short)
+    share = min(1.0, SAMPLE_ROWS / max(docs.count(), 1))
+    return texts.sample(share, seed=1).coalesce(1)
+
+
+def _metric_seconds(
+    sample: DataFrame, metrics: Iterable[str], have: Iterable[str]
+) -> dict[str, float]:
+    """Time that each metric not in ``have`` takes beyond the dearest that it is made from.
+
+    Runs differ in the last metric only, so that starting a job cancels out. The fastest of
+    the repeats counts, after one that compiles.
+    """
+    took: dict[str, float] = {}
+
+    def seconds(metric: str) -> float:
+        state = State("text")
+        state.measure([metric])
+        job = state.on(sample).agg(F.count_if(_get(metric).isNotNull()))
+        runs = []
+        for _ in range(REPEATS + 1):
             start = time.perf_counter()
-            share = measured.agg(rejected).first()[0] / rows
-            steps.append(Step(rule, time.perf_counter() - start, share))
+            job.collect()
+            runs.append(time.perf_counter() - start)
+        return min(runs[1:])
+
+    missing = [metric for layer in _needed(metrics, have) for metric in layer]
+    for metric in {*missing, *(below for m in missing for below in METRICS[m][0])}:
+        took[metric] = seconds(metric)
+    return {m: max(took[m] - max(took[below] for below in METRICS[m][0]), 0.0) for m in missing}
+
+
+def plan(
+    docs: DataFrame,
+    text: str = "text",
+    rules: Sequence[Rule] = RULES,
+    report: Sequence[str] = (),
+) -> list[Step]:
+    """The rules by falling rejection per cost, both measured on about ``SAMPLE_ROWS`` rows.
+
+    A rule costs what its metrics take; those in ``report`` are computed anyway and cost
+    nothing. Ties keep the order given, as does a table without rows.
+    """
+    sample = _sample(docs, text).cache()
+    try:
+        state = State("text")
+        state.measure(m for rule in rules for m in rule.metrics)
+        verdicts = F.array(*[F.when(_rejects(r)(_get), F.lit(k)) for k, r in enumerate(rules)])
+        by = F.array_compact(verdicts).alias("by")
+        found = list(map(tuple, state.on(sample).groupBy(by).count().collect())) if rules else []
+        if not found:
+            return [Step(rule, 0.0, 0.0) for rule in rules]
+        have = {"text"}.union(*_needed(report, ["text"]))
+        costs = _metric_seconds(sample, [m for rule in rules for m in rule.metrics], have)
     finally:
         sample.unpersist()
-    return sorted(steps, key=lambda s: -s.rank) or [Step(rule, 0.0, 0.0) for rule in rules]
+
+    rows = sum(n for _, n in found)
+    steps = []
+    for k, rule in enumerate(rules):
+        missing = [m for layer in _needed(rule.metrics, have) for m in layer]
+        rejected = sum(n for by, n in found if k in by) / rows
+        steps.append(Step(rule, sum(costs[m] for m in missing), rejected))
+    return sorted(steps, key=lambda step: -step.rank)
 
 
 def judge(
@@ -245,32 +335,37 @@ def judge(
     steps: Sequence[Step] | None = None,
     report: Sequence[str] = (),
 ) -> tuple[DataFrame, Column]:
-    """``docs`` with working columns, and the column that is true for rows to keep.
+    """``docs`` with a working column, and the column that is true for rows to keep.
 
     ``report`` names metrics wanted for every row; they are computed first, and rules on
     them cost nothing more.
     """
-    steps = plan(docs, text) if steps is None else steps
-    have: set[str] = set()
-    df = measure(_with_text(docs, text), report, have)
-    alive = F.lit(True)
-    for k, step in enumerate(steps):
-        df = measure(df, step.rule.metrics, have, None if k == 0 else alive)
-        passes = ~F.coalesce(step.rule.rejects(_get), F.lit(False))
-        df = df.withColumn(f"{PREFIX}alive", alive & passes)
-        alive = _get("alive")
-    return df, alive
+    steps = plan(docs, text, report=report) if steps is None else steps
+    state = State(text)
+    state.measure(report)
+    alive = None
+    for step in steps:
+        state.measure(step.rule.metrics, alive)
+        rejects = _rejects(step.rule)
+        if alive:
+            state.add({"alive": lambda c, rejects=rejects: c("alive") & ~rejects(c)})
+        else:
+            state.add({"alive": lambda c, rejects=rejects: ~rejects(c)})
+        alive = "alive"
+    if not alive:
+        state.add({"alive": lambda c: F.lit(True)})
+    return state.on(docs), _get("alive")
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that every rule lets pass, with the columns of ``docs``.
 
-    The optimizer moves a filter below the columns that it reads, and would compute them
-    once more for it; beside a column that numbers rows it leaves the filter where it is.
+    A filter moved below the verdict would compute it there; the number of the row, which is
+    not deterministic, keeps it above, so that the verdict is computed once.
     """
     judged, alive = judge(docs, text)
-    numbered = judged.select("*", F.monotonically_increasing_id().alias(f"{PREFIX}row"))
-    kept = numbered.where(alive & (_get("row") >= 0))
+    numbered = judged.withColumn(f"{PREFIX}row", F.monotonically_increasing_id())
+    kept = numbered.where(alive & (F.col(f"{PREFIX}row") >= 0))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
