@@ -38,7 +38,7 @@ def rows_of(spark, small, name):
 
 def test_every_number_is_registered_once():
     names = [n.split("_")[0] for n in catalogue.queries()]
-    assert sorted(names) == sorted(["pipeline", *(f"op{k}" for k in range(1, 11))])
+    assert sorted(names) == sorted(["pipeline", *(f"op{k}" for k in range(1, 14))])
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))

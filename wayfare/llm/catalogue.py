@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import bpe, chat, langid, mixture, pages, quality, simhash, tokens, topk, urls
+from wayfare.llm import (
+    bpe,
+    chat,
+    langid,
+    lattice,
+    mixture,
+    pages,
+    quality,
+    russians,
+    simhash,
+    tokens,
+    topk,
+    urls,
+    whitening,
+)
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 RANK_FILE = "byte_bpe_50k.tiktoken"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +76,11 @@ def queries() -> dict[str, Query]:
         "op8_source_mix": _over("documents", mixture.mix),
         "op9_language_id": _over("documents", langid.identify),
         "op10_chat_format": _with_ranks("conversations", chat.digests),
+        "op11_hard_negatives": _over("embeddings", russians.negatives),
+        "op12_whitening": _over("embeddings", whitening.whiten),
+        "op13_lattice_score": _over(
+            "documents", lambda docs: lattice.score(docs, vocabulary(PIECE_MODEL))
+        ),
     }
 
 
@@ -71,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_top_k": topk.SEARCH_SQL,
         "op8_source_mix": mixture.MIX_SQL,
         "op10_chat_format": chat.DIGEST_SQL,
+        "op11_hard_negatives": russians.MINE_SQL,
     }
