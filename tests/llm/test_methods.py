@@ -6,6 +6,7 @@ import itertools
 import random
 import time
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -379,3 +380,79 @@ def test_common_subsequence_is_longest(a, b):
     assert found == sorted(set(found)) and len(found) == best[-1][-1]
     rest = iter(b)
     assert all(a[k] in rest for k in found)
+
+
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        ("<p>a<![foo]>b<![ if x]>c</p>", ["abc"]),
+        ("<!-->x<!--->y<!-- a > b -->z", ["xyz"]),
+        ("<p>a<b c='>'>d</b> < &lt;e&gt;", ["ad < <e>"]),
+        ("<p>1</p ><P>2</P></div></x><!doctype html><?pi?></>3", ["1", "2", "3"]),
+        ("<script>if (a<b) '</p>'</script>a<title>x<p>y</title><style><p></style>b", ["ab"]),
+        ("a<p title='no end", ["a"]),
+        ('<article><p class="advert">Buy now</p><p>Text <span hidden>no</span>yes</article>', ["Text yes"]),
+        ("<article><p>a <i class=ad>b<i>c</i>d</i>e<li hidden>f<li>g</article>", ["a e", "g"]),
+        ("<p style='display: none'>a<p>b<div role=banner><p>c</div><em class=comment>d</em>", ["b", "d"]),
+        ("<header><p>a<h1>b</h1></header><article><header><p>c<h2>d</h2></header>e</article>", ["d", "e"]),
+    ],
+)
+def test_markup_is_read_as_browsers_do(html, texts):
+    found, best = pages.blocks(html)
+    assert [text for level, text in found if level >= best] == texts
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>a" * 100_000, "<div>a" * 50_000 + "</x></span>" * 50_000, "<a " * 100_000,
+        "<a x=\"" * 100_000, "<!--" * 100_000, "<" * 200_000, "&#" * 200_000, "<script>" * 100_000,
+        "<header>" * 50_000 + "x", "<p hidden>a" * 50_000, "<span hidden>" * 50_000 + "</i>" * 50_000,
+        "<![x" * 100_000, "</" * 100_000, "<article>" * 50_000 + "</article>a" * 50_000,
+    ],
+)
+def test_bad_markup_takes_linear_time(html):
+    started = time.monotonic()
+    pages.blocks(html)
+    assert time.monotonic() - started < 10
+
+
+def plain_subsequence(a, b):
+    """Items of ``a`` on a longest common subsequence with ``b``, by the usual table."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_differencing_equals_plain_pairing(spark, seed):
+    """Unmarked pages of one host: the partner is the neighbour by path, and what is left of a
+    page is as long as the page without a longest common subsequence of both."""
+    rng = random.Random(seed)
+    lines = [f"line {k}" for k in range(6)]
+    rows = []
+    for k in range(30):
+        path = "".join(rng.choice("ab") for _ in range(4)) + f"{k:02d}"
+        texts = [rng.choice(lines) for _ in range(rng.randint(1, 5))] + [f"own {k}"]
+        rng.shuffle(texts)
+        rows.append((k, f"http://h.example/{path}", texts))
+    html = {k: "".join(f"<p>{t}</p>" for t in texts) for k, _, texts in rows}
+    df = spark.createDataFrame([(k, url, html[k]) for k, url, _ in rows], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in pages.extract(df.repartition(4)).collect()}
+    ordered = sorted(rows, key=lambda r: r[1])
+
+    def common(a, b):
+        return len(commonprefix([a[1], b[1]]))
+
+    for at, row in enumerate(ordered):
+        before = ordered[at - 1] if at else None
+        after = ordered[at + 1] if at + 1 < len(ordered) else None
+        sides = [s for s in (before, after) if s]
+        partner = max(sides, key=lambda s: (common(row, s), s is before))
+        left = found[row[0]].split("\n\n") if found[row[0]] else []
+        assert len(left) == len(row[2]) - plain_subsequence(row[2], partner[2])
+        remaining = iter(row[2])
+        assert all(text in remaining for text in left)  # in order
+        assert f"own {row[0]}" in left
