@@ -8,12 +8,12 @@ import re
 from dataclasses import replace
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from wayfare import catalogue
-from wayfare.operators.cohort import first_bookings
+from wayfare.operators.cohort import first_bookings, user_histories
 from wayfare.plans import dashboard
+from wayfare.sources.warehouse import TABLES
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="benchmark tables not here")
@@ -37,9 +37,55 @@ def test_no_cross_joins_and_no_python(wh, name):
     assert not [bad for bad in FORBIDDEN if bad in text]
 
 
-def test_rankings_are_cut_before_the_shuffle(wh):
-    text = plan(first_bookings(wh.bookings))
-    assert re.search(r"WindowGroupLimit .*row_number\(\), 2, Partial", text)
+def test_histories_take_one_scan_and_one_exchange_of_the_bookings(wh):
+    """Rankings, totals and cutoffs of both cohorts; what follows is a row per user and part."""
+    text = plan(user_histories(wh.bookings, wh.hot_users))
+    scans = [line for line in text.splitlines() if "FileScan" in line]
+    assert len([line for line in scans if "fecha_reserva" in line]) == 1
+    assert len(scans) == 2 and "_hot_user_id" in "".join(scans)
+    exchanges = [line for line in text.splitlines() if " Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2 and "_part" in exchanges[1] and "_part" not in exchanges[0]
+    for cohort in (False, True):
+        firsts = plan(first_bookings(wh.histories, with_tour_only=cohort))
+        assert "Exchange hashpartitioning" not in firsts and "fecha_reserva" not in firsts
+
+
+def test_sessions_are_checked_in_one_shuffle(wh):
+    text = plan(catalogue.queries()["dq_session_keys"](wh))
+    assert "Expand" not in text
+    assert text.count("Exchange hashpartitioning") == 1
+    assert "SortAggregate" not in text  # codes of fixed width are kept in place
+
+
+def test_building_a_query_starts_no_job(spark, wh):
+    for name in TABLES:
+        getattr(wh, name)
+    queries = catalogue.queries()
+    for query in queries.values():
+        query(wh)
+    spark.sparkContext.setJobGroup("building", "queries are built, not run")
+    try:
+        for name, query in queries.items():
+            query(wh)
+            started = spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+            assert not started, name
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+PERIOD_QUERIES = (
+    "period_kpis", "kpi_vs_previous", "amount_series", "cancel_series",
+    "cancel_by_lead_filtered", "cancel_by_channel_filtered", "destination_table",
+    "destination_table_one_filter",
+)
+
+
+@pytest.mark.parametrize("name", PERIOD_QUERIES)
+def test_period_queries_read_no_booking(wh, name):
+    """But for the first month with volume, which is not filtered by day."""
+    reads = [line for line in plan(catalogue.queries()[name](wh)).splitlines() if "FileScan" in line]
+    of_bookings = [line for line in reads if "/reservas/" in line or "/reservas]" in line]
+    assert not [line for line in of_bookings if "importe_eur" in line]
 
 
 def scan_of(df) -> dict[str, str]:
@@ -53,27 +99,24 @@ def scan_of(df) -> dict[str, str]:
 
 
 def test_filters_and_columns_reach_the_scan(wh):
-    scan = scan_of(dashboard.cancel_by_channel_filtered(wh, catalogue.SALES))
+    scan = scan_of(dashboard.bookings_filtered(wh, catalogue.SALES).select("canal", "estado"))
     pushed = scan["PushedFilters"]
     for condition in ("GreaterThanOrEqual(fecha_reserva", "LessThan(fecha_reserva", "In(canal", "EqualTo(tour_conocido"):
         assert condition in pushed
     for unused in ("campana", "personas", "user_id"):
         assert unused not in scan["ReadSchema"]
+    scan = scan_of(dashboard.cancel_by_channel_filtered(wh, catalogue.SALES))
+    for condition in ("GreaterThanOrEqual(dia", "LessThanOrEqual(dia", "In(canal"):
+        assert condition in scan["PushedFilters"]
+    for unused in ("antelacion", "personas", "importe"):
+        assert unused not in scan["ReadSchema"]
 
 
-def test_bookings_are_read_by_month(wh):
-    assert "PartitionFilters: [isnotnull(mes" in plan(dashboard.period_kpis(wh, catalogue.SALES))
-    quarter = replace(catalogue.ONE_YEAR, since=dt.date(1997, 2, 3), until=dt.date(1997, 5, 3))
-    read = dashboard.bookings_filtered(wh, quarter).select(F.input_file_name().alias("f"))
-    months = {r.f.split("mes=")[1][:6] for r in read.distinct().collect()}
-    assert {"199703", "199704"} <= months <= {"199702", "199703", "199704", "199705"}
-    every = len(wh.bookings.inputFiles())
-    assert every > 10 * len(months)
-
-
-def test_events_are_read_by_day(wh):
-    recent = wh.events.where("dia >= date '2024-01-20'").select("session_id")
-    assert "PartitionFilters: [isnotnull(dia" in plan(recent)
+def test_a_period_opens_only_its_files(wh):
+    wide = replace(catalogue.ONE_YEAR, since=dt.date(1900, 1, 1), until=dt.date(2100, 1, 1))
+    none = replace(catalogue.ONE_YEAR, since=dt.date(1900, 1, 1), until=dt.date(1900, 2, 1))
+    assert dashboard.bookings_filtered(wh, wide).inputFiles() == wh.bookings_between(None, None).inputFiles()
+    assert dashboard.bookings_filtered(wh, none).collect() == []
 
 
 def test_windows_without_a_key_sit_on_aggregates(wh):
@@ -82,8 +125,3 @@ def test_windows_without_a_key_sit_on_aggregates(wh):
         lines = plan(catalogue.queries()[name](wh)).splitlines()
         below = lines[next(i for i, x in enumerate(lines) if "Window [" in x) :]
         assert next(x for x in below if "Aggregate" in x or "FileScan" in x).count("Aggregate")
-
-
-def test_sessions_of_a_period_are_read_by_day(wh):
-    text = plan(dashboard.sessions_filtered(wh, catalogue.TRAFFIC))
-    assert "PartitionFilters: [isnotnull(dia" in text

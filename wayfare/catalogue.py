@@ -47,13 +47,22 @@ def _clean_bookings(wh: Warehouse) -> DataFrame:
 def _canonical_bookings(wh: Warehouse, keep_unknown: bool = False) -> DataFrame:
     raw = wh.raw_bookings
     clean = cleaning.clean_bookings(raw)
-    canonical = identity.canonical_bookings(clean, raw, wh.crosswalk, keep_unknown)
+    crosswalk = wh.crosswalk
+    size = wh.size("crosswalk_clientes")
+    canonical = identity.canonical_bookings(clean, raw, crosswalk, keep_unknown, size)
     return canonical.select(*BOOKINGS.names)
 
 
 def _identified_events(wh: Warehouse) -> DataFrame:
     clean = cleaning.clean_events(wh.raw_events)
-    return identity.flag_bots(identity.identify_events(clean, wh.identities))
+    identities = wh.identities
+    return identity.flag_bots(identity.identify_events(clean, identities, wh.size("identidades")))
+
+
+def _crosswalk(wh: Warehouse) -> DataFrame:
+    groups = wh.document_groups
+    size = wh.size("grupos_documento")
+    return identity.customer_crosswalk(wh.raw_customers, groups=groups, size=size)
 
 
 def _destination_table(wh: Warehouse) -> DataFrame:
@@ -66,9 +75,7 @@ def queries() -> dict[str, Query]:
         "clean_customers": lambda wh: cleaning.clean_customers(wh.raw_customers),
         "clean_events": lambda wh: cleaning.clean_events(wh.raw_events),
         "clean_tours": lambda wh: cleaning.clean_tours(wh.raw_tours),
-        "customer_crosswalk": lambda wh: identity.customer_crosswalk(
-            wh.raw_customers, groups=wh.document_groups
-        ),
+        "customer_crosswalk": _crosswalk,
         "customer_crosswalk_distinct_nulls": lambda wh: identity.customer_crosswalk(
             wh.raw_customers, distinct_nulls=True
         ),

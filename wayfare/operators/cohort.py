@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from wayfare import labels as L
-from wayfare.functions.exprs import days_between, is_state, sum_if
+from wayfare.functions.exprs import days_between, is_state, lead_bucket, n_rows, sum_if
+from wayfare.operators.skew import HOT_SHARE, hot_keys, key_counts
+from wayfare.session import shuffle_width
 
 
 def booking_order() -> Window:
@@ -17,65 +20,152 @@ def booking_order() -> Window:
     )
 
 
-def user_totals(bookings: DataFrame) -> DataFrame:
-    """Per known user: confirmed bookings, their amount, the last day, any cancellation."""
+# What a first or second booking is shown with, besides its id.
+_SHOWN = ("fr", "fa", "tour_id", "tour_conocido", "destino", "canal", "campana", "importe_eur", "personas")
+_TOTALS = ("n_confirmadas", "importe_total", "ultima_fr", "tuvo_cancelacion")
+AMOUNT = T.DecimalType(28, 2)
+
+
+def hot_users(bookings: DataFrame) -> DataFrame:
+    """Users with so many bookings that they are split, and into how many parts each.
+
+    Reads one column. Fewer users than ``HOT_SHARE``, or than a shuffle has partitions, can
+    be among them.
+    """
+    counts = key_counts(bookings, ["user_id"])
+    share = max(HOT_SHARE, shuffle_width(bookings.sparkSession))
+    return hot_keys(counts, ["user_id"], counts.agg(F.sum("_n")).scalar(), share)
+
+
+def _totals(scope: Column, suffix: str) -> list[Column]:
+    confirmed = scope & is_state(L.CONFIRMED)
+    found = (
+        F.count_if(confirmed),
+        sum_if(confirmed, F.col("importe_eur")),
+        F.max(F.when(confirmed, F.to_date("fecha_reserva"))),
+        F.coalesce(F.max(scope & is_state(L.CANCELLED)), F.lit(False)),
+    )
+    return [column.alias(f"{name}{suffix}") for name, column in zip(_TOTALS, found)]
+
+
+def user_histories(bookings: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """One row per user: the two earliest confirmed bookings, those of known tours apart from
+    the rest, and totals over all bookings and over those of known tours.
+
+    Bookings are read and exchanged once. A part of a user ends up as at most four bookings and
+    the totals, and parts merge into the same; the bookings of a ``hot`` user, among them those
+    of all unknown users, are dealt to several parts by a hash of their id.
+    """
+    hot = hot_users(bookings) if hot is None else hot
+    parts = F.broadcast(hot)
+    salt = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("reserva_id"), F.col("_parts")))
     confirmed = is_state(L.CONFIRMED)
+    rows = (
+        bookings.select(
+            "user_id", "reserva_id", "fecha_reserva", "fecha_actividad", "tour_id", "tour_conocido",
+            "destino", "canal", "campana", "importe_eur", "personas", "estado",
+        )
+        .join(parts, F.col("user_id").eqNullSafe(F.col("_hot_user_id")), "left")
+        .withColumn("_part", F.coalesce(salt, F.lit(0)).cast("int"))
+        .drop(*hot.columns)
+        .repartition("user_id", "_part")
+    )
+    order = Window.partitionBy("user_id", "_part", "tour_conocido", confirmed).orderBy(
+        F.col("fecha_reserva").asc_nulls_last(), F.col("reserva_id").asc_nulls_last()
+    )
+    booking = F.struct(
+        F.col("fecha_reserva").isNull().alias("_sin_fecha"),
+        F.col("fecha_reserva").alias("_fecha"),
+        F.col("reserva_id").isNull().alias("_sin_id"),
+        "reserva_id",
+        F.to_date("fecha_reserva").alias("fr"),
+        F.to_date("fecha_actividad").alias("fa"),
+        *_SHOWN[2:],
+    )
+    early = F.when(confirmed & (F.col("_rank") <= 2), booking)
+    by_part = (
+        rows.withColumn("_rank", F.row_number().over(order))
+        .groupBy("user_id", "_part")
+        .agg(
+            F.collect_list(early).alias("primeras"),
+            *_totals(F.lit(True), ""),
+            *_totals(F.col("tour_conocido"), "_con_tour"),
+            F.max(F.to_date("fecha_reserva")).alias("ultimo_dia"),
+        )
+    )
+    merged = {"n_confirmadas": F.sum, "importe_total": F.sum}
+    totals = [f"{name}{suffix}" for suffix in ("", "_con_tour") for name in _TOTALS]
+    together = F.sort_array(F.flatten(F.collect_list("primeras")))
+
+    def two(known: bool) -> Column:
+        return F.slice(F.filter("primeras", lambda b: b["tour_conocido"] == F.lit(known)), 1, 2)
+
     return (
-        bookings.where(F.col("user_id").isNotNull())
-        .groupBy("user_id")
+        by_part.groupBy("user_id")
         .agg(
-            F.count_if(confirmed).alias("n_confirmadas"),
-            sum_if(confirmed, F.col("importe_eur")).alias("importe_total"),
-            F.max(F.when(confirmed, F.to_date("fecha_reserva"))).alias("ultima_fr"),
-            F.coalesce(F.max(is_state(L.CANCELLED)), F.lit(False)).alias("tuvo_cancelacion"),
+            together.alias("primeras"),
+            *[merged.get(n.removesuffix("_con_tour"), F.max)(n).alias(n) for n in totals],
+            F.max("ultimo_dia").alias("ultimo_dia"),
+        )
+        .withColumns(
+            {n: F.col(n).cast(AMOUNT) for n in totals if n.startswith("importe")}
+            | {"primeras": F.sort_array(F.concat(two(True), two(False)))}
         )
     )
 
 
-def first_bookings(bookings: DataFrame, with_tour_only: bool = False) -> DataFrame:
+def first_bookings(histories: DataFrame, with_tour_only: bool = False) -> DataFrame:
     """One row per user: the first confirmed booking next to the second one.
 
-    ``bookings`` must carry the tour columns. The report cohort ranks every confirmed
-    booking and cuts at the last booking day of any state; the dashboard cohort
-    (``with_tour_only``) ranks confirmed bookings of known tours and cuts at their last day.
-
-    Ranking keeps two rows per user, which Spark also does before the shuffle, so neither
-    the user NULL (all unknown users together) nor a very busy user makes a large partition.
-    Unknown users rank as one customer but match nothing: no second booking, no totals.
+    The report cohort takes every confirmed booking and cuts at the last booking day of any
+    state; the dashboard cohort (``with_tour_only``) takes confirmed bookings of known tours and
+    cuts at their last day. Unknown users count as one customer but match nothing: no second
+    booking, no totals.
     """
-    scope = bookings.where("tour_conocido") if with_tour_only else bookings
-    dated = scope.where(is_state(L.CONFIRMED)).select(
-        "user_id",
-        "reserva_id",
-        "fecha_reserva",
-        F.to_date("fecha_reserva").alias("fr"),
-        F.to_date("fecha_actividad").alias("fa"),
-        "tour_id",
-        "tour_conocido",
-        "destino",
-        "canal",
-        "campana",
-        "importe_eur",
-        "personas",
+    suffix, last_day = ("_con_tour", "ultima_fr_con_tour") if with_tour_only else ("", "ultimo_dia")
+    taken = F.filter("primeras", lambda b: b["tour_conocido"]) if with_tour_only else F.col("primeras")
+    cutoff = histories.agg(F.max(last_day)).scalar()
+    known = F.col("user_id").isNotNull()
+    first, second = F.get("_taken", F.lit(0)), F.get("_taken", F.lit(1))
+    return (
+        histories.withColumn("_taken", taken)
+        .where(F.size("_taken") > 0)
+        .select(
+            "user_id",
+            *[first[name].alias(name) for name in ("reserva_id", *_SHOWN)],
+            F.when(known, second["reserva_id"]).alias("sig_reserva_id"),
+            F.when(known, second["fr"]).alias("sig_fr"),
+            F.when(known, second["importe_eur"]).alias("sig_importe"),
+            *[F.when(known, F.col(f"{name}{suffix}")).alias(name) for name in _TOTALS],
+            cutoff.alias("corte"),
+        )
     )
-    cutoff_of = dated if with_tour_only else bookings
-    cutoff = cutoff_of.agg(F.max(F.to_date("fecha_reserva"))).scalar()
 
-    order = booking_order()
-    first_two = dated.withColumn("rn", F.row_number().over(order)).where("rn <= 2")
-    known = F.col("user_id").isNotNull()
-    paired = (
-        first_two.withColumns(
-            {
-                "sig_reserva_id": F.when(known, F.lead("reserva_id").over(order)),
-                "sig_fr": F.when(known, F.lead("fr").over(order)),
-                "sig_importe": F.when(known, F.lead("importe_eur").over(order)),
-            }
+
+def booking_days(bookings: DataFrame) -> DataFrame:
+    """Bookings of known tours by day, channel, destination, state and days in advance: counts
+    and sums that add up to those of any period, channels and destinations."""
+    lead = days_between(F.to_date("fecha_reserva"), F.to_date("fecha_actividad"))
+    band = F.when(lead < 0, L.LEAD_NEGATIVE).otherwise(lead_bucket(lead, L.LEAD_DASHBOARD))
+    paid = F.col("importe_eur") > 0
+    return (
+        bookings.where("tour_conocido")
+        .groupBy(
+            F.to_date("fecha_reserva").alias("dia"),
+            "canal",
+            "destino",
+            "estado",
+            band.alias("antelacion"),
+        )
+        .agg(
+            n_rows().alias("reservas"),
+            F.sum("importe_eur").alias("importe"),
+            F.count_if(paid).alias("pagadas"),
+            sum_if(paid, F.col("importe_eur")).alias("importe_pagado"),
+            F.sum("personas").alias("personas"),
+            F.count("personas").alias("con_personas"),
         )
-        .where("rn = 1")
-        .drop("rn", "fecha_reserva")
     )
-    return paired.join(user_totals(scope), "user_id", "left").withColumn("corte", cutoff)
 
 
 def repeated(rule: str = "next") -> Column:

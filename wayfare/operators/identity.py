@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 
 from wayfare import labels as L
 from wayfare.operators.cleaning import document_groups, document_key
-from wayfare.operators.skew import balanced_lookup, key_counts
+from wayfare.operators.skew import Size, balanced_lookup, key_counts
 
 
 def customer_crosswalk(
-    raw_customers: DataFrame, distinct_nulls: bool = False, groups: DataFrame | None = None
+    raw_customers: DataFrame,
+    distinct_nulls: bool = False,
+    groups: DataFrame | None = None,
+    size: Size | None = None,
 ) -> DataFrame:
     """Original user id -> lowest user id with the same document number.
 
-    ``groups`` are the document groups as a written table, which can be counted before they
-    are broadcast; customers are then read once.
+    ``groups`` are the document groups as a written table of the given ``size``, which tells
+    whether they can be broadcast; customers are then read once.
     """
     people = raw_customers.select(
         F.col("user_id").alias("user_id_original"), document_key(distinct_nulls).alias("dni_key")
@@ -32,6 +35,7 @@ def customer_crosswalk(
         spread_by="user_id_original",
         counts=groups.select("dni_key", "_n"),
         broadcast_rows=None if written else 0,
+        size=size,
     ).select("user_id_original", "user_id_canonico")
 
 
@@ -41,12 +45,15 @@ def translate_users(
     spread_by: str,
     counts: DataFrame | None = None,
     keep_unknown: bool = False,
+    size: Size | None = None,
 ) -> DataFrame:
     """Replace ``user_id`` by its canonical id; ids the crosswalk lacks become NULL."""
     known = crosswalk.where(F.col("user_id_original").isNotNull()).select(
         F.col("user_id_original").alias("user_id"), "user_id_canonico"
     )
-    joined = balanced_lookup(facts, known, on=["user_id"], spread_by=spread_by, counts=counts)
+    joined = balanced_lookup(
+        facts, known, on=["user_id"], spread_by=spread_by, counts=counts, size=size
+    )
     canonical = F.col("user_id_canonico")
     user = F.coalesce(canonical, F.col("user_id")) if keep_unknown else canonical
     return joined.withColumn("user_id", user).select(*facts.columns)
@@ -60,7 +67,10 @@ def cookie_users(events: DataFrame) -> DataFrame:
 
 
 def identity_map(
-    pairs: DataFrame, crosswalk: DataFrame, keep_unknown: bool = False
+    pairs: DataFrame,
+    crosswalk: DataFrame,
+    keep_unknown: bool = False,
+    size: Size | None = None,
 ) -> DataFrame:
     """``cookie_users`` with the canonical user id and the id its cookie belongs to.
 
@@ -72,6 +82,7 @@ def identity_map(
         crosswalk,
         spread_by="cookie_id",
         keep_unknown=keep_unknown,
+        size=size,
     ).where(F.col("user_id").isNotNull())
     owner = known.groupBy("cookie_id").agg(F.max("user_id").alias("user_id_propagado"))
     translation = known.select(
@@ -95,7 +106,9 @@ def identity_map(
     )
 
 
-def identify_events(events: DataFrame, identities: DataFrame) -> DataFrame:
+def identify_events(
+    events: DataFrame, identities: DataFrame, size: Size | None = None
+) -> DataFrame:
     """Translate ``user_id`` and add ``user_id_propagado`` with one join per event."""
     pair = ["cookie_id", "user_id"]
     resolved = identities.where(F.col("user_id_propagado").isNotNull()).select(
@@ -107,6 +120,7 @@ def identify_events(events: DataFrame, identities: DataFrame) -> DataFrame:
         on=pair,
         spread_by="event_id",
         counts=identities.select(*pair, F.col("eventos").alias("_n")),
+        size=size,
     )
     return joined.withColumn("user_id", F.col("user_id_canonico")).select(
         *events.columns, "user_id_propagado"
@@ -119,7 +133,11 @@ def flag_bots(events: DataFrame, bot_ids: Sequence[str] = L.BOT_CLIENT_IDS) -> D
 
 
 def canonical_bookings(
-    clean: DataFrame, raw: DataFrame, crosswalk: DataFrame, keep_unknown: bool = False
+    clean: DataFrame,
+    raw: DataFrame,
+    crosswalk: DataFrame,
+    keep_unknown: bool = False,
+    size: Size | None = None,
 ) -> DataFrame:
     """Cleaned bookings under canonical user ids.
 
@@ -132,10 +150,13 @@ def canonical_bookings(
         spread_by="reserva_id",
         counts=key_counts(raw, ["user_id"]),
         keep_unknown=keep_unknown,
+        size=size,
     )
 
 
-def with_destination(bookings: DataFrame, tours: DataFrame, raw: DataFrame) -> DataFrame:
+def with_destination(
+    bookings: DataFrame, tours: DataFrame, raw: DataFrame, size: Size | None = None
+) -> DataFrame:
     """Add the tour's destination and price; ``tour_conocido`` tells an inner join's rows."""
     catalogue = tours.where(F.col("tour_id").isNotNull()).select(
         "tour_id", "destino", "precio_por_persona_eur", F.lit(True).alias("tour_conocido")
@@ -146,5 +167,6 @@ def with_destination(bookings: DataFrame, tours: DataFrame, raw: DataFrame) -> D
         on=["tour_id"],
         spread_by="reserva_id",
         counts=key_counts(raw, ["tour_id"]),
+        size=size,
     )
     return joined.withColumn("tour_conocido", F.coalesce("tour_conocido", F.lit(False)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,17 @@ BROADCAST_ROWS = 100_000
 BROADCAST_TEXT = 32 * 1024**2
 
 
+@dataclass(frozen=True)
+class Size:
+    """Rows of a table and bytes of its text, counted while it was written."""
+
+    rows: int
+    text: int
+
+    def within(self, rows: int) -> bool:
+        return 0 < rows and self.rows <= rows and self.text <= BROADCAST_TEXT
+
+
 def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
 
@@ -43,8 +55,8 @@ def _same(on: Sequence[str], left: str, right: str) -> Column:
 
 
 def is_small(df: DataFrame, rows: int) -> bool:
-    """Size check before a broadcast. Counting a written table reads no column of it, and
-    text is only measured when there are few rows."""
+    """Size check before a broadcast, for a table whose size is not known: it is counted, and
+    its text measured when there are few rows."""
     if rows <= 0 or df.count() > rows:
         return False
     lengths = [F.octet_length(f.name) for f in df.schema.fields if f.dataType == T.StringType()]
@@ -62,10 +74,12 @@ def balanced_lookup(
     counts: DataFrame | None = None,
     share: int | None = None,
     broadcast_rows: int | None = None,
+    size: Size | None = None,
 ) -> DataFrame:
     """``facts LEFT JOIN lookup`` on null-safe keys; ``lookup`` holds each key once.
 
-    A lookup counted to be small is broadcast, so the facts stay where they are. Otherwise
+    A lookup counted to be small is broadcast, so the facts stay where they are; ``size`` tells
+    how large at most it was when it was written, and spares counting it here. Otherwise
     rows of a hot key get a salt taken from the ``spread_by`` column (a row id, so a re-run
     task sends a row to the same place) and the one lookup row of that key is copied once
     per salt. No partition then has to take more than about 1/share of the rows on account
@@ -76,7 +90,8 @@ def balanced_lookup(
     """
     values = [c for c in lookup.columns if c not in on]
     keyed = lookup.select(*[F.col(c).alias(f"_key_{c}") for c in on], *values)
-    if is_small(lookup, BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
+    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    if size.within(limit) if size else is_small(lookup, limit):
         joined = facts.join(F.broadcast(keyed), _same(on, "", "_key_"), "left")
         return joined.select(*facts.columns, *values)
 

@@ -19,7 +19,7 @@ from wayfare.functions.exprs import (
     sum_if,
 )
 from wayfare.operators.skew import balanced_lookup
-from wayfare.sources.warehouse import Warehouse, month_number
+from wayfare.sources.warehouse import Warehouse
 
 
 def _amount(*states: str):
@@ -40,10 +40,11 @@ def business_summary(wh: Warehouse) -> DataFrame:
 
 def sales_by_semester(wh: Warehouse, since: dt.date = L.SALES_START) -> DataFrame:
     day = F.col("fecha_reserva")
-    recent = (F.col("mes") >= month_number(since)) & (day >= F.lit(since).cast("timestamp_ntz"))
+    recent = day >= F.lit(since).cast("timestamp_ntz")
     half = F.when(F.month(day) <= 6, "-H1").otherwise("-H2")
     return (
-        wh.bookings.where(recent)
+        wh.bookings_between(since, None)
+        .where(recent)
         .groupBy(F.concat(F.year(day).cast("string"), half).alias("semestre"))
         .agg(
             F.count_if(is_state(L.CONFIRMED)).alias("reservas"),
@@ -121,6 +122,7 @@ def with_provider_end(wh: Warehouse, bookings: DataFrame) -> DataFrame:
         left.select("proveedor_id", "fecha_baja"),
         on=["proveedor_id"],
         spread_by="reserva_id",
+        size=wh.size("proveedores"),
     ).where(F.col("fecha_baja").isNotNull())
 
 

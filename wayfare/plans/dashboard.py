@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfare import labels as L
 from wayfare.functions.exprs import (
-    days_between,
     is_state,
-    lead_bucket,
     mean,
     n_rows,
     pct,
@@ -27,7 +25,7 @@ from wayfare.operators.rates import retention_rate
 from wayfare.operators.sessions import sessions
 from wayfare.plans.traffic import session_type
 from wayfare.schemas import BOOKINGS
-from wayfare.sources.warehouse import Warehouse, month_number
+from wayfare.sources.warehouse import Warehouse
 
 
 @dataclass(frozen=True)
@@ -71,11 +69,10 @@ def _day(column: str) -> Column:
 
 
 def _booked_between(f: Filters) -> Column:
-    """Booking day in the range: by month for the folders, as instants for the files."""
+    """Booking day in the range, as instants, which the files' footers can be compared with."""
     start = F.lit(f.since).cast("timestamp_ntz")
     end = F.lit(f.until + dt.timedelta(days=1)).cast("timestamp_ntz")
-    months = F.col("mes").between(month_number(f.since), month_number(f.until))
-    return months & (F.col("fecha_reserva") >= start) & (F.col("fecha_reserva") < end)
+    return (F.col("fecha_reserva") >= start) & (F.col("fecha_reserva") < end)
 
 
 def _selected(f: Filters) -> Column:
@@ -131,29 +128,40 @@ def filter_domains(wh: Warehouse) -> DataFrame:
 
 def bookings_filtered(wh: Warehouse, f: Filters) -> DataFrame:
     """Bookings of known tours in the range, channels and destinations."""
-    return wh.bookings.where(
+    return wh.bookings_between(f.since, f.until).where(
         _booked_between(f) & F.col("tour_conocido") & _selected(f)
     ).select(*BOOKINGS.names, "destino", "precio_por_persona_eur")
 
 
+def booking_days_filtered(wh: Warehouse, f: Filters) -> DataFrame:
+    """The daily counts and sums of the bookings that ``bookings_filtered`` selects."""
+    days = F.col("dia").between(F.lit(f.since), F.lit(f.until))
+    return wh.booking_days_between(f.since, f.until).where(days & _selected(f))
+
+
+def _count(*states: str) -> Column:
+    return F.coalesce(sum_if(is_state(*states), F.col("reservas")), F.lit(0).cast("long"))
+
+
 def _paid_ticket() -> Column:
-    paid = is_state(L.CONFIRMED) & (F.col("importe_eur") > 0)
-    return mean(sum_if(paid, F.col("importe_eur")), F.count_if(paid))
+    confirmed = is_state(L.CONFIRMED)
+    paid = sum_if(confirmed, F.col("pagadas"))
+    return mean(sum_if(confirmed, F.col("importe_pagado")), paid)
 
 
 def _cancel_rate() -> Column:
-    return raw_pct(F.count_if(is_state(L.CANCELLED)), F.count_if(is_state(*L.RESOLVED)))
+    return raw_pct(_count(L.CANCELLED), _count(*L.RESOLVED))
 
 
 def period_kpis(wh: Warehouse, f: Filters) -> DataFrame:
     def amount(state: str) -> Column:
-        return sum_if(is_state(state), F.col("importe_eur")).cast("double")
+        return sum_if(is_state(state), F.col("importe")).cast("double")
 
-    return bookings_filtered(wh, f).agg(
+    return booking_days_filtered(wh, f).agg(
         amount(L.CONFIRMED).alias("venta"),
-        F.count_if(is_state(L.CONFIRMED)).alias("n_confirmada"),
+        _count(L.CONFIRMED).alias("n_confirmada"),
         amount(L.CANCELLED).alias("cancelado"),
-        F.count_if(is_state(L.CANCELLED)).alias("n_cancelada"),
+        _count(L.CANCELLED).alias("n_cancelada"),
         amount(L.PENDING).alias("pendiente"),
         _paid_ticket().alias("ticket_medio"),
         F.coalesce(_cancel_rate(), F.lit(0.0)).alias("tasa_cancelacion"),
@@ -172,14 +180,17 @@ def kpi_vs_previous(wh: Warehouse, f: Filters) -> DataFrame:
     """
     earlier = f.previous()
     both = replace(f, since=earlier.since)
-    now = F.col("fecha_reserva") >= F.lit(f.since).cast("timestamp_ntz")
+    now = F.col("dia") >= F.lit(f.since)
     confirmed = is_state(L.CONFIRMED)
-    amount = F.col("importe_eur")
-    totals = bookings_filtered(wh, both).agg(
-        sum_if(confirmed & now, amount).cast("double").alias("venta"),
-        F.count_if(confirmed & now).alias("n_confirmada"),
-        sum_if(confirmed & ~now, amount).cast("double").alias("venta_previa"),
-        F.count_if(confirmed & ~now).alias("n_confirmada_previa"),
+
+    def count(condition: Column) -> Column:
+        return F.coalesce(sum_if(condition, F.col("reservas")), F.lit(0).cast("long"))
+
+    totals = booking_days_filtered(wh, both).agg(
+        sum_if(confirmed & now, F.col("importe")).cast("double").alias("venta"),
+        count(confirmed & now).alias("n_confirmada"),
+        sum_if(confirmed & ~now, F.col("importe")).cast("double").alias("venta_previa"),
+        count(confirmed & ~now).alias("n_confirmada_previa"),
     )
     comparable = F.lit(earlier.since) >= volume_start(wh).scalar()
     return totals.withColumn("comparable", F.coalesce(comparable, F.lit(False))).select(
@@ -196,9 +207,11 @@ def kpi_vs_previous(wh: Warehouse, f: Filters) -> DataFrame:
 
 def amount_series(wh: Warehouse, f: Filters) -> DataFrame:
     return (
-        bookings_filtered(wh, f)
-        .groupBy(period(F.col("fecha_reserva"), f.grain).alias("periodo"), "estado")
-        .agg(F.sum("importe_eur").cast("double").alias("importe"), n_rows().alias("reservas"))
+        booking_days_filtered(wh, f)
+        .groupBy(period(F.col("dia"), f.grain).alias("periodo"), "estado")
+        .agg(
+            F.sum("importe").cast("double").alias("importe"), F.sum("reservas").alias("reservas")
+        )
         .orderBy("periodo", "estado")
     )
 
@@ -207,12 +220,9 @@ def cancel_series(
     wh: Warehouse, f: Filters, minimum: int = L.MIN_RESOLVED_PER_PERIOD
 ) -> DataFrame:
     return (
-        bookings_filtered(wh, f)
-        .groupBy(period(F.col("fecha_reserva"), f.grain).alias("periodo"))
-        .agg(
-            _cancel_rate().alias("pct_cancelacion"),
-            F.count_if(is_state(*L.RESOLVED)).alias("n"),
-        )
+        booking_days_filtered(wh, f)
+        .groupBy(period(F.col("dia"), f.grain).alias("periodo"))
+        .agg(_cancel_rate().alias("pct_cancelacion"), _count(*L.RESOLVED).alias("n"))
         .where(F.col("n") >= minimum)
         .drop("n")
         .orderBy("periodo")
@@ -220,26 +230,18 @@ def cancel_series(
 
 
 def cancel_by_lead_filtered(wh: Warehouse, f: Filters) -> DataFrame:
-    lead = days_between(_day("fecha_reserva"), _day("fecha_actividad"))
-    bucket = F.when(lead < 0, L.LEAD_NEGATIVE).otherwise(lead_bucket(lead, L.LEAD_DASHBOARD))
     return (
-        bookings_filtered(wh, f)
-        .groupBy(bucket.alias("antelacion"))
-        .agg(
-            _cancel_rate().alias("pct_cancelacion"),
-            F.count_if(is_state(*L.RESOLVED)).alias("reservas"),
-        )
+        booking_days_filtered(wh, f)
+        .groupBy("antelacion")
+        .agg(_cancel_rate().alias("pct_cancelacion"), _count(*L.RESOLVED).alias("reservas"))
     )
 
 
 def cancel_by_channel_filtered(wh: Warehouse, f: Filters) -> DataFrame:
     return (
-        bookings_filtered(wh, f)
+        booking_days_filtered(wh, f)
         .groupBy("canal")
-        .agg(
-            _cancel_rate().alias("pct_cancelacion"),
-            F.count_if(is_state(*L.RESOLVED)).alias("reservas"),
-        )
+        .agg(_cancel_rate().alias("pct_cancelacion"), _count(*L.RESOLVED).alias("reservas"))
         .orderBy(F.desc("pct_cancelacion"), "canal")
     )
 
@@ -332,14 +334,15 @@ def destination_table(wh: Warehouse, f: Filters, cohort: Filters | None = None)
     The cohort takes the same filters unless others are given.
     """
     confirmed = is_state(L.CONFIRMED)
+    people = sum_if(confirmed, F.col("personas"))
     volume = (
-        bookings_filtered(wh, f)
+        booking_days_filtered(wh, f)
         .groupBy("destino")
         .agg(
-            F.count_if(confirmed).alias("reservas"),
-            sum_if(confirmed, F.col("importe_eur")).cast("double").alias("revenue"),
+            _count(L.CONFIRMED).alias("reservas"),
+            sum_if(confirmed, F.col("importe")).cast("double").alias("revenue"),
             _paid_ticket().alias("ticket_medio"),
-            F.avg(F.when(confirmed, F.col("personas"))).alias("personas_medias"),
+            mean(people, sum_if(confirmed, F.col("con_personas"))).alias("personas_medias"),
         )
     )
     retention = (
@@ -358,7 +361,7 @@ def destination_table(wh: Warehouse, f: Filters, cohort: Filters | None = None)
 
 def sessions_filtered(wh: Warehouse, f: Filters) -> DataFrame:
     """Sessions built from the events of the range only."""
-    return sessions(wh.session_days, f.since, f.until).select(
+    return sessions(wh.session_days_between(f.since, f.until), f.since, f.until).select(
         "session_id",
         period(F.col("inicio"), f.grain).alias("periodo"),
         "ident",

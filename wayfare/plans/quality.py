@@ -14,7 +14,7 @@ from wayfare.operators.cleaning import day_first_timestamp, iso_timestamp, orpha
 from wayfare.operators.skew import balanced_lookup
 from wayfare.plans.business import with_provider_end
 from wayfare.schemas import BOOKING_KEY
-from wayfare.sources.warehouse import RAW_TABLES, Warehouse, month_number
+from wayfare.sources.warehouse import RAW_TABLES, Warehouse
 
 
 def checks(one_row: DataFrame, items: list[tuple[str, Column, Column]]) -> DataFrame:
@@ -48,11 +48,12 @@ def tracking_gap(
 ) -> DataFrame:
     """Decided bookings per day, and how many of them no event mentions."""
     day = F.to_date("fecha_reserva")
-    decided = wh.bookings.where(is_state(*L.RESOLVED))
+    decided = wh.bookings_between(since, until).where(is_state(*L.RESOLVED))
     if since is not None:
-        decided = decided.where((F.col("mes") >= month_number(since)) & (day >= F.lit(since)))
+        decided = decided.where(F.col("fecha_reserva") >= F.lit(since).cast("timestamp_ntz"))
     if until is not None:
-        decided = decided.where((F.col("mes") <= month_number(until)) & (day <= F.lit(until)))
+        after = F.lit(until + dt.timedelta(days=1)).cast("timestamp_ntz")
+        decided = decided.where(F.col("fecha_reserva") < after)
     decided = decided.select("reserva_id", day.alias("dia"))
     untracked = F.count_if(F.col("con_evento").isNull())
     return (
@@ -165,11 +166,22 @@ def dq_event_date_formats(wh: Warehouse) -> DataFrame:
 
 
 def dq_session_keys(wh: Warehouse) -> DataFrame:
-    """Sessions seen under several cookies or on several devices."""
-    triples = wh.events.select("session_id", "cookie_id", "device").distinct()
-    per_session = triples.groupBy("session_id").agg(
-        (F.count_distinct("cookie_id") > 1).alias("cookies"),
-        (F.count_distinct("device") > 1).alias("devices"),
+    """Sessions seen under several cookies or on several devices.
+
+    A value is taken as two independent codes of 64 bits. Values differ where the least and
+    the greatest of either code differ; equal ones have one code each. Codes are as wide
+    whatever the text, so that a session's are kept in place while events are read, and one
+    row for each session and task is shuffled.
+    """
+
+    def several(column: str) -> Column:
+        codes = [F.xxhash64(column), F.xxhash64(F.lit(1), F.reverse(column))]
+        present = [F.when(F.col(column).isNotNull(), code) for code in codes]
+        differ = [F.min(code) != F.max(code) for code in present]
+        return F.coalesce(differ[0] | differ[1], F.lit(False))
+
+    per_session = wh.events.groupBy("session_id").agg(
+        several("cookie_id").alias("cookies"), several("device").alias("devices")
     )
     summary = per_session.agg(
         F.count_if("cookies").alias("c"), F.count_if("devices").alias("d"), n_rows().alias("total")
@@ -202,6 +214,7 @@ def dq_duplicate_bookings(wh: Warehouse) -> DataFrame:
             on=BOOKING_KEY,
             spread_by="reserva_id",
             counts=repeated.select(*BOOKING_KEY, "_n"),
+            size=wh.size("reservas_repetidas"),
         )
         .where(F.col("reserva_id") != F.col("reserva_id_original"))
         .select("reserva_id", "reserva_id_original")
@@ -348,15 +361,18 @@ def dq_customer_dates(wh: Warehouse, today: dt.date | None = None) -> DataFrame:
 
 
 def dq_malformed_lines(wh: Warehouse) -> DataFrame:
-    """Lines delivered for each raw table, and those among them that could not be read."""
-    counts = []
+    """Lines delivered for each raw table, and those among them that could not be read.
+
+    Both are counted while a table is staged; a table that is read where it lies is counted
+    there, which reads no column of it.
+    """
+    counted = []
     for name, table in RAW_TABLES.items():
-        label, none = F.lit(table).alias("tabla"), F.lit(0).cast("long")
-        one = F.lit(1).cast("long")
-        counts.append(wh.lines(name).select(label, "lineas", none.alias("malformadas")))
-        counts.append(wh.rejected(name).select(label, none.alias("lineas"), one.alias("malformadas")))
-    return (
-        reduce(DataFrame.unionByName, counts)
-        .groupBy("tabla")
-        .agg(F.sum("lineas").alias("lineas"), F.sum("malformadas").alias("malformadas"))
-    )
+        lines, malformed, unread = wh.lines(name)
+        columns = [lines.cast("long").alias("lineas"), malformed.cast("long").alias("malformadas")]
+        if unread is None:
+            one_row = wh.spark.range(1).select(*columns)
+        else:
+            one_row = unread.agg(*columns)
+        counted.append(one_row.select(F.lit(table).alias("tabla"), "lineas", "malformadas"))
+    return reduce(DataFrame.unionByName, counted)

@@ -93,7 +93,8 @@ def conversion_net(wh: Warehouse) -> DataFrame:
     confirmed = wh.bookings.where(is_state(L.CONFIRMED)).select(
         "reserva_id", F.lit(True).alias("confirmada")
     )
-    if skew.is_small(linked, skew.BROADCAST_ROWS):
+    size = wh.size("sesiones_reservas")
+    if size and size.within(skew.BROADCAST_ROWS):
         found = confirmed.join(F.broadcast(linked), "reserva_id").select("session_id", "confirmada")
         none = linked.select("session_id", F.lit(False).alias("confirmada"))
         pairs = found.unionByName(none)

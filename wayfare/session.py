@@ -61,6 +61,20 @@ def scan_bytes(df: DataFrame) -> int:
     return read(df._jdf.queryExecution().optimizedPlan())
 
 
+def file_bytes(df: DataFrame) -> int | None:
+    """``scan_bytes`` of a plan that reads files only; None where other rows come in, whose
+    size Spark does not know."""
+
+    def leaves(node) -> list:
+        children = node.children()
+        below = [leaf for k in range(children.size()) for leaf in leaves(children.apply(k))]
+        return below or [node]
+
+    plan = df._jdf.queryExecution().optimizedPlan()
+    known = all(leaf.nodeName().startswith("LogicalRelation") for leaf in leaves(plan))
+    return scan_bytes(df) if known else None
+
+
 def is_plain_scan(df: DataFrame) -> bool:
     """Is ``df`` a table of parquet files as it is, or some of its columns under their names?"""
     plan = df._jdf.queryExecution().optimizedPlan()
@@ -132,6 +146,28 @@ def file_system(spark: SparkSession, folder: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def write_text(spark: SparkSession, name: str, text: str) -> None:
+    """Write a small file, from the driver."""
+    files, path = file_system(spark, name)
+    out = files.create(path, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, name: str) -> str | None:
+    """Read a small file, without a job; None if there is none."""
+    files, path = file_system(spark, name)
+    if not files.exists(path):
+        return None
+    source = files.open(path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediate tables, visible to every executor.
 

@@ -57,8 +57,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         .csv(path)
     )
     if "event_id" in schema.names and "event_id" not in header:
-        # stable under re-runs: it only spreads rows, it identifies nothing
-        df = df.withColumn("event_id", F.xxhash64(*header))
+        # It only spreads rows, it identifies nothing. Equal lines differ by the file and the
+        # block that they are in; what is in one block is read by one task anyway.
+        block = [F.col(f"_metadata.{part}") for part in ("file_path", "file_block_start")]
+        df = df.withColumn("event_id", F.xxhash64(*header, *block))
     extra = [c for c in header if c not in kinds]
     return df.select(*schema.names, *extra, CORRUPT)
 

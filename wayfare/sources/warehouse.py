@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfare.operators.cleaning import (
     booking_copies,
@@ -18,7 +21,7 @@ from wayfare.operators.cleaning import (
     clean_tours,
     document_groups,
 )
-from wayfare.operators.cohort import first_bookings
+from wayfare.operators.cohort import booking_days, first_bookings, hot_users, user_histories
 from wayfare.operators.identity import (
     canonical_bookings,
     cookie_users,
@@ -29,7 +32,9 @@ from wayfare.operators.identity import (
     with_destination,
 )
 from wayfare.operators.sessions import session_bookings, session_days, sessions, usual_device
-from wayfare.session import file_system, shared_folder
+from wayfare.operators.skew import Size
+from wayfare.session import file_system, read_text, shared_folder, write_text
+from wayfare.sources.layout import overlapping, write_ranges
 from wayfare.sources.raw import CORRUPT, RawTables
 
 # properties of a Warehouse in the order they build on each other
@@ -43,6 +48,9 @@ TABLES = (
     "cookie_users",
     "identities",
     "events",
+    "booking_days",
+    "hot_users",
+    "histories",
     "firsts",
     "firsts_with_tour",
     "session_days",
@@ -59,15 +67,29 @@ RAW_TABLES = {
     "tours": "tours",
     "events": "ga_eventos",
 }
-# Folders that a table is laid out in, and the order within.
+# Tables in files by ranges of a column, and what spreads the rows that are equal in it.
 LAYOUT = {
-    "reservas": ("mes", "fecha_reserva"),
-    "ga_eventos": ("dia", None),
-    "sesiones_dia": ("dia", None),
+    "reservas": ("fecha_reserva", ["reserva_id"]),
+    "ga_eventos": ("event_date", ["event_id"]),
+    "sesiones_dia": ("dia", ["session_id"]),
+    "reservas_dia": ("dia", ["canal", "destino", "estado", "antelacion"]),
 }
+# Tables that others look up; their size decides whether they are broadcast.
+LOOKUPS = (
+    "grupos_documento",
+    "crosswalk_clientes",
+    "identidades",
+    "tours",
+    "proveedores",
+    "reservas_repetidas",
+    "sesiones_reservas",
+)
+# How copies of raw tables are called.
+STAGED = "raw_"
 # what the dashboard reads, besides the events: property and folder
 DASHBOARD_TABLES = {
     "bookings": "reservas",
+    "booking_days": "reservas_dia",
     "tours": "tours",
     "firsts_with_tour": "primeras_reservas_con_tour",
     "session_days": "sesiones_dia",
@@ -87,19 +109,22 @@ SLIM_EVENT_COLUMNS = (
 )
 
 
-def month_number(day: dt.date) -> int:
-    """Year and month as one number: the folder of a booking made on that day."""
-    return day.year * 100 + day.month
-
-
-def booking_month() -> Column:
-    return F.year("fecha_reserva") * 100 + F.month("fecha_reserva")
-
-
 def slim_events(events: DataFrame) -> DataFrame:
     return events.select(*SLIM_EVENT_COLUMNS)
 
 
+def _watched(name: str, df: DataFrame) -> list[Column]:
+    """What is counted of a table while it is written."""
+    if name in LOOKUPS:
+        texts = [F.octet_length(f.name) for f in df.schema.fields if f.dataType == T.StringType()]
+        text = sum((F.coalesce(F.sum(x), F.lit(0)) for x in texts), F.lit(0).cast("long"))
+        return [F.count(F.lit(1)).alias("rows"), text.alias("text")]
+    if name.startswith(STAGED):
+        bad = F.count_if(F.col(CORRUPT).isNotNull()) if CORRUPT in df.columns else F.sum(F.lit(0))
+        return [F.count(F.lit(1)).alias("rows"), bad.alias("malformed")]
+    return []
+
+
 class Warehouse:
     """Tables under one folder: built on first use from ``raw``, or read as they are without.
 
@@ -123,6 +148,7 @@ class Warehouse:
         self.folder = folder.rstrip("/")
         self._raw = raw
         self._ready: dict[str, DataFrame] = {}
+        self._notes: dict[str, dict[str, Any]] = {}
         self._lock = threading.RLock()
 
     @classmethod
@@ -140,6 +166,7 @@ class Warehouse:
             files, path = file_system(self.spark, self.folder)
             files.delete(path, True)
             self._ready.clear()
+            self._notes.clear()
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -155,17 +182,59 @@ class Warehouse:
                 self._ready[name] = reader.parquet(self.path(name))
             return self._ready[name]
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        partition_by, sort_by = LAYOUT.get(name, (None, None))
-        if partition_by:
-            # balanced files per partition value: a busy one is split, quiet ones merged
-            df = df.hint("rebalance", partition_by)
-            if sort_by:
-                df = df.sortWithinPartitions(partition_by, sort_by)
-            writer = df.write.partitionBy(partition_by)
+    def _write(self, name: str, df: DataFrame, columns: Sequence[str] | None = None) -> None:
+        """Write a table, and beside it what was seen of it on the way."""
+        counted, seen = _watched(name, df), Observation()
+        watched = df.observe(seen, *counted) if counted else df
+        known: dict[str, Any] = {}
+        if name in LAYOUT:
+            key, spread_by = LAYOUT[name]
+            chosen = list(columns or df.columns)
+            known["files"] = write_ranges(watched, self.path(name), key, spread_by, chosen)
         else:
-            writer = df.write
-        writer.mode("overwrite").parquet(self.path(name))
+            watched.write.mode("overwrite").parquet(self.path(name))
+        known |= {k: int(v or 0) for k, v in seen.get.items()} if counted else {}
+        write_text(self.spark, self.path(f"notas/{name}.json"), json.dumps(known))
+        self._notes[name] = known
+
+    def notes(self, name: str) -> dict[str, Any]:
+        """What is known of a written table, read without a job."""
+        with self._lock:
+            if name not in self._notes:
+                text = read_text(self.spark, self.path(f"notas/{name}.json"))
+                self._notes[name] = json.loads(text) if text else {}
+            return self._notes[name]
+
+    def size(self, name: str) -> Size | None:
+        """Rows and bytes of text of a table that is looked up, as counted when it was written."""
+        seen = self.notes(name)
+        return Size(seen["rows"], seen["text"]) if "text" in seen else None
+
+    def _between(
+        self, name: str, table: DataFrame, since: dt.date | None, until: dt.date | None
+    ) -> DataFrame:
+        """The files of a table that overlap a range of the column it is laid out by."""
+        listed = self.notes(name).get("files")
+        chosen = None if listed is None else overlapping(listed, since, until)
+        if chosen is None or len(chosen) == len(listed):
+            return table
+        if not chosen:
+            return table.limit(0)
+        reader = self.spark.read.schema(table.schema)
+        return reader.parquet(*[f"{self.path(name)}/{file}" for file in chosen])
+
+    def bookings_between(self, since: dt.date | None, until: dt.date | None) -> DataFrame:
+        """Bookings without those in files wholly outside the days; the rest is not filtered."""
+        return self._between("reservas", self.bookings, since, until)
+
+    def booking_days_between(self, since: dt.date | None, until: dt.date | None) -> DataFrame:
+        return self._between("reservas_dia", self.booking_days, since, until)
+
+    def events_between(self, since: dt.date | None, until: dt.date | None) -> DataFrame:
+        return self._between("ga_eventos", self.events, since, until)
+
+    def session_days_between(self, since: dt.date | None, until: dt.date | None) -> DataFrame:
+        return self._between("sesiones_dia", self.session_days, since, until)
 
     # --- raw tables, staged where their source is costly to read again ---------
 
@@ -173,7 +242,7 @@ class Warehouse:
         """A raw table with all lines, also those that could not be read."""
         if self._raw is not None and name not in self._raw.staged:
             return getattr(self._raw, name)
-        return self._stored(f"raw_{name}", lambda: getattr(self._raw, name))
+        return self._stored(f"{STAGED}{name}", lambda: getattr(self._raw, name))
 
     def _raw_table(self, name: str) -> DataFrame:
         """A raw table without malformed lines; those are in ``rejected``."""
@@ -190,12 +259,15 @@ class Warehouse:
 
         return self._stored(f"rechazados/{RAW_TABLES[name]}", build)
 
-    def lines(self, name: str) -> DataFrame:
-        """How many lines a raw table was delivered with; one row, column ``lineas``."""
-        return self._stored(
-            f"lineas/{RAW_TABLES[name]}",
-            lambda: self._delivered(name).agg(F.count(F.lit(1)).alias("lineas")),
-        )
+    def lines(self, name: str) -> tuple[Column, Column, DataFrame | None]:
+        """How many lines a raw table was delivered with, and how many are malformed: counted
+        while it was staged, else, of a table that is read where it is, to be counted there."""
+        df = self._delivered(name)
+        seen = self.notes(f"{STAGED}{name}")
+        if "malformed" in seen:
+            return F.lit(seen["rows"]), F.lit(seen["malformed"]), None
+        bad = F.count_if(F.col(CORRUPT).isNotNull()) if CORRUPT in df.columns else F.lit(0)
+        return F.count(F.lit(1)), bad, df
 
     @property
     def raw_bookings(self) -> DataFrame:
@@ -230,7 +302,10 @@ class Warehouse:
         return self._stored(
             "crosswalk_clientes",
             lambda: customer_crosswalk(
-                self.raw_customers, self._distinct_nulls, self.document_groups
+                self.raw_customers,
+                self._distinct_nulls,
+                self.document_groups,
+                self.size("grupos_documento"),
             ),
         )
 
@@ -252,27 +327,31 @@ class Warehouse:
     def bookings(self) -> DataFrame:
         """Clean bookings under canonical users, next to their tour's destination and price.
 
-        One folder per booking month, so that a period reads no other month's files.
+        In files by time of booking, so that a period opens only its own.
         """
 
         def build() -> DataFrame:
             raw = self.raw_bookings
+            crosswalk, tours = self.crosswalk, self.tours
             canonical = canonical_bookings(
-                clean_bookings(raw), raw, self.crosswalk, self._keep_unknown
+                clean_bookings(raw),
+                raw,
+                crosswalk,
+                self._keep_unknown,
+                self.size("crosswalk_clientes"),
             )
-            placed = with_destination(canonical, self.tours, raw)
-            return placed.withColumn("mes", booking_month())
+            return with_destination(canonical, tours, raw, self.size("tours"))
 
         return self._stored("reservas", build)
 
     @property
     def events(self) -> DataFrame:
-        """Clean events with identity and bot flag, in one folder per day."""
+        """Clean events with identity and bot flag, in files by time."""
 
         def build() -> DataFrame:
             clean = clean_events(self.raw_events)
-            flagged = flag_bots(identify_events(clean, self.identities))
-            return flagged.withColumn("dia", F.to_date("event_date"))
+            identities = self.identities
+            return flag_bots(identify_events(clean, identities, self.size("identidades")))
 
         return self._stored("ga_eventos", build)
 
@@ -286,21 +365,41 @@ class Warehouse:
     def identities(self) -> DataFrame:
         return self._stored(
             "identidades",
-            lambda: identity_map(self.cookie_users, self.crosswalk, self._keep_unknown),
+            lambda: identity_map(
+                self.cookie_users,
+                self.crosswalk,
+                self._keep_unknown,
+                self.size("crosswalk_clientes"),
+            ),
         )
 
     @property
     def booking_copies(self) -> DataFrame:
         return self._stored("reservas_repetidas", lambda: booking_copies(self.raw_bookings))
 
+    @property
+    def booking_days(self) -> DataFrame:
+        return self._stored("reservas_dia", lambda: booking_days(self.bookings))
+
+    @property
+    def hot_users(self) -> DataFrame:
+        return self._stored("usuarios_frecuentes", lambda: hot_users(self.bookings))
+
+    @property
+    def histories(self) -> DataFrame:
+        return self._stored(
+            "historial_usuarios", lambda: user_histories(self.bookings, self.hot_users)
+        )
+
     @property
     def firsts(self) -> DataFrame:
-        return self._stored("primeras_reservas", lambda: first_bookings(self.bookings))
+        return self._stored("primeras_reservas", lambda: first_bookings(self.histories))
 
     @property
     def firsts_with_tour(self) -> DataFrame:
         return self._stored(
-            "primeras_reservas_con_tour", lambda: first_bookings(self.bookings, with_tour_only=True)
+            "primeras_reservas_con_tour",
+            lambda: first_bookings(self.histories, with_tour_only=True),
         )
 
     @property
@@ -323,7 +422,6 @@ class Warehouse:
     def write_all(self) -> Warehouse:
         for name in RAW_TABLES:
             self.rejected(name)
-            self.lines(name)
         for name in TABLES:
             getattr(self, name)
         return self
@@ -336,5 +434,5 @@ class Warehouse:
         copy = Warehouse(self.spark, folder)
         for name, table in DASHBOARD_TABLES.items():
             copy._write(table, getattr(self, name))
-        copy._write("ga_eventos", self.events.select(*SLIM_EVENT_COLUMNS, "dia"))
+        copy._write("ga_eventos", self.events, SLIM_EVENT_COLUMNS)
         return copy
