@@ -182,6 +182,7 @@ def test_whitening_of_odd_tables(spark):
 
 # --- lattice scores ----------------------------------------------------------
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TOY = [(b" a", 0), (b"a", 1), (b"ab", 2), (b" ab", 3), (b"b", 4), (b"ba", 5), (b"bab", 6), (b" ", 7)]
 PROSE = st.text(alphabet="ab", max_size=7)
 
@@ -221,11 +222,15 @@ def test_pieces_never_reach_over_a_mark():
     assert len({spelling for spelling, _ in vocabulary}) == len(vocabulary) > 20_000
 
 
+def words_of(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
 def fitted(texts, rounds):
     """Model of training texts by plain recursions over Python dictionaries."""
     vocabulary = lattice.pieces(catalogue.vocabulary(catalogue.PIECE_MODEL))
     prior = dict(zip((s for s, _ in vocabulary), lattice.prior(vocabulary)))
-    words = Counter(w for t in texts for w in lattice.words_of(t).elements())
+    words = Counter(w for t in texts for w in words_of(t))
 
     def normalised(expected):
         weights = {s: expected.get(s, 0.0) + lattice.PRIOR_TOKENS * p for s, p in prior.items()}
@@ -262,12 +267,12 @@ def fitted(texts, rounds):
 def plain_scores(rows):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     train = [t for i, t in rows if not held(i)]
-    known = Counter(w for t in train for w in lattice.words_of(t).elements())
+    known = Counter(w for t in train for w in words_of(t))
     n = sum(known.values()) + len(train)
     v = len(known) + bool(train)
     marginal, end = fitted(train, lattice.ROUNDS)
     for i, text in rows:
-        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        words = words_of(text)
         counts = [known[w] for w in words] + [len(train)]
         base = sum(math.log10((c + 1) / (n + v + 1)) for c in counts)
         score = end + sum(marginal(w) for w in words)

@@ -40,8 +40,6 @@ from wayfare.llm.scratch import stored
 from wayfare.llm.text import chunks
 
 FOLDS, HELD_OUT = 7, 2
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans({chr(k): chr(k + 32) for k in range(ord("A"), ord("Z") + 1)})
 
 # How a word's start is marked in bytes that words do not hold, and in the vocabulary.
 MARK = b" "
@@ -53,8 +51,10 @@ ROUNDS = 3
 
 # A word with more than one in so many of all tokens is sent to every task, so that there are
 # fewer of them than that; longer words are joined in any case.
-FREQUENT_SHARE = 50_000
-FREQUENT_BYTES = 256
+FREQUENT_SHARE = 200_000
+FREQUENT_BYTES = 64
+# Distinct words that a task counts before it passes them on.
+COUNTED_WORDS = 500_000
 # Words whose lattices are computed at once, by their bytes.
 BATCH_BYTES = 1 << 20
 
@@ -219,29 +219,35 @@ def fold() -> Column:
     return F.crc32(text.cast("binary")) % FOLDS
 
 
-def words_of(text: str | None) -> Counter[str]:
-    return Counter(WORD.findall((text or "").translate(LOWER)))
+def texts_of(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8, A-Z lower-cased; bytes know no other letters or blanks."""
+    return text.lower().split() if text else []
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """Each distinct word, how often training documents hold it, and all documents."""
 
+    def table(trained: Counter[bytes], held: Counter[bytes]) -> pa.RecordBatch:
+        words = list(trained | held)
+        c = [trained[word] for word in words]
+        n = [trained[word] + held[word] for word in words]
+        columns = [pa.array(words, pa.binary()).cast(pa.string()), pa.array(c), pa.array(n)]
+        return pa.record_batch(columns, ["word", "c", "n"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = Counter(), Counter()
         for batch in chunks(batches, "text"):
-            trained, every = Counter(), Counter()
-            for text, held in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
-                found = words_of(text)
-                every.update(found)
-                if not held:
-                    trained.update(found)
-            yield pa.record_batch(
-                [
-                    pa.array(list(every), pa.string()),
-                    pa.array([trained[w] for w in every], pa.int64()),
-                    pa.array(every.values(), pa.int64()),
-                ],
-                ["word", "c", "n"],
-            )
+            for text, held in zip(texts_of(batch), batch.column("held_out").to_pylist()):
+                counters[held].update(words_of(text))
+            if len(counters[0]) + len(counters[1]) > COUNTED_WORDS:
+                yield table(*counters)
+                counters = Counter(), Counter()
+        if any(counters):
+            yield table(*counters)
 
     rows = docs.select("text", (fold() == HELD_OUT).alias("held_out"))
     return (
@@ -333,46 +339,50 @@ def score(docs: DataFrame, path: str) -> DataFrame:
         .drop("n")
     )
     # fewer than FREQUENT_SHARE rows of bounded length
-    frequent = {row["word"]: tuple(row)[1:] for row in common.collect()}
+    frequent = {row["word"].encode(): tuple(row)[1:] for row in common.collect()}
     end = (int(ends > 0), math.log10(ends + 1) - unit, model.end / LN10)
 
-    schema = pa.schema(
-        [
-            ("row", pa.int64()),
-            ("word", pa.string()),
-            ("times", pa.int64()),
-            ("n_tokens", pa.int64()),
-            ("n_known", pa.int64()),
-            ("base_score", pa.float64()),
-            ("score", pa.float64()),
-        ]
-    )
-
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each document a row with what its frequent words add up to, and one for each of
         its other words."""
         for batch in chunks(batches, "text"):
-            heads: list[int | None] = []
-            out: list[tuple] = []
-            rows = zip(batch.column("row").to_pylist(), batch.column("text").to_pylist())
-            for place, (row, text) in enumerate(rows):
+            rows: list[int] = []
+            words: list[bytes] = []
+            times: list[int] = []
+            heads: list[int] = []
+            sums: list[tuple[int, int, float, float]] = []
+            for row, text in zip(batch.column("row").to_pylist(), texts_of(batch)):
                 found = words_of(text)
-                n, (known, base, marginal) = 1 + sum(found.values()), end
-                for word, times in found.items():
+                n, (known, base, marginal) = 1 + len(found), end
+                for word, count in Counter(found).items():
                     values = frequent.get(word)
                     if values is None:
-                        out.append((row, word, times, 0, 0, 0.0, 0.0))
-                        heads.append(None)
+                        rows.append(row)
+                        words.append(word)
+                        times.append(count)
                     else:
-                        known += times * values[0]
-                        base += times * values[1]
-                        marginal += times * values[2]
+                        known += count * values[0]
+                        base += count * values[1]
+                        marginal += count * values[2]
                 # a key of its own that no word has, as words hold no blank
-                out.append((row, f" {row}", 0, n, known, base, marginal))
-                heads.append(place)
-            columns = [pa.array(column, field.type) for column, field in zip(zip(*out), schema)]
-            ids = [batch.column(name).take(pa.array(heads, pa.int32())) for name in carried]
-            yield pa.record_batch([*ids, *columns], [*carried, *schema.names])
+                heads.append(len(rows))
+                rows.append(row)
+                words.append(b" %d" % row)
+                times.append(0)
+                sums.append((n, known, base, marginal))
+            of_row = np.full(len(rows), -1, np.int64)
+            of_row[heads] = np.arange(len(heads))
+            place = pa.array(of_row, mask=of_row < 0)
+            added = [
+                pa.array(column, kind).take(place).fill_null(pa.scalar(0, kind))
+                for column, kind in zip(zip(*sums), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))
+            ]
+            ids = [batch.column(name).take(place) for name in carried]
+            spelled = pa.array(words, pa.binary()).cast(pa.string())
+            yield pa.record_batch(
+                [*ids, pa.array(rows, pa.int64()), spelled, pa.array(times, pa.int64()), *added],
+                [*carried, "row", "word", "times", "n_tokens", "n_known", "base_score", "score"],
+            )
 
     carried = ["doc_id", "held_out"]
     id_type = docs.schema["doc_id"].dataType.simpleString()
