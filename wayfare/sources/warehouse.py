@@ -351,7 +351,8 @@ class Warehouse:
         def build() -> DataFrame:
             clean = clean_events(self.raw_events)
             identities = self.identities
-            return flag_bots(identify_events(clean, identities, self.size("identidades")))
+            flagged = flag_bots(identify_events(clean, identities, self.size("identidades")))
+            return flagged.withColumn("dia", F.to_date("event_date"))
 
         return self._stored("ga_eventos", build)
 
@@ -434,5 +435,5 @@ class Warehouse:
         copy = Warehouse(self.spark, folder)
         for name, table in DASHBOARD_TABLES.items():
             copy._write(table, getattr(self, name))
-        copy._write("ga_eventos", self.events, SLIM_EVENT_COLUMNS)
+        copy._write("ga_eventos", self.events, (*SLIM_EVENT_COLUMNS, "dia"))
         return copy
