@@ -33,7 +33,7 @@ LARGE_INPUT = {
 }
 
 # settings that each session had before any data set widened them
-_before: dict[int, dict[str, str | None]] = {}
+_before: dict[str, dict[str, str | None]] = {}
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -96,7 +96,8 @@ def size_shuffles(spark: SparkSession, nbytes: int, width: int | None = None) ->
     set needed is taken back.
     """
     before = _before.setdefault(
-        id(spark._jsparkSession), {key: spark.conf.get(key, None) for key in (WIDTH, *LARGE_INPUT)}
+        spark._jsparkSession.sessionUUID(),
+        {key: spark.conf.get(key, None) for key in (WIDTH, *LARGE_INPUT)},
     )
     for key, value in before.items():
         if value is None:
