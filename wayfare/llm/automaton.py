@@ -30,6 +30,10 @@ def byte_characters() -> list[str]:
     return [standing[byte] for byte in range(0x100)]
 
 
+# Transitions that are kept once found; any can be found again.
+MOST_TRANSITIONS = 1 << 18
+
+
 class Automaton:
     """Transitions over the tokens ``0 .. n - 1`` of ``merges`` (rows ``x, y, z``) and base symbols."""
 
@@ -63,6 +67,8 @@ class Automaton:
         key = state * self.tokens + token
         found = self.table.get(key)
         if found is None:
+            if len(self.table) >= MOST_TRANSITIONS:
+                self.table.clear()  # texts of noise could fill it without end
             found = self.table[key] = self.target[token] if self._has(state, token) else DEAD
         return found
 
