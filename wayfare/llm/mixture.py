@@ -1,7 +1,7 @@
 """Mixing sources to target weights on a low-discrepancy schedule.
 
 The words of a source, its documents shuffled by a hash, form a stream that is cut into
-blocks of equally many words. Slot ``i`` of the schedule holds the golden-ratio point
+blocks of equally many words, in a small source into smaller ones. Slot ``i`` of the schedule holds the golden-ratio point
 ``frac(i * phi)``; the interval of cumulated target shares that the point falls into names
 the source, and the slot's rank within its source names the block, again from the first one
 when all are used. As the points have low discrepancy, every stretch of the schedule, not
@@ -11,9 +11,9 @@ Targets: the sources in code point order, NULL last, weigh 5, 2, 1, 5, 2, 1, ...
 the number of all words; a target stops at ``MAX_EPOCHS`` times the words of its source, and
 what that leaves over is shared among the others by weight.
 
-``mix`` has blocks of one size, as its SQL states: a source of few blocks is charged for a
-whole last one, and one below a block may get no slot. ``mixed``, the pipeline's stage, cuts
-such sources into smaller blocks and gives them as many more slots.
+A source's blocks are a ``SOURCE_BLOCKS``-th of it, of ``BLOCK_WORDS`` words at most and one at
+least, and its share of the slots is its target in blocks. Sources thus come near their
+targets whatever their own size and that of the corpus.
 
 Defined cases: a NULL text or one without a word has size 0 and nothing is taken from it; a
 NULL source is a source of its own, last in order. Repeated rows, also those with equal ids,
@@ -36,12 +36,11 @@ from wayfare.llm.scratch import stored
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 
-# Words of a block; a small corpus has smaller blocks, so that rounding to whole blocks
-# stays small against the targets.
+# Words of a block, at most, and blocks of a source, at least, if it has as many words.
 BLOCK_WORDS = 128
-LEAST_BLOCKS = 1 << 16
-# Blocks of a source in ``mixed``, at least, if it has as many words.
 SOURCE_BLOCKS = 1 << 10
+# A source's share of the slots is a whole number of such parts of a slot, which add up exactly.
+SLOT_PARTS = 1 << 10
 
 # Fixed value: the golden ratio's fraction as a 32-bit multiplier.
 GOLDEN = 2654435769
@@ -62,10 +61,6 @@ class Corpus:
     rows: int
     words: int
 
-    @property
-    def block(self) -> int:
-        return max(1, min(BLOCK_WORDS, self.words // LEAST_BLOCKS))
-
 
 def measured(docs: DataFrame) -> Corpus:
     """``doc_id``, ``source``, ``size`` and place in the shuffle of every document, written."""
@@ -83,10 +78,9 @@ def measured(docs: DataFrame) -> Corpus:
     return Corpus(sizes, rows, words)
 
 
-def targets(corpus: Corpus, by_source: bool = False) -> DataFrame:
+def targets(corpus: Corpus) -> DataFrame:
     """Per source: ``stream``, ``source``, ``source_size``, ``target`` and ``block_words``, in words.
 
-    Blocks have the corpus's size, or ``by_source`` a smaller one in small sources.
     Sources in rising order of cap per weight reach their caps first. Of the words and the
     weight that remain after the sources before, each takes its share by weight or, if that
     is less, its cap; from the first that takes its share on, all do, at the same rate.
@@ -112,7 +106,7 @@ def targets(corpus: Corpus, by_source: bool = False) -> DataFrame:
     shared = F.col("words_left") * F.col("weight") <= F.col("cap") * F.col("weight_left")
     rate = F.struct("words_left", "weight_left")
     of_source = F.greatest(F.lit(1), F.floor(F.col("source_size") / SOURCE_BLOCKS))
-    block = F.least(F.lit(corpus.block), of_source) if by_source else F.lit(corpus.block)
+    block = F.least(F.lit(BLOCK_WORDS), of_source)
     so_far = by_cap.rowsBetween(Window.unboundedPreceding, 0)
     rated = left.withColumn("rate", F.first(F.when(shared, rate), ignorenulls=True).over(so_far))
     return rated.select(
@@ -140,25 +134,19 @@ def _points(slots: int, spark) -> DataFrame:
     return spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", point)
 
 
-def schedule(corpus: Corpus, goals: DataFrame) -> DataFrame:
+def schedule(goals: DataFrame) -> DataFrame:
     """``slot``, ``stream``, ``block`` and ``epoch``: what the mix consists of, in order.
 
-    A source that has been used ``MAX_EPOCHS`` times gets no further slots. Smaller blocks
-    than the corpus's make its share of the slots larger, and the slots more.
+    A source that has been used ``MAX_EPOCHS`` times gets no further slots.
     """
     cell = lambda c: F.shiftright(c, CELL_BITS)
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    # added in order of name, so that reruns round alike
-    whole = by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("share").over(whole)
-    shares = goals.where("target > 0").withColumn(
-        "share", F.col("target") * (F.lit(corpus.block) / F.col("block_words"))
-    )
+    parts = F.round(F.col("target") / F.col("block_words") * SLOT_PARTS).cast("bigint")
+    shares = goals.where("target > 0").withColumn("share", parts)
+    total = shares.agg(F.coalesce(F.sum("share"), F.lit(0))).first()[0]
+    so_far = F.sum("share").over(by_name.rowsBetween(Window.unboundedPreceding, 0))
     bounds = shares.withColumn(
-        "upper",
-        F.round(
-            F.sum("share").over(by_name.rowsBetween(Window.unboundedPreceding, 0)) / total * POINTS
-        ).cast("bigint"),
+        "upper", F.round(so_far.cast("double") / F.lit(float(total or 1)) * POINTS).cast("bigint")
     )
     intervals = bounds.withColumn(
         "lower", F.coalesce(F.lag("upper").over(by_name), F.lit(0))
@@ -171,9 +159,7 @@ def schedule(corpus: Corpus, goals: DataFrame) -> DataFrame:
         "upper",
         F.explode(F.sequence(cell(F.col("lower")), cell(F.col("upper") - 1))).alias("cell"),
     )
-    more = shares.agg(F.ceil(F.sum(F.col("share") - F.col("target")))).first()[0] or 0
-    slots = -(-(corpus.words + more) // corpus.block)
-    points = _points(slots, goals.sparkSession).withColumn("cell", cell(F.col("point")))
+    points = _points(-(-total // SLOT_PARTS), goals.sparkSession).withColumn("cell", cell(F.col("point")))
     inside = (F.col("point") >= F.col("lower")) & (F.col("point") < F.col("upper"))
     named = points.join(cells, "cell").where(inside).select("slot", "stream", "source_size", "block_words")
     ranked = totals_before(
@@ -227,7 +213,7 @@ def taken(corpus: Corpus, goals: DataFrame) -> DataFrame:
             - F.greatest(F.col("start"), F.col("block") * block),
         )
     )
-    uses = schedule(corpus, goals).groupBy("stream", "block").agg(F.count(F.lit(1)).alias("uses"))
+    uses = schedule(goals).groupBy("stream", "block").agg(F.count(F.lit(1)).alias("uses"))
     return (
         pieces.join(uses, ["stream", "block"], "left")
         .groupBy("doc_id", "stream", "place", "start", "size")
@@ -259,13 +245,12 @@ def _stream() -> Column:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it was taken.
 
-    Sources come near their targets whatever their size, as blocks are cut ``by_source``.
     The last use of a source may end inside a document, which then comes with its first
     words only, joined by spaces and with ``n_chars`` to match. Rows with equal id, source and text
     are one document that is taken as often as all of them.
     """
     corpus = measured(docs)
-    goals = stored(targets(corpus, by_source=True), "targets")
+    goals = stored(targets(corpus), "targets")
     key = ["place", "doc_id", "stream"]
     portions = stored(
         taken(corpus, goals)
@@ -289,7 +274,7 @@ def mixed(docs: DataFrame) -> DataFrame:
         & F.col("doc_id").eqNullSafe(F.col("_mix_doc_id"))
     )
     last = F.col("_mix_whole") - F.when(F.col("_mix_rest") > 0, 0).otherwise(1)
-    uses = marked.join(portions.hint("shuffle_hash"), same).withColumn(
+    uses = marked.join(portions, same).withColumn(
         "_mix_use", F.explode(F.sequence(F.lit(0).cast("long"), last))
     )
     partial = F.col("_mix_use") == F.col("_mix_whole")
@@ -308,8 +293,7 @@ WITH docs AS (
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || coalesce(text, '')), 1, {KEY_BITS // 4}))::BIGINT AS place
   FROM documents
 ), corpus AS (
-  SELECT sum(size)::BIGINT AS words,
-    greatest(1, least({BLOCK_WORDS}, sum(size) // {LEAST_BLOCKS}))::BIGINT AS block FROM docs
+  SELECT sum(size)::BIGINT AS words FROM docs
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
     [{', '.join(map(str, WEIGHTS))}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}] AS weight
@@ -325,28 +309,31 @@ WITH docs AS (
     WHERE rate <= most) AS rate
   FROM sources s
 ), goals AS (
-  SELECT source, source_size, least({MAX_EPOCHS} * source_size::DOUBLE, coalesce(rate * weight, 1e300)) AS target FROM filled
+  SELECT source, source_size, least({MAX_EPOCHS} * source_size::DOUBLE, coalesce(rate * weight, 1e300)) AS target,
+    greatest(1, least({BLOCK_WORDS}, source_size // {SOURCE_BLOCKS}))::BIGINT AS block FROM filled
+), shares AS (
+  SELECT *, round(target / block * {SLOT_PARTS})::BIGINT AS share FROM goals WHERE target > 0
 ), bounds AS (
-  SELECT *, round(sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING)
-    / sum(target) OVER () * {POINTS})::BIGINT AS hi FROM goals WHERE target > 0
+  SELECT *, round(sum(share) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING)::DOUBLE
+    / (SELECT sum(share) FROM shares)::DOUBLE * {POINTS})::BIGINT AS hi FROM shares
 ), intervals AS (
   SELECT *, coalesce(lag(hi) OVER (ORDER BY source NULLS LAST), 0) AS lo FROM bounds
 ), slots AS (
   SELECT i, (i * {GOLDEN}::HUGEINT % {POINTS})::BIGINT AS point
-  FROM (SELECT unnest(range(((words + block - 1) // block)::BIGINT)) AS i FROM corpus)
+  FROM (SELECT unnest(range(((sum(share) + {SLOT_PARTS - 1}) // {SLOT_PARTS})::BIGINT)) AS i FROM shares)
 ), uses AS (
   SELECT source, r % nb AS b, count(*) AS uses FROM (
     SELECT source, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS r,
       (source_size + block - 1) // block AS nb
-    FROM slots JOIN intervals ON point >= lo AND point < hi, corpus)
+    FROM slots JOIN intervals ON point >= lo AND point < hi)
   WHERE r // nb < {MAX_EPOCHS} GROUP BY ALL
 ), streams AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size, rid
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM docs
 ), pieces AS (
   SELECT rid, source, b, least(a + size, (b + 1) * block) - greatest(a, b * block) AS n
-  FROM (SELECT *, unnest(range(a // block, (a + size - 1) // block + 1)) AS b
-        FROM streams, corpus WHERE size > 0)
+  FROM (SELECT s.*, block, unnest(range(a // block, (a + size - 1) // block + 1)) AS b
+        FROM streams s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source WHERE size > 0)
 ), took AS (
   SELECT rid, sum(n * coalesce(uses, 0))::BIGINT AS taken
   FROM pieces p LEFT JOIN uses u ON p.source IS NOT DISTINCT FROM u.source AND p.b = u.b GROUP BY rid
