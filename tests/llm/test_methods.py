@@ -91,6 +91,17 @@ def test_automaton_accepts_exactly_the_merged_sequences(data):
         assert (state != DEAD) == (merged(symbols, merges) == list(sequence))
 
 
+def test_transitions_kept_are_bounded(monkeypatch):
+    mine, library = vocabulary()
+    monkeypatch.setattr("wayfare.llm.automaton.MOST_TRANSITIONS", 500)
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == expected
+    assert len(mine.automaton.table) <= 500
+
+
 def test_automaton_refuses_merges_out_of_order():
     with pytest.raises(ValueError):
         Automaton(4, [(2, 1, 3), (0, 1, 2)])
@@ -313,7 +324,7 @@ def test_schedule_keeps_shares_in_every_stretch(spark):
         [(k, "w " * 100, "ab"[k % 2]) for k in range(400)], "doc_id long, text string, source string"
     )
     corpus = mixture.measured(docs)
-    slots = mixture.schedule(corpus, mixture.targets(corpus)).orderBy("slot").collect()
+    slots = mixture.schedule(mixture.targets(corpus)).orderBy("slot").collect()
     heavy = np.array([r.stream == "sa" for r in slots])
     for start in range(0, len(heavy) - 700, 311):
         assert abs(heavy[start : start + 700].mean() - 5 / 7) < 0.01
@@ -329,15 +340,17 @@ def test_small_sources_beside_millions_of_words_come_near_their_targets(spark):
     )
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").unionByName(large)
     corpus = mixture.measured(docs)
-    assert corpus.block == 128
+    assert {r.source: r.block_words for r in mixture.targets(corpus).where("block_words > 4").collect()} == {"a": 128, "b": 128}
     goals = {r.source: r.target for r in mixture.targets(corpus).collect()}
     took = {
         r.source: r.n
         for r in mixture.mixed(docs).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()
     }
     assert {s: goals[s] for s in small} == {s: 3 * n for s, n in small.items()}
+    reported = {r.source: r.n for r in mixture.mix(docs).join(docs, "doc_id").groupBy("source").agg(F.sum("taken").alias("n")).collect()}
     for s, goal in goals.items():
         assert abs(took.get(s, 0) - goal) <= 0.01 * goal + 6, (s, took.get(s, 0), goal)
+        assert abs(reported[s] - goal) <= 0.01 * goal + 6, (s, reported[s], goal)
 
 
 def test_rules_are_ordered_by_rejection_per_cost(documents):

@@ -208,3 +208,19 @@ def water_filled(sizes):
             goals[s] = 3 * sizes[s]
             left -= goals[s]
             full.add(s)
+
+
+def test_shuffles_follow_the_bytes_of_the_tables(spark, small, monkeypatch):
+    from wayfare import session
+
+    before = session.shuffle_width(spark)
+    hundred_tb = 100 * 1024**4
+    monkeypatch.setattr(catalogue, "scan_bytes", lambda df: hundred_tb)
+    try:
+        catalogue.queries()["op2_url_filter"](spark, small)
+        assert session.shuffle_width(spark) == 2 * hundred_tb * 2 // session.TASK_BYTES
+        monkeypatch.undo()
+        catalogue.queries()["op2_url_filter"](spark, small)
+        assert session.shuffle_width(spark) == before
+    finally:
+        session.size_shuffles(spark, 0)

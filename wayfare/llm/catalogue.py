@@ -21,6 +21,7 @@ from wayfare.llm import (
     urls,
     whitening,
 )
+from wayfare.session import scan_bytes, size_shuffles
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -33,8 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sized(spark: SparkSession, *tables: DataFrame) -> None:
+    """Make shuffles as wide as what the tables hold needs; the next query sizes its own."""
+    size_shuffles(spark, sum(map(scan_bytes, tables)))
+
+
 def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, name)
+        sized(spark, rows)
+        return operator(rows)
+
+    return query
 
 
 def vocabulary(name: str) -> str:
@@ -56,7 +67,9 @@ def _with_ranks(name: str, operator: Callable[[DataFrame, str, str], DataFrame])
 
 
 def _url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    pages_, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    sized(spark, pages_, labels)
+    return urls.judge(pages_, labels)
 
 
 def queries() -> dict[str, Query]:

@@ -232,7 +232,7 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     copied = F.col("n").alias("_kept_copies")
     chosen = stored(chosen.join(copies, same).select("_kept_id", "_kept_row", copied), "chosen")
     matched = docs.alias("d").join(
-        chosen.hint("shuffle_hash"),
+        chosen,
         F.col("_kept_id").eqNullSafe(F.col("d.doc_id")) & (F.col("_kept_row") == row),
     )
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
