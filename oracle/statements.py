@@ -77,19 +77,19 @@ def dash_factor(expression: str) -> str:
 
 
 def standardised(group: str, stratum: str, label: str) -> str:
+    """Each customer weighs as many of the stratum as there are customers of the group in it."""
     return over(
         "ripe_t",
         f"""
-        , c AS (SELECT * FROM ripe_t WHERE canal <> 'Email'),
-        mix AS (SELECT {stratum}, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM c) AS share
-                FROM c GROUP BY 1),
-        cell AS (SELECT {group}, {stratum}, avg(back) AS r FROM c GROUP BY 1, 2),
-        std AS (SELECT {group}, sum(r * share) / sum(share) AS s
-                FROM cell JOIN mix USING ({stratum}) GROUP BY 1)
-        SELECT {group}, ROUND(100.0 * (SELECT avg(back) FROM c WHERE c.{group} = std.{group}), 1)
-                 AS pct_crudo,
-               ROUND(100.0 * s, 1) AS {label}
-        FROM std WHERE {group} IS NOT NULL
+        , weighed AS (
+          SELECT {group}, back,
+                 CASE WHEN {stratum} IS NOT NULL
+                      THEN CAST(count(*) OVER (PARTITION BY {stratum}) AS DOUBLE)
+                           / count(*) OVER (PARTITION BY {group}, {stratum}) END AS w
+          FROM ripe_t WHERE canal <> 'Email')
+        SELECT {group}, ROUND(100.0 * avg(back), 1) AS pct_crudo,
+               ROUND(100.0 * sum(back * w) / sum(w), 1) AS {label}
+        FROM weighed WHERE {group} IS NOT NULL GROUP BY 1 HAVING sum(w) > 0
         """,
     )
 
@@ -106,6 +106,14 @@ def check_rows(*items: tuple[str, str, str]) -> str:
 def cleaning() -> dict[str, str]:
     return {
         "clean_bookings": over("clean", f"SELECT {BOOKING} FROM clean"),
+        "bookings_stored": over(
+            "bk tours",
+            f"""
+            SELECT {BOOKING.replace("tour_id", "bk.tour_id").replace("proveedor_id", "bk.proveedor_id")},
+                   destino, {PRICE}, tours.tour_id IS NOT NULL AS tour_conocido
+            FROM bk LEFT JOIN tours ON bk.tour_id = tours.tour_id
+            """,
+        ),
         "clean_customers": over("customers", "SELECT * FROM customers"),
         "clean_events": over("ev_clean", f"SELECT {EVENT} FROM ev_clean"),
         "clean_tours": over("tours", f"SELECT * REPLACE ({PRICE}) FROM tours"),
@@ -301,6 +309,17 @@ def repeat() -> dict[str, str]:
 
 def destinations() -> dict[str, str]:
     return {
+        "report_destinations": over(
+            "bkt",
+            f"""
+            , d AS (SELECT destino, count(*) AS n, CAST(sum(importe_eur) AS DOUBLE) AS e,
+                           ROUND(CAST(sum(personas) AS DOUBLE) / count(personas), 2) AS people
+                    FROM bkt WHERE {CONF} GROUP BY 1)
+            SELECT destino, n AS reservas, ROUND(e) AS revenue, people AS personas_medias,
+                   {pct('n', '(SELECT sum(n) FROM d)')} AS pct_reservas
+            FROM d
+            """,
+        ),
         "destination_volume": over(
             "bkt",
             f"""

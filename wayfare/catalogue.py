@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from wayfare.operators import cleaning, identity
 from wayfare.plans import business, dashboard, quality, repeat
 from wayfare.plans.dashboard import Filters
-from wayfare.plans.report import CHECKS, metrics
+from wayfare.plans.report import CHECKS, metrics, write_report
 from wayfare.schemas import BOOKINGS
 from wayfare.sources.warehouse import Warehouse, slim_events
 
@@ -65,6 +65,15 @@ def _crosswalk(wh: Warehouse) -> DataFrame:
     return identity.customer_crosswalk(wh.raw_customers, groups=groups, size=size)
 
 
+def _report_of_destinations(wh: Warehouse) -> DataFrame:
+    """Two tables of the written report, read back and put side by side."""
+    paths = write_report(wh, wh.path("informe"), questions=("destinos",))
+    at = {path.rsplit("/", 1)[-1]: wh.spark.read.parquet(path) for path in paths}
+    volume = at["destination_volume"].select("destino", "reservas", "revenue", "pct_reservas")
+    people = at["destination_ticket"].select(F.col("destino").alias("_de"), "personas_medias")
+    return volume.join(people, F.col("destino").eqNullSafe(F.col("_de"))).drop("_de")
+
+
 def _destination_table(wh: Warehouse) -> DataFrame:
     return dashboard.destination_table(wh, SALES, COHORT)
 
@@ -83,6 +92,8 @@ def queries() -> dict[str, Query]:
         "bookings_canonical_keep_unknown": partial(_canonical_bookings, keep_unknown=True),
         "events_identified": _identified_events,
         "events_slim": lambda wh: slim_events(wh.events),
+        "bookings_stored": lambda wh: wh.bookings,
+        "report_destinations": _report_of_destinations,
     }
     reported = metrics() | {
         "factor_amount": partial(repeat.factor_amount, edges=AMOUNT_EDGES),

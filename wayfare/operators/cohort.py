@@ -8,7 +8,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from wayfare import labels as L
-from wayfare.functions.exprs import days_between, is_state, lead_bucket, n_rows, sum_if
+from wayfare.functions.exprs import (
+    amount_bucket,
+    days_between,
+    is_state,
+    lead_bucket,
+    n_rows,
+    party_bucket,
+    sum_if,
+)
 from wayfare.operators.skew import HOT_SHARE, hot_keys, key_counts
 from wayfare.session import shuffle_width
 
@@ -196,3 +204,28 @@ def cohort(firsts: DataFrame, rule: str = "next") -> DataFrame:
 
 def mature(cohort_df: DataFrame, days: int = L.MATURE_DAYS) -> DataFrame:
     return cohort_df.where(F.col("dias_exposicion") >= days)
+
+
+def factors() -> dict[str, tuple[Column, ...]]:
+    """What the report splits the mature cohort by: whom it looks at, and one or two groups."""
+    everybody, known = F.lit(True), F.col("tour_conocido")
+    free = F.col("importe_eur") == 0
+    channel, place = F.col("canal"), F.col("destino")
+    not_email = channel != L.EXCLUDED_CHANNEL
+    lead = days_between(F.col("fr"), F.col("fa"))
+    cancelled = F.coalesce("tuvo_cancelacion", F.lit(False))
+    return {
+        "canal": (not_email & (F.col("importe_eur") > 0), channel),
+        "canal_tipo": (not_email, channel, F.when(free, L.FREE).otherwise(L.PAID)),
+        "canal_destino": (not_email & known, channel, place),
+        "primera_reserva": (everybody, F.when(free, L.FIRST_FREE).otherwise(L.FIRST_PAID)),
+        "destino": (known, place),
+        "importe": (everybody, amount_bucket(F.col("importe_eur"))),
+        "personas": (everybody, party_bucket(F.col("personas"))),
+        "antelacion": (everybody, lead_bucket(lead, L.LEAD_FACTOR)),
+        "campana": (everybody, F.coalesce("campana", F.lit(L.NO_CAMPAIGN))),
+        "cancelacion": (
+            everybody,
+            F.when(cancelled, L.HAD_CANCELLATION).otherwise(L.NO_CANCELLATION),
+        ),
+    }

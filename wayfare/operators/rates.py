@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,9 +21,16 @@ def repeat_rate(
     grouped = customers.groupBy(*[c.alias(n) for n, c in by.items()]).agg(
         n_rows().alias("clientes"), F.sum("recompra").alias("k")
     )
+    return rates_of(grouped, list(by), min_group, interval)
+
+
+def rates_of(
+    grouped: DataFrame, by: Sequence[str], min_group: int = 0, interval: bool = False
+) -> DataFrame:
+    """The same from groups with their ``clientes`` and the number ``k`` that came back."""
     if min_group:
         grouped = grouped.where(F.col("clientes") >= min_group)
-    columns = [F.col(n) for n in by]
+    columns: list[Column] = [F.col(n) for n in by]
     columns += [F.col("clientes"), mean_pct(F.col("k"), F.col("clientes")).alias("pct_recompra")]
     if interval:
         columns += wald_interval(ratio(F.col("k"), F.col("clientes")), F.col("clientes"))
@@ -40,17 +49,38 @@ def retention_rate(customers: DataFrame, factor: Column, name: str, min_group: i
     )
 
 
+def repeat_cells(customers: DataFrame, factors: Mapping[str, tuple[Column, ...]]) -> DataFrame:
+    """Customers and those that came back by every factor at once, in one pass.
+
+    A factor has a condition for the customers that it looks at, and one or two groups; a row
+    of the result is a ``factor`` with its groups ``a`` and ``b``.
+    """
+    entries = []
+    for name, (scope, *groups) in factors.items():
+        a, b = [g.cast("string") for g in groups] + [F.lit(None).cast("string")] * (2 - len(groups))
+        entries.append(F.when(scope, F.struct(F.lit(name).alias("factor"), a.alias("a"), b.alias("b"))))
+    return (
+        customers.select("recompra", F.explode(F.array_compact(F.array(*entries))).alias("_cell"))
+        .groupBy("_cell.factor", "_cell.a", "_cell.b")
+        .agg(n_rows().alias("clientes"), F.sum("recompra").alias("k"))
+    )
+
+
 def standardise(customers: DataFrame, group: str, stratum: str, label: str) -> DataFrame:
+    """``standardised`` from one row per customer."""
+    cells = customers.groupBy(group, stratum).agg(
+        n_rows().alias("n"), F.sum("recompra").alias("k")
+    )
+    return standardised(cells, group, stratum, label)
+
+
+def standardised(cells: DataFrame, group: str, stratum: str, label: str) -> DataFrame:
     """Crude rate of each group and the rate it would have with everybody's strata mix.
 
-    One shuffle over customers builds the cells; crude rates and weights come from the
-    cells. A weight is the stratum's number of customers: the common divisor cancels out.
+    ``cells`` have ``n`` customers and ``k`` that came back for each group and stratum. A weight is the stratum's number of customers: the common divisor cancels out.
     Strata a group lacks are left out of its weights and a NULL stratum carries none;
     customers without a group count in the weights but get no row.
     """
-    cells = customers.groupBy(group, stratum).agg(
-        n_rows().alias("n"), F.sum("recompra").alias("k")
-    )
     # over cells, not customers: at most one row per group in each partition
     size = F.sum("n").over(Window.partitionBy(stratum))
     weight = F.when(F.col(stratum).isNotNull(), size).cast("double")

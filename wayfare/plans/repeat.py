@@ -12,17 +12,15 @@ from wayfare.functions.exprs import (
     amount_bucket,
     days_between,
     is_state,
-    lead_bucket,
     mean,
     mean_pct,
     n_rows,
-    party_bucket,
     pct,
     period,
     rnd,
 )
 from wayfare.operators.cohort import booking_order, cohort, mature
-from wayfare.operators.rates import repeat_rate, standardise
+from wayfare.operators.rates import rates_of, repeat_rate, standardised
 from wayfare.sources.warehouse import Warehouse
 
 
@@ -31,10 +29,6 @@ def base(wh: Warehouse, rule: str = "next", days: int = L.MATURE_DAYS) -> DataFr
     return mature(cohort(wh.firsts, rule), days)
 
 
-def _not_email(customers: DataFrame) -> DataFrame:
-    return customers.where(F.col("canal") != L.EXCLUDED_CHANNEL)
-
-
 def repeat_global(wh: Warehouse, rule: str = "next", days: int = L.MATURE_DAYS) -> DataFrame:
     back = F.sum("recompra")
     return base(wh, rule, days).agg(
@@ -98,40 +92,46 @@ def customer_value(wh: Warehouse) -> DataFrame:
     )
 
 
+def rates_by(
+    wh: Warehouse, name: str, *groups: str, min_group: int = 0, interval: bool = False
+) -> DataFrame:
+    """Repeat rates by one of ``cohort.factors``, which one pass counts for all of them."""
+    counted = wh.repeat_cells.where(F.col("factor") == name)
+    named = [F.col(c).alias(n) for c, n in zip("ab", groups)]
+    return rates_of(counted.select(*named, "clientes", "k"), groups, min_group, interval)
+
+
 def repeat_by_channel(wh: Warehouse) -> DataFrame:
     """Customers whose first booking was paid, e-mail left out."""
-    paid = _not_email(base(wh)).where(F.col("importe_eur") > 0)
-    return repeat_rate(paid, {"canal": F.col("canal")}, interval=True)
+    return rates_by(wh, "canal", "canal", interval=True)
 
 
 def repeat_channel_by_free(wh: Warehouse) -> DataFrame:
-    kind = F.when(F.col("importe_eur") == 0, L.FREE).otherwise(L.PAID)
-    groups = {"canal": F.col("canal"), "tipo_primera": kind}
-    rates = repeat_rate(_not_email(base(wh)), groups)
+    rates = rates_by(wh, "canal_tipo", "canal", "tipo_primera")
     return rates.orderBy(F.desc("tipo_primera"), F.desc("pct_recompra"), "canal")
 
 
-def _of_known_tours(customers: DataFrame) -> DataFrame:
-    return customers.where("tour_conocido")
+def _cells(wh: Warehouse) -> DataFrame:
+    """Channel by destination, of known tours, e-mail left out."""
+    return wh.repeat_cells.where(F.col("factor") == "canal_destino").select(
+        F.col("a").alias("canal"), F.col("b").alias("destino"), F.col("clientes").alias("n"), "k"
+    )
 
 
 def repeat_channel_std(wh: Warehouse) -> DataFrame:
-    customers = _of_known_tours(_not_email(base(wh)))
-    return standardise(customers, "canal", "destino", "pct_estandarizado_a_destino")
+    return standardised(_cells(wh), "canal", "destino", "pct_estandarizado_a_destino")
 
 
 def destination_std(wh: Warehouse) -> DataFrame:
-    customers = _of_known_tours(_not_email(base(wh)))
-    return standardise(customers, "destino", "canal", "pct_estandarizado_a_canal")
+    return standardised(_cells(wh), "destino", "canal", "pct_estandarizado_a_canal")
 
 
 def repeat_by_free(wh: Warehouse) -> DataFrame:
-    kind = F.when(F.col("importe_eur") == 0, L.FIRST_FREE).otherwise(L.FIRST_PAID)
-    return repeat_rate(base(wh), {"primera_reserva": kind}, interval=True)
+    return rates_by(wh, "primera_reserva", "primera_reserva", interval=True)
 
 
 def repeat_by_destination(wh: Warehouse) -> DataFrame:
-    return repeat_rate(_of_known_tours(base(wh)), {"destino": F.col("destino")}, interval=True)
+    return rates_by(wh, "destino", "destino", interval=True)
 
 
 def factor(wh: Warehouse, bucket: Column, min_group: int = L.MIN_GROUP_REPORT) -> DataFrame:
@@ -140,19 +140,21 @@ def factor(wh: Warehouse, bucket: Column, min_group: int = L.MIN_GROUP_REPORT) -
 
 
 def factor_amount(wh: Warehouse, edges: Sequence[int] = L.AMOUNT_EDGES) -> DataFrame:
+    if tuple(edges) == tuple(L.AMOUNT_EDGES):
+        return rates_by(wh, "importe", "grupo", min_group=L.MIN_GROUP_REPORT)
     return factor(wh, amount_bucket(F.col("importe_eur"), edges))
 
 
 def factor_party_size(wh: Warehouse) -> DataFrame:
-    return factor(wh, party_bucket(F.col("personas")))
+    return rates_by(wh, "personas", "grupo", min_group=L.MIN_GROUP_REPORT)
 
 
 def factor_lead_time(wh: Warehouse) -> DataFrame:
-    return factor(wh, lead_bucket(days_between(F.col("fr"), F.col("fa")), L.LEAD_FACTOR))
+    return rates_by(wh, "antelacion", "grupo", min_group=L.MIN_GROUP_REPORT)
 
 
 def factor_campaign(wh: Warehouse) -> DataFrame:
-    return factor(wh, F.coalesce("campana", F.lit(L.NO_CAMPAIGN)))
+    return rates_by(wh, "campana", "grupo", min_group=L.MIN_GROUP_REPORT)
 
 
 def factor_device(wh: Warehouse) -> DataFrame:
@@ -182,9 +184,7 @@ def factor_age(wh: Warehouse, min_group: int = L.MIN_GROUP_REPORT) -> DataFrame:
 
 def churn_cancelled_flag(wh: Warehouse) -> DataFrame:
     """Do customers who ever cancelled come back less?"""
-    had_one = F.coalesce("tuvo_cancelacion", F.lit(False))
-    group = F.when(had_one, L.HAD_CANCELLATION).otherwise(L.NO_CANCELLATION)
-    return repeat_rate(base(wh), {"grupo": group})
+    return rates_by(wh, "cancelacion", "grupo")
 
 
 def churn_return_after_cancel(wh: Warehouse) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -97,15 +97,21 @@ def _write(wh: Warehouse, folder: str, tables: Mapping[str, Metric]) -> list[str
 
 
 def write_report(
-    wh: Warehouse, folder: str, overrides: Mapping[str, Metric] | None = None
+    wh: Warehouse,
+    folder: str,
+    overrides: Mapping[str, Metric] | None = None,
+    questions: Collection[str] = tuple(QUESTIONS),
 ) -> list[str]:
     """Write each metric to ``folder/question/key``; returns the paths in report order.
 
-    ``overrides`` replaces a metric, for instance by one with other thresholds.
+    ``overrides`` replaces a metric, for instance by one with other thresholds. The metrics
+    read roll-ups; those by a factor of the first booking share one pass over the cohort.
     """
     chosen = overrides or {}
     paths = []
     for question, block in QUESTIONS.items():
+        if question not in questions:
+            continue
         tables = {key: chosen.get(key, fn) for key, fn in block.items()}
         paths += _write(wh, f"{folder.rstrip('/')}/{question}", tables)
     return paths

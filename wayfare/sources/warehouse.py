@@ -21,7 +21,15 @@ from wayfare.operators.cleaning import (
     clean_tours,
     document_groups,
 )
-from wayfare.operators.cohort import booking_days, first_bookings, hot_users, user_histories
+from wayfare.operators.cohort import (
+    booking_days,
+    cohort,
+    factors,
+    first_bookings,
+    hot_users,
+    mature,
+    user_histories,
+)
 from wayfare.operators.identity import (
     canonical_bookings,
     cookie_users,
@@ -31,6 +39,7 @@ from wayfare.operators.identity import (
     identity_map,
     with_destination,
 )
+from wayfare.operators.rates import repeat_cells
 from wayfare.operators.sessions import session_bookings, session_days, sessions, usual_device
 from wayfare.operators.skew import Size
 from wayfare.session import file_system, read_text, shared_folder, write_text
@@ -53,6 +62,7 @@ TABLES = (
     "histories",
     "firsts",
     "firsts_with_tour",
+    "repeat_cells",
     "session_days",
     "sessions",
     "session_bookings",
@@ -403,6 +413,13 @@ class Warehouse:
             lambda: first_bookings(self.histories, with_tour_only=True),
         )
 
+    @property
+    def repeat_cells(self) -> DataFrame:
+        """The mature cohort counted by every factor of the report, in one pass over it."""
+        return self._stored(
+            "tasas_repeticion", lambda: repeat_cells(mature(cohort(self.firsts)), factors())
+        )
+
     @property
     def session_days(self) -> DataFrame:
         return self._stored("sesiones_dia", lambda: session_days(self.events))
