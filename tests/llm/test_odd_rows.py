@@ -192,6 +192,18 @@ def test_vectors(spark):
     assert topk.search(df.limit(0)).collect() == []
 
 
+def test_repeated_vectors_are_counted_before_they_are_dealt(spark, monkeypatch):
+    """A row that comes a thousand times is one row of its block, and a candidate each time."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    rows = [(k, [float(k % 5), 1.0]) for k in range(100)] + [(7, [9.0, 9.0])] * 1000 + [(50, [0.0, 1.0])] * 500
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {}
+    for r in topk.search(df).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(found[0]) == [(k, 7, 9 * 256 * 256) for k in range(1, 6)]
+    assert len(found[50]) == 5 and all(v == 7 for _, v, _ in found[50])
+
+
 def page(*lines):
     return "<html><body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body></html>"
 

@@ -12,8 +12,9 @@ the rows whose upper bound reaches the k-th best lower bound are few enough, no
 can be a member; those few are scored exactly. Without such a proof all segments are
 processed and scores are exact as they are.
 
-Blocks have a bounded number of rows and queries, and each pair of a block of rows and one
-of queries is a task of its own, so nothing grows with the table but the number of tasks.
+Equal rows are counted before rows are dealt, so that a block has a bounded number of rows and
+queries whatever is repeated. Each pair of a block of rows and one of queries is a task of its
+own, so nothing grows with the table but the number of tasks.
 
 Defined cases: rows take no part if the id or the vector is NULL or a component is NULL or
 not finite; vectors of unequal lengths count as padded with zeros. A query's own id is no
@@ -132,6 +133,14 @@ def best_of_block(
     ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Place of each query, and ids and scores of its ``k`` best in the block, best first."""
+    for q, places, scores in places_of_block(ids, rows, query_ids, queries, k):
+        yield q, ids[places], scores
+
+
+def places_of_block(
+    ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Place of each query, and places and scores of its ``k`` best in the block, best first."""
     own = ids[:, None] == query_ids[None, :]
     peak = int(np.abs(rows.astype(object)).max(initial=0)) * int(
         np.abs(queries.astype(object)).max(initial=0)
@@ -148,7 +157,7 @@ def best_of_block(
             kept = kept[column[kept] >= least]
         order = sorted(range(len(kept)), key=lambda j: (-int(column[kept[j]]), int(ids[kept[j]])))
         chosen = kept[order[:k]]
-        yield q, ids[chosen], column[chosen]
+        yield q, chosen, column[chosen]
 
 
 def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
@@ -156,6 +165,7 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("vector")
     ).where("vec_id IS NOT NULL AND vector IS NOT NULL")
+    rows = rows.groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("copies"))
     asked = F.pmod(F.col("vec_id"), F.lit(every)) == 0
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(asked)).first()
     blocks, query_blocks = -(-n // BLOCK_ROWS) or 1, -(-n_queries // BLOCK_QUERIES) or 1
@@ -167,19 +177,21 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
         )
 
     left = dealt(rows, "block", blocks, "query_block", query_blocks)
-    right = dealt(rows.where(asked).distinct(), "query_block", query_blocks, "block", blocks)
+    queries = rows.where(asked).drop("copies")
+    right = dealt(queries, "query_block", query_blocks, "block", blocks)
     keys = ["block", "query_block"]
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "query", "vec_id", "score"]
+        names = ["query_id", "query", "vec_id", "copies", "score"]
         if not len(left) or not len(right):
             return pd.DataFrame({name: np.zeros(0, np.int64) for name in names})
         width = max(map(len, [*left["vector"], *right["vector"]]))
         ids, query_ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+        copies, of = left["copies"].to_numpy(), right["query"].to_numpy()
         matrix, queries = (_padded(side["vector"].tolist(), width) for side in (left, right))
         parts = [
-            (np.full(len(found), query_ids[q]), np.full(len(found), right["query"].iloc[q]), found, scores)
-            for q, found, scores in best_of_block(ids, matrix, query_ids, queries, k)
+            (np.full(len(p), query_ids[q]), np.full(len(p), of[q]), ids[p], copies[p], scores)
+            for q, p, scores in places_of_block(ids, matrix, query_ids, queries, k)
         ]
         return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts)))))
 
@@ -187,8 +199,11 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     found = (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
-        .applyInPandas(best, "query_id long, query long, vec_id long, score long")
+        .applyInPandas(best, "query_id long, query long, vec_id long, copies long, score long")
     )
+    # repeated rows come one by one, as many as can be among the best
+    one_by_one = F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k))))
+    found = found.withColumn("copy", one_by_one)
     by_score = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(by_score))
