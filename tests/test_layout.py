@@ -126,3 +126,31 @@ def test_sizes_are_noted_when_a_table_is_written(spark, make, tmp_path):
     assert Warehouse(spark, wh.folder).size("tours") == size
     assert wh.size("clientes") is None
     assert size.within(2) and not size.within(1) and not size.within(0)
+
+
+def test_sessions_of_a_destination_are_counted_exactly(spark, make):
+    """Bitmaps of days and blocks against ``count(DISTINCT)``, with sessions over many days."""
+    from wayfare.operators.sessions import interest_days, session_numbers, sessions_in
+
+    place = lambda k: f"https://h/es/{('madrid', 'roma', 'paris')[k % 3]}/t/"
+    events = [
+        dict(
+            session_id=None if k % 97 == 0 else f"s{k % 700}", url=place(k * k), cookie_id=f"c{k}",
+            event_date=f"2025-01-{1 + k % 28:02d} 10:00:00" if k % 50 else None,
+        )
+        for k in range(3000)
+    ]
+    wh = make.warehouse(events=events)
+    expected = rows(
+        wh.events.where("event_name = 'view_item'")
+        .groupBy(F.split_part("url", F.lit("/"), F.lit(5)).alias("destino"))
+        .agg(F.count_distinct("session_id"))
+    )
+    assert len(expected) >= 2
+    assert rows(sessions_in(wh.interest_days, "destino")) == expected
+    # blocks of numbers may be many: here each partition has its own
+    numbers = session_numbers(wh.session_days).repartition(5).cache()
+    assert numbers.select("numero").distinct().count() == numbers.count() == 700
+    assert rows(sessions_in(interest_days(wh.events, numbers), "destino")) == expected
+    plan = sessions_in(wh.interest_days, "destino")._jdf.queryExecution().executedPlan().toString()
+    assert "session_id" not in plan

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfare import labels as L
+from wayfare.operators.cleaning import url_destination
 
 FLAGS = ("ident", "vi", "bc", "pu", "con_reserva")
 
@@ -74,3 +75,47 @@ def usual_device(events: DataFrame) -> DataFrame:
         .where("rn = 1")
         .select("user_id", "device")
     )
+
+
+def session_numbers(days: DataFrame) -> DataFrame:
+    """A whole number for each session, those of one time next to each other.
+
+    Numbers are given within ranges of the sessions' first day, so that the sessions of a day
+    fill few blocks of numbers; they follow from the sorted ranges, with no task for all.
+    """
+    starts = days.where(F.col("session_id").isNotNull()).groupBy("session_id")
+    ordered = (
+        starts.agg(F.min("dia").alias("_dia"))
+        .repartitionByRange("_dia", "session_id")
+        .sortWithinPartitions("_dia", "session_id")
+    )
+    return ordered.select("session_id", F.monotonically_increasing_id().alias("numero"))
+
+
+def interest_days(events: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Which sessions viewed a destination on a day, as bitmaps of their numbers.
+
+    A row holds the sessions of one block of numbers. Bitmaps of any days and destinations
+    merge into those of all of them, and their bits are the exact number of sessions.
+    """
+    place = url_destination(F.col("url"))
+    viewed = (
+        events.where(~F.col("es_bot") & (F.col("event_name") == L.VIEW_ITEM) & (place != ""))
+        .select(place.alias("destino"), F.to_date("event_date").alias("dia"), "session_id")
+        .distinct()
+    )
+    return (
+        viewed.join(numbers, "session_id", "left")
+        .groupBy("destino", "dia", F.bitmap_bucket_number("numero").alias("bloque"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("numero")).alias("sesiones"))
+    )
+
+
+def sessions_in(interest: DataFrame, by: str) -> DataFrame:
+    """Distinct sessions per group, from ``interest_days``."""
+    return (
+        interest.groupBy(by, "bloque")
+        .agg(F.bitmap_count(F.bitmap_or_agg("sesiones")).alias("n"))
+        .groupBy(by)
+        .agg(F.sum("n").alias("sesiones_interes"))
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfare import labels as L
 from wayfare.functions.exprs import is_state, mean, n_rows, pct, rnd, share_of_total
-from wayfare.operators.cleaning import url_destination
+from wayfare.operators.sessions import sessions_in
 from wayfare.sources.warehouse import Warehouse
 
 
@@ -33,14 +33,10 @@ def destination_volume(wh: Warehouse) -> DataFrame:
 def destination_demand(wh: Warehouse) -> DataFrame:
     """Sessions that viewed a destination next to its confirmed bookings.
 
-    Only destinations with both; shares are taken after the join.
+    Only destinations with both; shares are taken after the join. Sessions are counted in
+    bitmaps that are kept by day, so that no event is read and no session shuffled.
     """
-    place = url_destination(F.col("url"))
-    viewed = (
-        wh.events.where(~F.col("es_bot") & (F.col("event_name") == L.VIEW_ITEM) & (place != ""))
-        .groupBy(place.alias("destino"))
-        .agg(F.count_distinct("session_id").alias("sesiones_interes"))
-    )
+    viewed = sessions_in(wh.interest_days, "destino")
     booked = _confirmed(wh).groupBy("destino").agg(n_rows().alias("reservas"))
     return (
         viewed.join(booked, "destino", "inner")

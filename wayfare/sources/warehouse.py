@@ -40,7 +40,14 @@ from wayfare.operators.identity import (
     with_destination,
 )
 from wayfare.operators.rates import repeat_cells
-from wayfare.operators.sessions import session_bookings, session_days, sessions, usual_device
+from wayfare.operators.sessions import (
+    interest_days,
+    session_bookings,
+    session_days,
+    session_numbers,
+    sessions,
+    usual_device,
+)
 from wayfare.operators.skew import Size
 from wayfare.session import file_system, read_text, shared_folder, write_text
 from wayfare.sources.layout import overlapping, write_ranges
@@ -65,6 +72,8 @@ TABLES = (
     "repeat_cells",
     "session_days",
     "sessions",
+    "session_numbers",
+    "interest_days",
     "session_bookings",
     "usual_device",
     "booking_copies",
@@ -429,6 +438,17 @@ class Warehouse:
         """All sessions; without a named event a session counts as having reached no stage."""
         return self._stored("sesiones", lambda: sessions(self.session_days).fillna(0))
 
+    @property
+    def session_numbers(self) -> DataFrame:
+        """Written, as the numbers are given once; a later reading would give others."""
+        return self._stored("numeros_sesion", lambda: session_numbers(self.session_days))
+
+    @property
+    def interest_days(self) -> DataFrame:
+        return self._stored(
+            "interes_dia", lambda: interest_days(self.events, self.session_numbers)
+        )
+
     @property
     def session_bookings(self) -> DataFrame:
         return self._stored("sesiones_reservas", lambda: session_bookings(self.events))
