@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm import bpe, catalogue, langid, mixture, quality, simhash
-from wayfare.llm.scratch import stored
+from wayfare.llm.scratch import keep_last, mark, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = catalogue.table(spark, sf_dir, "documents")
     catalogue.sized(spark, docs)
+    since = mark(spark)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        keep_last(spark, since)  # each stage's input and working tables go when it is done
     return STAGES[-1][1](spark, docs, sf_dir)

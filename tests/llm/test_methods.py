@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import time
+from collections import Counter
 from functools import lru_cache
 from os.path import commonprefix
 
@@ -469,3 +470,66 @@ def test_differencing_equals_plain_pairing(spark, seed):
         remaining = iter(row[2])
         assert all(text in remaining for text in left)  # in order
         assert f"own {row[0]}" in left
+
+
+def kneser_ney(texts, alphabet):
+    """Probability of a character after a context, by the recursion over plain dictionaries."""
+    counts = Counter()
+    for text in texts:
+        points = [chr(int(p)) for p in langid.symbols(text)]
+        for k in range(langid.ORDER, len(points) + 1):
+            counts["".join(points[k - langid.ORDER : k])] += 1
+    orders = [counts]
+    for _ in range(langid.ORDER - 1):  # in how many ways what is shorter is extended to the left
+        orders.append(Counter(gram[1:] for gram in orders[-1]))
+    orders.reverse()
+
+    def discount(table):
+        once, twice = (sum(v == n for v in table.values()) for n in (1, 2))
+        return min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+
+    def probability(context, character):
+        if context is None:
+            return 1 / (len(alphabet) + 1)
+        table = orders[len(context)]
+        following = [v for gram, v in table.items() if gram[:-1] == context]
+        shorter = probability(context[1:] if context else None, character)
+        if not following:
+            return shorter
+        d, mass = discount(table), sum(following)
+        found = table.get(context + character, 0)
+        return (found - d if found else 0) / mass + d * len(following) / mass * shorter
+
+    return probability
+
+
+def test_entropies_equal_a_plain_kneser_ney_recursion():
+    texts = {
+        "x": ["the cat sat on the mat", "a cat and a hat", "thats that"],
+        "y": ["le chat est la", "la natte et le rat", "été à la mer"],
+    }
+    tables = []
+    for lang in texts:
+        grams = Counter()
+        for text in texts[lang]:
+            points = langid.symbols(text)
+            for k in range(langid.ORDER, len(points) + 1):
+                grams[tuple(points[k - langid.ORDER : k].tolist())] += 1
+        ordered = sorted(grams)
+        tables.append((np.array(ordered, np.uint64), np.array([grams[g] for g in ordered])))
+    model = langid.fitted(list(texts), tables)
+    alphabet = {g[-1] for rows, _ in tables for g in rows.tolist()}
+    plain = [kneser_ney(texts[lang], alphabet) for lang in texts]
+    for text in ("the rat sat", "le mat est été", "zzz qqq", "a", "hat natte xyz à"):
+        points = [chr(int(p)) for p in langid.symbols(text)]
+        expected = [
+            -sum(
+                np.log2(p("".join(points[k - langid.ORDER + 1 : k]), points[k]))
+                for k in range(langid.ORDER - 1, len(points))
+            )
+            for p in plain
+        ]
+        assert model.entropies(langid.symbols(text)) == pytest.approx(expected, rel=1e-5)
+        best, score, _, _, _ = langid._judged_points(model, langid.symbols(text))
+        assert best == list(texts)[int(np.argmin(expected))]
+        assert score == pytest.approx(1 / sum(2.0 ** min(min(expected) - e, 0) for e in expected), rel=1e-4)

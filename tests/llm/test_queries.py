@@ -224,3 +224,16 @@ def test_shuffles_follow_the_bytes_of_the_tables(spark, small, monkeypatch):
         assert session.shuffle_width(spark) == before
     finally:
         session.size_shuffles(spark, 0)
+
+
+def test_the_pipeline_keeps_no_more_than_its_last_table(spark, small):
+    from wayfare.llm import scratch
+
+    since = scratch.mark(spark)
+    rows = corpus_pipeline.run(spark, small).count()
+    assert rows > 0
+    left = scratch._tables[scratch.folder(spark)][since:]
+    assert len([name for name in left if "/source_mix-" in name]) == 1
+    files, path = scratch.file_system(spark, scratch.folder(spark))
+    names = {str(f.getPath().getName()) for f in files.listStatus(path)}
+    assert not [n for n in names if n.startswith(("quality_rules-", "language_id-", "near_duplicates-"))]

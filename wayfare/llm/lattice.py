@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.scratch import stored
+from wayfare.llm.scratch import keep_last, mark, stored
 from wayfare.llm.text import chunks
 
 FOLDS, HELD_OUT = 7, 2
@@ -321,12 +321,15 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: the base score and the log10 probability of the whole text."""
     docs = docs.select("doc_id", "text")
     model = Model(pieces(path))
+    since = mark(docs.sparkSession)
     counted = stored(word_counts(docs), "words")
     ends, = docs.agg(F.count_if(fold() != HELD_OUT)).first()
     known, distinct, every = counted.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum("n")).first()
     train_tokens = (known or 0) + ends
     unit = math.log10(train_tokens + (distinct or 0) + (1 if ends else 0) + 1)
-    words = stored(model.fit(counted, ends).with_marginals(counted), "scored_words").select(
+    scored = stored(model.fit(counted, ends).with_marginals(counted), "scored_words")
+    keep_last(docs.sparkSession, since)
+    words = scored.select(
         "word",
         "n",
         (F.col("c") > 0).cast("long").alias("known"),

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.session import shared_folder
+from wayfare.session import file_system, shared_folder
 
 _folders: dict[str, str] = {}
+# what an application has written and not deleted, in order
+_tables: dict[str, list[str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -28,4 +30,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.setdefault(folder(spark), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark(spark: SparkSession) -> int:
+    """The place in the order of tables from which on ``keep_last`` deletes."""
+    return len(_tables.setdefault(folder(spark), []))
+
+
+def keep_last(spark: SparkSession, since: int) -> None:
+    """Delete the tables written since, but for the last, which no longer needs them."""
+    tables = _tables[folder(spark)]
+    for name in tables[since:-1]:
+        files, path = file_system(spark, name)
+        files.delete(path, True)
+    tables[since:-1] = []
