@@ -99,7 +99,7 @@ def scored(rows: np.ndarray, tables: np.ndarray) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of a block; ``peak`` bounds the size of a row's components."""
+    """Anchors of a block, in numbers wide enough for their scores with rows of so many planes."""
 
     def __init__(self, vectors: np.ndarray, planes: int):
         most = int(np.abs(vectors.astype(object)).max(initial=0)) * vectors.shape[1]
