@@ -1,10 +1,10 @@
 """Quality rules as a short-circuit cascade ordered by measured cost and selectivity.
 
 A rule is a condition on a few metrics of a text. ``plan`` measures on a bounded sample what
-each metric costs and which rows each rule rejects, and orders the rules by rejected rows
-per second. ``judge`` then evaluates them in that order; the metrics
-of a rule are computed only for rows that all earlier rules let pass. The order changes the cost alone: a row is kept if no rule rejects it, whichever
-comes first. Everything is built-in column functions.
+each rule costs and which rows it rejects, and orders the rules by rejected rows per second.
+``judge`` then evaluates them in that order; the metrics of a rule are computed only for rows
+that all earlier rules let pass. The order changes the cost alone: a row is kept if no rule
+rejects it, whichever comes first. Everything is built-in column functions.
 
 Defined cases: a NULL text counts as empty, and an empty text has no words and fails the
 base rule. Repeated rows are judged alike, each on its own. Columns of the input keep their
@@ -18,6 +18,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import cache, reduce
 from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ MAX_UPPER_PERCENT = 50
 MAX_DUPLICATE_LINES_PERCENT = 30
 WORD_CHARS = (2, 15)
 
-# Rows of the sample that orders the rules, the longest text in it, and how often each metric
+# Rows of the sample that orders the rules, the longest text in it, and how often each rule
 # is timed. It decides about speed only.
 SAMPLE_ROWS = 256
 SAMPLE_TEXT_BYTES = 64 * 1024
@@ -128,6 +129,10 @@ METRICS: dict[str, tuple[tuple[str, ...], Metric]] = {
 }
 
 
+# What metrics are made from, besides numbers.
+WORKING = frozenset(["text", "words", "lines", "hashes", "windows", "ranked", "starts"])
+
+
 @dataclass(frozen=True)
 class Rule:
     """``rejects`` is true for a text that the rule throws out, given its ``metrics``."""
@@ -232,7 +237,14 @@ class State:
             self.add({m: guarded(f) for m, f in made.items()} if alive else made)
 
     def on(self, docs: DataFrame) -> DataFrame:
-        return docs.withColumn(STATE, F.get(self.column, F.lit(0)))
+        """``docs`` with the state's numbers and verdicts; text and arrays, which are many times
+        as large, do not leave the expression."""
+        names = [f for f in self.fields if f not in WORKING]
+
+        def numbers(element: Column) -> Column:
+            return F.struct(F.lit(True).alias("known"), *[element[f].alias(f) for f in names])
+
+        return docs.withColumn(STATE, F.get(F.transform(self.column, numbers), F.lit(0)))
 
 
 def _rejects(rule: Rule) -> Metric:
@@ -268,20 +280,17 @@ def _sample(docs: DataFrame, text: str) -> DataFrame:
     return texts.sample(share, seed=1).coalesce(1)
 
 
-def _metric_seconds(
-    sample: DataFrame, metrics: Iterable[str], have: Iterable[str]
-) -> dict[str, float]:
-    """Time that each metric not in ``have`` takes beyond the dearest that it is made from.
+def _timer(sample: DataFrame) -> Callable[[Iterable[str]], float]:
+    """How long the sample takes with some metrics: the fastest of the repeats, after one run
+    that compiles. Each set of metrics is timed once."""
 
-    Runs differ in the last metric only, so that starting a job cancels out. The fastest of
-    the repeats counts, after one that compiles.
-    """
-    took: dict[str, float] = {}
-
-    def seconds(metric: str) -> float:
+    @cache
+    def seconds(metrics: frozenset[str]) -> float:
         state = State("text")
-        state.measure([metric])
-        job = state.on(sample).agg(F.count_if(_get(metric).isNotNull()))
+        state.measure(metrics)
+        made = sorted(metrics) or ["text"]
+        state.add({"made": lambda c: reduce(Column.__and__, [c(m).isNotNull() for m in made])})
+        job = state.on(sample).agg(F.count_if(_get("made")))
         runs = []
         for _ in range(REPEATS + 1):
             start = time.perf_counter()
@@ -289,10 +298,16 @@ def _metric_seconds(
             runs.append(time.perf_counter() - start)
         return min(runs[1:])
 
-    missing = [metric for layer in _needed(metrics, have) for metric in layer]
-    for metric in {*missing, *(below for m in missing for below in METRICS[m][0])}:
-        took[metric] = seconds(metric)
-    return {m: max(took[m] - max(took[below] for below in METRICS[m][0]), 0.0) for m in missing}
+    return lambda metrics: seconds(frozenset(metrics))
+
+
+def _rule_seconds(timed: Callable[[Iterable[str]], float], rule: Rule, have: set[str]) -> float:
+    """What a rule's metrics take beyond those in ``have`` that they are made from."""
+    missing = [m for layer in _needed(rule.metrics, have) for m in layer]
+    if not missing:
+        return 0.0
+    below = {b for m in missing for b in METRICS[m][0] if b in have and b != "text"}
+    return max(timed(missing) - timed(below), 0.0)
 
 
 def plan(
@@ -316,16 +331,14 @@ def plan(
         if not found:
             return [Step(rule, 0.0, 0.0) for rule in rules]
         have = {"text"}.union(*_needed(report, ["text"]))
-        costs = _metric_seconds(sample, [m for rule in rules for m in rule.metrics], have)
+        timed = _timer(sample)
+        costs = [_rule_seconds(timed, rule, have) for rule in rules]
     finally:
         sample.unpersist()
 
     rows = sum(n for _, n in found)
-    steps = []
-    for k, rule in enumerate(rules):
-        missing = [m for layer in _needed(rule.metrics, have) for m in layer]
-        rejected = sum(n for by, n in found if k in by) / rows
-        steps.append(Step(rule, sum(costs[m] for m in missing), rejected))
+    rejected = [sum(n for by, n in found if k in by) / rows for k in range(len(rules))]
+    steps = map(Step, rules, costs, rejected)
     return sorted(steps, key=lambda step: -step.rank)
 
 
