@@ -245,3 +245,22 @@ def test_a_teaser_does_not_displace_the_body(spark):
     # the line shared with a marked neighbour goes, the marked teaser stays
     assert found[2] == "\n\n".join([plain[2], "read another"])
     assert found[3] == "an article " + " ".join(["with its text"] * 20)
+
+
+def test_marked_pages_are_differenced_too(spark):
+    """A mark holds against long text outside that is shared with the nearest page, and falls to
+    text as long that is not; blocks of a mark stay although they are shared."""
+    legal = "<div>" + "terms of use for all visitors " * 20 + "</div>"
+    story = "<div>" + "a story told on this page only " * 20 + "</div>"
+    rows = [
+        (k, f"https://s.org/n/{k}", f"<article><p>News {k}</p><p>Quoted</p></article>{legal}<div>Visit {k}</div>")
+        for k in range(6)
+    ]
+    rows += [(k, f"https://s.org/n/{k}", f"<article><p>Teaser</p></article>{legal}{story}") for k in (6, 7)]
+    rows += [(10 + k, *rows[3][1:]) for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in pages.extract(df).collect()}
+    assert all(found[k] == f"News {k}\n\nQuoted" for k in range(6))
+    assert all(found[10 + k] == found[3] for k in range(20))
+    told = " ".join(["a story told on this page only"] * 20)
+    assert found[6] == found[7] == f"Teaser\n\n{told}"

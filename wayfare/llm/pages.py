@@ -2,21 +2,24 @@
 
 A page is read into blocks of text, in order. Elements that never hold main text (menus,
 headers, footers, sidebars, forms, scripts, adverts, notices, comments, by element, role or
-class) are left out. If the page marks its article, or else its main part, the blocks in
-there are the main text, whole: other pages may well quote or copy them. A mark does not
-hold where the text outside is over ``FAR`` times as long, as with a teaser in an
-``<article>`` beside the body: then the next lower mark decides, if there is one.
-
-Where no mark holds, all remaining blocks are candidates, and page differencing finds
-the host's furniture among those outside all marks. All pages of a host, marked or not, stand in order of path; each is paired with
-the neighbour whose path has the longer common beginning (the one before, if equal), and
-blocks on a longest common subsequence of the pair's blocks are deleted. Pages with the
-very same blocks are one page here, since copies say nothing about furniture; so the partner
-always differs.
-
-Reading is done where pages lie. Differencing moves only hashes of blocks, and compares only
-pages where no mark holds with their partners; ranges of (host, path) are its partitions, so a host of any size is spread,
-and the pairs across a boundary come from one row per host and range.
+class) are left out.
+
+All pages of a host then stand in order of path; each is paired with the neighbour whose path
+has the longer common beginning (the one before, if equal), and blocks on a longest common
+subsequence of the pair's blocks are shared. Pages with the very same blocks are one page
+here, since copies say nothing about furniture; so the partner always differs.
+
+What a page shares is furniture, unless the page marks it as its article or main part: other
+pages may well quote or copy that. The article's blocks are the main text, whole, or else those
+of the main part. A mark does not hold where the text outside that is not shared is over ``FAR``
+times as long, as with a teaser in an ``<article>`` beside the body: then the next lower mark
+decides, if there is one. Where none holds, the main text is all that is marked or not shared.
+
+Reading is done where pages lie, once for the hashes of blocks and once for their texts, so that
+nothing as large as the pages is written. Differencing moves only hashes; ranges of (host, path)
+are its partitions, so a host of any size is spread, and the pairs across a boundary come from
+one row per host and range. Many copies of a page are spread by their ids when they meet what
+is shared.
 
 Defined cases: a NULL html has an empty text, as has a page without any text. A NULL url is
 of the empty host and path. A page alone on its host keeps its blocks. Repeated rows repeat their
@@ -36,12 +39,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.llm.scratch import stored
 from wayfare.llm.text import chunks
 from wayfare.llm.urls import host_of, path_of
+from wayfare.operators.skew import balanced_lookup
 
 # Fixed values of the markup language: elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -285,7 +289,8 @@ class _Reader:
 
 
 def blocks(html: str | None) -> tuple[list[tuple[int, str]], int]:
-    """Blocks of a page with their levels, and the level from which on they are main text."""
+    """Blocks of a page with their levels, and the level from which on they are main text if
+    the page shares none of them."""
     reader = _Reader()
     reader.read(html or "")
     sizes = [0, 0, 0]
@@ -297,39 +302,31 @@ def blocks(html: str | None) -> tuple[list[tuple[int, str]], int]:
     return reader.blocks, best
 
 
-def _read(pages: DataFrame) -> DataFrame:
-    """``page_id`` and ``url`` with ``blocks``, ``marked``, ``guarded`` and ``lines``.
-
-    ``guarded`` has the places of blocks in marks that do not hold, ``lines`` the hashes of
-    all blocks, also of those that a mark leaves out.
-    """
+def _read(pages: DataFrame, with_texts: bool) -> DataFrame:
+    """``page_id``, ``url`` and ``lines``, the hashes of all blocks; also their texts ``blocks``
+    and their ``levels``, if wanted. To that, what differencing tells pages by."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in chunks(batches, "html"):
-            found = [blocks(html) for html in rows.column("html").to_pylist()]
-            texts = [[text for level, text in page if level >= best] for page, best in found]
-            marked = [best != OPEN or not page for page, best in found]
-            guarded = [
-                [k for k, (level, _) in enumerate(page) if level != OPEN] if best == OPEN else []
-                for page, best in found
-            ]
-            lines = [[xxhash.xxh64_intdigest(t) - (1 << 63) for _, t in page] for page, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *rows.columns[:2],
-                    pa.array(texts, pa.list_(pa.string())),
-                    pa.array(marked, pa.bool_()),
-                    pa.array(guarded, pa.list_(pa.int32())),
-                    pa.array(lines, pa.list_(pa.int64())),
-                ],
-                names=["page_id", "url", "blocks", "marked", "guarded", "lines"],
-            )
-
-    fields = "blocks array<string>, marked boolean, guarded array<int>, lines array<long>"
-    return pages.select("page_id", "url", "html").mapInArrow(
-        run, f"page_id {kind}, url string, {fields}"
+            found = [blocks(html)[0] for html in rows.column("html").to_pylist()]
+            lines = [[xxhash.xxh64_intdigest(t) - (1 << 63) for _, t in page] for page in found]
+            columns = {
+                "page_id": rows.column("page_id"),
+                "url": rows.column("url"),
+                "lines": pa.array(lines, pa.list_(pa.int64())),
+            }
+            if with_texts:
+                texts, levels = ([[block[k] for block in page] for page in found] for k in (1, 0))
+                columns["blocks"] = pa.array(texts, pa.list_(pa.string()))
+                columns["levels"] = pa.array(levels, pa.list_(pa.int8()))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    texts = ", blocks array<string>, levels array<tinyint>" if with_texts else ""
+    read = pages.select("page_id", "url", "html").mapInArrow(
+        run, f"page_id {kind}, url string, lines array<long>{texts}"
     )
+    return read.withColumns({"host": host_of(F.col("url")), "sequence": F.xxhash64("lines")})
 
 
 def _lengths(a: list[int], b: list[int]) -> np.ndarray:
@@ -375,25 +372,25 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return sorted(found)
 
 
-def _kept(lines, path, before, path_before, after, path_after) -> list[int]:
-    """Places of the blocks that the page does not share with its partner."""
+def _kept(lines, path, before, path_before, after, path_after) -> np.ndarray:
+    """For every block, whether the page does not share it with its partner."""
+    kept = np.ones(len(lines), bool)
     if before is None and after is None:
-        return list(range(len(lines)))
+        return kept
     nearness = lambda p: len(commonprefix([path, p])) if p is not None else -1
     partner = before if nearness(path_before) >= nearness(path_after) else after
-    shared = set(common(lines.tolist(), partner.tolist()))
-    return [k for k in range(len(lines)) if k not in shared]
+    kept[common(lines.tolist(), partner.tolist())] = False
+    return kept
 
 
 def _differenced(pages: DataFrame) -> DataFrame:
-    """``host``, ``sequence`` and ``kept`` for the sequences of blocks of pages not ``marked``."""
+    """``host``, ``sequence``, ``kept`` and the number of pages ``_n`` of every sequence of blocks."""
     place = F.struct("path", "row")
     distinct = pages.groupBy("host", "sequence").agg(
-        F.min(F.struct("path", "row", "lines")).alias("first"),
-        F.max(~F.col("marked")).alias("wanted"),
+        F.min(F.struct("path", "row", "lines")).alias("first"), F.count(F.lit(1)).alias("_n")
     )
     ranged = stored(
-        distinct.select("host", "sequence", "wanted", "first.*")
+        distinct.select("host", "sequence", "_n", "first.*")
         .repartitionByRange("host", "path", "row")
         .withColumn("range", F.spark_partition_id()),
         "ranged",
@@ -416,7 +413,7 @@ def _differenced(pages: DataFrame) -> DataFrame:
     paired = ranged.join(beyond, ["host", "range"]).select(
         "host",
         "sequence",
-        "wanted",
+        "_n",
         "path",
         "lines",
         F.coalesce(F.lag(side).over(in_range), "tail_before").alias("before"),
@@ -427,42 +424,64 @@ def _differenced(pages: DataFrame) -> DataFrame:
         for rows in batches:
             columns = (rows[c] for c in ("lines", "path", "before", "pb", "after", "pa"))
             rows["kept"] = [_kept(*row) for row in zip(*columns)]
-            yield rows[["host", "sequence", "kept"]]
+            yield rows[["host", "sequence", "kept", "_n"]]
 
-    return paired.where("wanted").select(
+    return paired.select(
         "host",
         "sequence",
+        "_n",
         "path",
         "lines",
         F.col("before.lines").alias("before"),
         F.col("before.path").alias("pb"),
         F.col("after.lines").alias("after"),
         F.col("after.path").alias("pa"),
-    ).mapInPandas(run, "host string, sequence long, kept array<int>")
+    ).mapInPandas(run, "host string, sequence long, kept array<boolean>, _n long")
+
+
+def _length(blocks: Column) -> Column:
+    return F.aggregate(blocks, F.lit(0).cast("long"), lambda size, b: size + F.length(b["blocks"]))
+
+
+def _main_text(entries: Column) -> Column:
+    """The main text of a page's ``blocks`` with their ``levels`` and what it has ``kept``."""
+
+    def marked(level: int) -> Column:
+        return F.filter(entries, lambda b: b["levels"] >= level)
+
+    def holds(level: int) -> Column:
+        outside = F.filter(entries, lambda b: b["kept"] & (b["levels"] < level))
+        return (F.size(marked(level)) > 0) & (_length(outside) <= FAR * _length(marked(level)))
+
+    own = F.filter(entries, lambda b: b["kept"] | (b["levels"] > OPEN))
+    joined = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["blocks"]), "\n\n")
+    return (
+        F.when(holds(ARTICLE), joined(marked(ARTICLE)))
+        .when(holds(MAIN), joined(marked(MAIN)))
+        .otherwise(joined(own))
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: ``page_id``, ``url``, ``text`` and its length ``n_chars``."""
-    read = stored(_read(pages).withColumn("row", F.monotonically_increasing_id()), "read")
-    text = lambda blocks: F.array_join(blocks, "\n\n")
-    found = read.where("marked").select("page_id", "url", text("blocks").alias("text"))
-    if not read.where("NOT marked").isEmpty():
-        placed = read.where(F.size("lines") > 0).withColumns(
-            {
-                "host": host_of(F.col("url")),
-                "path": path_of(F.col("url")),
-                "sequence": F.xxhash64("lines"),
-            }
-        )
-        kept = stored(
-            _differenced(placed.select("host", "path", "row", "sequence", "lines", "marked")), "kept"
-        )
-        places = F.array_sort(F.array_union("kept", "guarded"))
-        own = F.transform(places, lambda k: F.get("blocks", k))
-        different = (
-            placed.where("NOT marked")
-            .join(kept, ["host", "sequence"])
-            .select("page_id", "url", text(own).alias("text"))
-        )
-        found = found.unionByName(different)
-    return found.withColumn("n_chars", F.length("text").cast("long"))
+    lines = _read(pages, with_texts=False).where(F.size("lines") > 0)
+    placed = lines.withColumns(
+        {"path": path_of(F.col("url")), "row": F.monotonically_increasing_id()}
+    )
+    kept = stored(_differenced(placed.select("host", "path", "row", "sequence", "lines")), "kept")
+    page = ["host", "sequence"]
+    read = _read(pages, with_texts=True).drop("lines")
+    found = balanced_lookup(
+        read,
+        kept.select(*page, "kept"),
+        on=page,
+        spread_by="page_id",
+        counts=kept.select(*page, "_n"),
+        broadcast_rows=0,
+    )
+    entries = found.select("page_id", "url", F.arrays_zip("blocks", "levels", "kept").alias("entries"))
+    # of a page without any text nothing is kept, nor lost
+    text = F.coalesce(_main_text(F.col("entries")), F.lit(""))
+    return entries.select("page_id", "url", text.alias("text")).withColumn(
+        "n_chars", F.length("text").cast("long")
+    )
