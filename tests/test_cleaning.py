@@ -3,9 +3,12 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import by, rows
 from wayfare.operators import cleaning as C
+from wayfare.operators.skew import Size
+from wayfare.schemas import BOOKING_KEY
 
 
 def test_copies_keep_the_lowest_id(make):
@@ -31,6 +34,23 @@ def test_copies_with_missing_values(make):
     assert C.clean_bookings(make.table("bookings", empty, empty)).count() == 1
 
 
+def test_only_bookings_with_a_shared_code_are_compared(make):
+    """Codes may also be those of bookings without a copy; the rows are the same."""
+    empty = dict(user_id=None, campana=None, personas=None, tour_id=None)
+    raw = make.table(
+        "bookings",
+        *[dict(user_id=u) for u in (1, 2, 3, 1, 1)], empty, empty, dict(estado="CANCELLED"), dict(estado="cancelada"),
+    )
+    codes = C.repeated_codes(raw)
+    assert codes.count() == 2
+    every = raw.select(F.xxhash64(*BOOKING_KEY).alias("codigo")).distinct()
+    for found in (codes, every):
+        for size in (None, Size(6, 0)):
+            kept = [r.reserva_id for r in C.clean_bookings(raw, found, size).orderBy("reserva_id").collect()]
+            assert kept == [1, 2, 3, 6, 8, 9]
+    assert sorted((r.reserva_id_original, r._n) for r in C.booking_copies(raw, codes).collect()) == [(1, 3), (6, 2)]
+
+
 def test_states_and_party_size(make):
     states = ("CONFIRMADA", "Cancelled", "cancelada", "Pendiente", None)
     raw = make.table("bookings", *[dict(estado=s, user_id=i) for i, s in enumerate(states)])

@@ -41,12 +41,11 @@ def _with_plain_money(query: Query, wh: Warehouse) -> DataFrame:
 
 
 def _clean_bookings(wh: Warehouse) -> DataFrame:
-    return cleaning.clean_bookings(wh.raw_bookings)
+    return wh.clean_bookings
 
 
 def _canonical_bookings(wh: Warehouse, keep_unknown: bool = False) -> DataFrame:
-    raw = wh.raw_bookings
-    clean = cleaning.clean_bookings(raw)
+    raw, clean = wh.raw_bookings, wh.clean_bookings
     crosswalk = wh.crosswalk
     size = wh.size("crosswalk_clientes")
     canonical = identity.canonical_bookings(clean, raw, crosswalk, keep_unknown, size)
