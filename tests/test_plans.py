@@ -51,6 +51,22 @@ def test_histories_take_one_scan_and_one_exchange_of_the_bookings(wh):
         assert "Exchange hashpartitioning" not in firsts and "fecha_reserva" not in firsts
 
 
+def test_bookings_without_copies_are_not_shuffled_to_find_them(wh):
+    """Only those with a shared code reach the aggregate; without a size to go by, Spark plans it."""
+    text = plan(wh.clean_bookings)
+    exchanges = [line for line in text.splitlines() if " Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1 and "campana" in exchanges[0]
+    below = text[text.index(exchanges[0]) :]
+    assert below.index("LeftSemi") < below.index("FileScan")
+
+
+def test_histories_are_merged_in_the_order_of_the_ranking(wh):
+    text = plan(user_histories(wh.bookings, wh.hot_users))
+    ranked = text[text.rindex("Exchange hashpartitioning", 0, text.index("Window [")) : text.index("Window [")]
+    assert "SortAggregate" in ranked and "Sort [" not in ranked
+    assert text.count("ObjectHashAggregate") == 2  # the users' parts, which are few
+
+
 def test_sessions_are_checked_in_one_shuffle(wh):
     text = plan(catalogue.queries()["dq_session_keys"](wh))
     assert "Expand" not in text
